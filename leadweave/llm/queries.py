@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from leadweave.llm import mixing, secrets
+from leadweave.llm import mixing, positional, secrets
+from leadweave.shipping import shipped
 
 QUERIES = {
-    "op2_secrets": secrets.op2_secrets,
-    "op9_mix": mixing.op9_mix,
+    "op2_secrets": shipped(secrets.op2_secrets),
+    "op7_decontaminate": shipped(positional.op7_decontaminate),
+    "op9_mix": shipped(mixing.op9_mix),
 }
 ORACLE_SQL = {
     "op2_secrets": secrets.ORACLE_SQL,
+    "op7_decontaminate": positional.ORACLE_SQL,
     "op9_mix": mixing.ORACLE_SQL,
 }
