@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from leadweave.llm import mixing, positional, secrets
+from leadweave.llm import bagminhash, mixing, positional, secrets
 from leadweave.shipping import shipped
 
 QUERIES = {
+    "op1_bagminhash": shipped(bagminhash.op1_bagminhash),
     "op2_secrets": shipped(secrets.op2_secrets),
     "op7_decontaminate": shipped(positional.op7_decontaminate),
     "op9_mix": shipped(mixing.op9_mix),
