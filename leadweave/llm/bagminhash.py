@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadweave.llm.words import Words, chunks, mix64, shingle_hashes, split_words
+from leadweave.llm.words import GAMMA, chunks, mix64, shingle_hashes, split_words
 from leadweave.operators.components import connected_components
 from leadweave.storage import materialise, small_or_merge
 
@@ -34,8 +34,6 @@ GROUP = 256
 #: Most buckets, or texts to compare, of which ids (16 bytes a row) are broadcast.
 BROADCAST_IDS = 500_000
 
-GAMMA = np.uint64(0x9E3779B97F4A7C15)
-
 
 def _points(seed, draw):
     """Bits of the given draws (1, 2, ...) of each process."""

@@ -86,7 +86,7 @@ def mix(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """The rows (with source, size and h) and: source_size, target, copies, taken. No row is dropped."""
     cuts = small_or_merge(cuts.select(F.col("source").alias("cut_source"), "source_size", "target", "repeats", "below"), BROADCAST_SOURCES)
     out = rows.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left")
-    copies = F.col("repeats") + (F.col("h") < F.col("below")).cast("long")
+    copies = F.col("repeats") + ((F.col("h") < F.col("below")) & (F.col("repeats") * F.col("source_size") < F.col("target"))).cast("long")
     return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("cut_source", "repeats", "below")
 
 
@@ -102,6 +102,14 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), ratio: fl
     return mix(sizes, cuts).drop("h")
 
 
+def take_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), ratio: float = 1.0, most: int = 3) -> DataFrame:
+    """The documents that the mix takes, all columns as they were, and: mix_size, mix_copies (1 to `most`)."""
+    sizes = materialise(sized(docs), "mix-sizes")
+    cuts = materialise(thresholds(sizes, materialise(source_targets(sizes, weights, ratio, most), "mix-targets")), "mix-cuts")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
+    return mix(rows, cuts).filter("copies > 0").select("row.*", F.col("size").alias("mix_size"), F.col("copies").alias("mix_copies"))
+
+
 def op9_mix(spark, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

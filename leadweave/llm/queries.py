@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from leadweave.llm import bagminhash, mixing, positional, secrets
+from leadweave.llm import bagminhash, langid, mixing, positional, secrets
 from leadweave.shipping import shipped
 
 QUERIES = {
     "op1_bagminhash": shipped(bagminhash.op1_bagminhash),
     "op2_secrets": shipped(secrets.op2_secrets),
     "op7_decontaminate": shipped(positional.op7_decontaminate),
+    "op8_langid": shipped(langid.op8_langid),
     "op9_mix": shipped(mixing.op9_mix),
 }
 ORACLE_SQL = {

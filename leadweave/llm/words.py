@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 #: An odd multiplier and its inverse modulo 2**64.
 P = 0x9E3779B97F4A7C15
 P_INVERSE = pow(P, -1, 1 << 64)
+GAMMA = np.uint64(P)
 #: Text bytes that are worked on at once (a longer text is one chunk).
 CHUNK_BYTES = 1 << 20
 
