@@ -113,9 +113,12 @@ def asked_trigrams(rules=RULES) -> list[str]:
 
 def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings (trigram, doc_id) of the given trigrams over whole texts, written to shared storage."""
+    # the lower-cased text is one subexpression of generated code, which array functions of a lambda would leave
     lower = F.lower(F.col("text"))
-    held = F.filter(F.array(*[F.lit(t) for t in trigrams]), lambda t: F.contains(lower, t))
-    return materialise(docs.select("doc_id", F.explode(held).alias("trigram")), "trigrams")
+    held = F.concat_ws("\n", *[F.when(F.contains(lower, F.lit(t)), F.lit(t)) for t in trigrams])
+    # the outer form infers no filter on the list, which would be worked out twice
+    rows = docs.select("doc_id", held.alias("held")).select("doc_id", F.explode_outer(F.split("held", "\n")).alias("trigram"))
+    return materialise(rows.filter("trigram <> ''"), "trigrams")
 
 
 def candidates(index: DataFrame, rules=RULES) -> DataFrame:
@@ -136,28 +139,37 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
     return held.select("candidate", kinds.alias("kinds")).filter(F.size("kinds") > 0)
 
 
+def _lean(rule: Rule) -> str:
+    """The pattern itself, or where a class is repeated up to the match's end, one that finds long enough matches only.
+
+    A repeated class takes all that it can, so that where the match is too short, each later start in the same
+    stretch gives a shorter one still.
+    """
+    if rule.group or not rule.pattern.endswith("]+") or rule.least < 2:
+        return rule.pattern
+    fixed = rule.pattern[: rule.pattern.rindex("[")]
+    return f"{rule.pattern[:-1]}{{{rule.least - len(fixed)},}}" if not fixed or fixed.isalnum() else rule.pattern
+
+
 def matches(text: Column, rule: Rule, rank: int) -> Column:
     """array<struct<start, rank, end, kind>> of a rule's leftmost non-overlapping matches that it accepts."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
-    between = F.transform(F.split(text, rule.pattern, -1), lambda s: F.length(s))
-    steps = F.transform(found, lambda m, i: F.struct(F.get(between, i).alias("gap"), F.length(m).alias("n"), F.length(F.get(value, i)).alias("value")))
+    pattern = _lean(rule)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else found
+    # what lies before each match; the last piece, after all matches, meets null
+    pieces = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
+    steps = F.zip_with(F.zip_with(found, value, lambda m, v: F.struct(F.length(m).alias("n"), F.length(v).alias("value"))), pieces, lambda m, gap: F.struct(gap.alias("gap"), m["n"].alias("n"), m["value"].alias("value")))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
 
     def step(state, x):
         start = state["at"] + x["gap"]
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["n"]).alias("end"), F.lit(rule.kind).alias("kind"))
         done = F.when(x["value"] >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct((start + x["n"]).alias("at"), done.alias("spans"))
+        return F.struct((start + F.coalesce(x["n"], F.lit(0))).alias("at"), done.alias("spans"))
 
     return F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
 
 
-def first_test(rule: Rule) -> str:
-    """A pattern that some match within the text must pass before spans are worked out."""
-    return f"{rule.pattern[:-1]}{{{rule.least},}}" if rule.pattern.endswith("]+") and not rule.group and rule.pattern.startswith("[") else rule.pattern
-
-
 def _scanned(rows: DataFrame, rules) -> DataFrame:
     """Rows with doc_id and non-null text, and found: array<struct<start, rank, end, kind>>."""
     index = trigram_index(rows, asked_trigrams(rules))
@@ -166,7 +178,7 @@ def _scanned(rows: DataFrame, rules) -> DataFrame:
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     parts = []
     for rank, rule in enumerate(rules):
-        asked = F.array_contains("kinds", rule.kind) if trigram_query(rule.pattern) else F.col("text").rlike(first_test(rule))
+        asked = F.array_contains("kinds", rule.kind) if trigram_query(rule.pattern) else F.col("text").rlike(_lean(rule))
         parts.append(F.when(asked, matches(F.col("text"), rule, rank)).otherwise(none))
     return rows.withColumn("found", F.array_sort(F.concat(*parts))).drop("candidate", "kinds")
 
