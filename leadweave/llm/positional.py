@@ -1,14 +1,17 @@
 r"""Benchmark decontamination with a distributed positional inverted index.
 
-The index has a posting list (term, document, positions) for each benchmark term that a document holds. A window
-of test words is looked up by its rarest term; the offset-adjusted positions of that list are the possible starts,
-and the lists of the window's other terms are intersected with them. A window occurs where all of them agree.
+The index is partitioned by document: with each document lie the posting lists (term, positions) of the benchmark
+terms that it holds. A window of test words is looked up by its rarest term; the offset-adjusted positions of that
+term's lists are the possible starts, and the lists of the window's other terms are intersected with them, rarest
+first. A window occurs where all of them agree. As a document's lists lie together, nothing but the hits is shuffled.
 
 Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z, known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,12 +21,12 @@ from leadweave.llm.words import chunks, split_words
 from leadweave.storage import materialise, small_or_merge
 
 WINDOW = 10
-#: Most benchmark terms that tasks hold to filter postings as they are made (8 bytes each); beyond, a join filters.
+#: Most benchmark terms that tasks hold to filter postings as they are made (8 bytes each); beyond, all are posted.
 MAX_VOCABULARY = 2_000_000
-#: Most windows, or documents with possible starts, that are broadcast (some 200 bytes each).
+#: Most windows, or contaminated documents, that are broadcast at once (some 300 bytes each); more go in slices.
 BROADCAST_ROWS = 100_000
 
-INDEX = "doc_id {id}, text_hash long, n_words int, term long, positions array<int>"
+INDEX = "doc_id {id}, text_hash long, n_words int, lists map<long,array<int>>"
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -40,7 +43,7 @@ def item_terms(items: DataFrame) -> DataFrame:
 
 
 def positional_index(docs: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
-    """Posting lists of the given terms (sorted; all terms if None), and a row of null term for each document."""
+    """A row for each document with its posting lists of the given terms (sorted; of all terms if None)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary) if vocabulary is not None else None
 
@@ -63,21 +66,10 @@ def positional_index(docs: DataFrame, vocabulary: np.ndarray | None) -> DataFram
             new[1:] = (rows[1:] != rows[:-1]) | (terms[1:] != terms[:-1])
             begin = np.flatnonzero(new)
             lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(rows)), pa.int32()), pa.array(at, pa.int32()))
-            n_words = np.diff(words.first)
-            of = rows[begin]
-            n = batch.num_rows
-            ids = pa.concat_arrays([batch.column("doc_id").take(pa.array(of)), batch.column("doc_id")])
-            hashes = pa.concat_arrays([batch.column("text_hash").take(pa.array(of)), batch.column("text_hash")])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids,
-                    hashes,
-                    pa.array(np.concatenate([n_words[of], n_words]), pa.int32()),
-                    pa.concat_arrays([pa.array(terms[begin].view(np.int64)), pa.nulls(n, pa.int64())]),
-                    pa.concat_arrays([lists, pa.nulls(n, pa.list_(pa.int32()))]),
-                ],
-                names=["doc_id", "text_hash", "n_words", "term", "positions"],
-            )
+            ends = np.searchsorted(rows[begin], np.arange(batch.num_rows + 1))
+            maps = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(terms[begin].view(np.int64)), lists)
+            n_words = pa.array(np.diff(words.first), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), n_words, maps], names=["doc_id", "text_hash", "n_words", "lists"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     return rows.mapInArrow(post, INDEX.format(id=kind))
@@ -88,62 +80,63 @@ def benchmark_index(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataF
     items = materialise(item_terms(items), "items")
     terms = items.select(F.explode("terms").alias("term")).distinct()
     found = [r.term for r in terms.limit(MAX_VOCABULARY + 1).collect()]
-    if len(found) <= MAX_VOCABULARY:
-        return materialise(positional_index(docs, np.sort(np.array(found, dtype=np.int64).view(np.uint64))), "postings"), items
-    index = positional_index(docs, None)
-    asked = index.join(terms.hint("merge"), "term", "left_semi")
-    return materialise(asked.unionByName(index.filter("term IS NULL")), "postings"), items
+    known = np.sort(np.array(found, dtype=np.int64).view(np.uint64)) if len(found) <= MAX_VOCABULARY else None
+    return materialise(positional_index(docs, known), "postings"), items
 
 
 def _same_document(a: str, b: str) -> Column:
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
 
 
-def _lookups(index: DataFrame, phrases: DataFrame) -> DataFrame:
-    """phrase, terms, term, off: phrases of which every term is indexed, with their rarest term and its offset."""
-    counts = materialise(index.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")), "df")
-    spread = phrases.select("phrase", "terms", F.posexplode("terms").alias("off", "term"))
-    ranked = spread.join(counts.hint("merge"), "term").groupBy("phrase").agg(
-        F.count("*").alias("found"), F.first("terms").alias("terms"), F.min(F.struct("df", "off", "term")).alias("rare")
-    )
-    return materialise(ranked.filter(F.col("found") == F.size("terms")).select("phrase", "terms", "rare.term", "rare.off"), "lookups")
+def _lookups(index: DataFrame, phrases: DataFrame) -> list[DataFrame]:
+    """Slices of: phrase, n, term, off, rest, for phrases of which every term is indexed.
+
+    term is the rarest one, off its offset, rest the others as (df, off, term), rarest first.
+    """
+    counts = index.select(F.explode(F.map_keys("lists")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    spread = phrases.select("phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("off", "term"))
+    ranked = spread.hint("merge").join(counts, "term").groupBy("phrase", "n").agg(F.sort_array(F.collect_list(F.struct("df", "off", "term"))).alias("all"))
+    ranked = ranked.filter(F.size("all") == F.col("n")).select("phrase", "n", F.col("all")[0]["term"].alias("term"), F.col("all")[0]["off"].alias("off"), F.slice("all", 2, F.greatest(F.col("n") - 1, F.lit(1))).alias("rest"))
+    ranked = materialise(ranked, "lookups")
+    slices = -(-ranked.count() // BROADCAST_ROWS)
+    return [ranked.filter(F.pmod("phrase", F.lit(slices)) == k) for k in range(slices)] or [ranked]
+
+
+def _places(index: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Each position of each list whose term is looked up, with all lists of the document."""
+    lists = index.select("doc_id", "text_hash", "n_words", "lists", F.explode("lists").alias("term", "positions"))
+    return lists.join(F.broadcast(lookup), "term").select("*", F.explode("positions").alias("at"))
 
 
 def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """doc_id, text_hash, phrase, start, n: each place at which a phrase (phrase long, terms array<long>) occurs.
 
-    `index` is a written index, phrases have at most 62 words. Rows that share id and text count once.
+    `index` is a written index. Rows that share id and text each give their matches.
     """
-    rare = small_or_merge(_lookups(index, phrases), BROADCAST_ROWS)
-    lists = index.filter("term IS NOT NULL")
-    starts = lists.join(rare, "term").select("doc_id", "text_hash", "n_words", "phrase", "terms", F.explode("positions").alias("at"), "off")
-    starts = starts.withColumn("start", F.col("at") - F.col("off")).filter((F.col("start") >= 0) & (F.col("start") + F.size("terms") <= F.col("n_words")))
-    starts = materialise(starts.select("doc_id", "text_hash", "phrase", "start", "terms").distinct(), "starts")
-    # lists of documents without a possible start are left out before the shuffle, if the others are few
-    holding = materialise(starts.select("doc_id", "text_hash").distinct(), "holding")
-    if holding.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        lists = lists.alias("a").join(F.broadcast(holding).alias("b"), _same_document("a", "b"), "left_semi")
-    asked = starts.select("doc_id", "text_hash", "phrase", "start", F.size("terms").alias("n"), F.posexplode("terms").alias("off", "term"))
-    agree = asked.hint("merge").alias("a").join(lists.alias("b"), _same_document("a", "b") & (F.col("a.term") == F.col("b.term")))
-    agree = agree.filter(F.array_contains("b.positions", F.col("a.start") + F.col("a.off"))).select("a.*")
-    hits = agree.groupBy("doc_id", "text_hash", "phrase", "start", "n").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("bits"))
-    return hits.filter(F.col("bits") == F.expr("shiftleft(1L, n) - 1")).drop("bits")
+    found = []
+    for lookup in _lookups(index, phrases):
+        starts = _places(index, lookup).withColumn("start", F.col("at") - F.col("off"))
+        starts = starts.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words")))
+        agree = F.forall("rest", lambda r: F.coalesce(F.array_contains(F.col("lists")[r["term"]], F.col("start") + r["off"]), F.lit(False)))
+        found.append(starts.filter(agree).select("doc_id", "text_hash", "phrase", "start", "n"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
     """doc_id, text_hash, phrase, at: places of a phrase's rarest term near which all its other terms stand.
 
-    Near is at most `slop` words from where the phrase would have it, in any order.
+    Near is at most `slop` words from where the phrase would have it.
     """
-    rare = small_or_merge(_lookups(index, phrases), BROADCAST_ROWS)
-    lists = index.filter("term IS NOT NULL")
-    starts = lists.join(rare, "term").select("doc_id", "text_hash", "phrase", "terms", F.col("off").alias("rare"), F.explode("positions").alias("at"))
-    starts = materialise(starts.distinct(), "starts")
-    asked = starts.select("doc_id", "text_hash", "phrase", "at", "rare", F.size("terms").alias("n"), F.posexplode("terms").alias("off", "term"))
-    near = asked.hint("merge").alias("a").join(lists.alias("b"), _same_document("a", "b") & (F.col("a.term") == F.col("b.term")))
-    close = F.exists("b.positions", lambda p: F.abs(p - (F.col("a.at") - F.col("a.rare") + F.col("a.off"))) <= slop)
-    hits = near.filter(close).select("a.*").groupBy("doc_id", "text_hash", "phrase", "at", "n").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("bits"))
-    return hits.filter(F.col("bits") == F.expr("shiftleft(1L, n) - 1")).drop("bits", "n")
+    found = []
+    for lookup in _lookups(index, phrases):
+        places = _places(index, lookup)
+
+        def near(r):
+            due = F.col("at") - F.col("off") + r["off"]
+            return F.coalesce(F.exists(F.col("lists")[r["term"]], lambda p: F.abs(p - due) <= slop), F.lit(False))
+
+        found.append(places.filter(F.forall("rest", near)).select("doc_id", "text_hash", "phrase", "at"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -179,7 +172,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
     listed = listed.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
     both = covered.alias("a").join(listed.alias("b"), _same_document("a", "b")).select("a.*", "b.item_ids")
     both = materialise(both, "contaminated")
-    rows = index.filter("term IS NULL").select("doc_id", "text_hash", F.col("n_words").cast("long"))
+    rows = index.select("doc_id", "text_hash", F.col("n_words").cast("long"))
     rows = rows.alias("a").join(small_or_merge(both, BROADCAST_ROWS).alias("b"), _same_document("a", "b"), "left")
     return rows.select("a.*", F.coalesce("b.n_hit", F.lit(0)).alias("n_hit"), F.coalesce("b.item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
