@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from leadweave.llm import bagminhash, langid, mixing, positional, secrets
+from leadweave.llm import bagminhash, langid, mixing, positional, secrets, warc
 from leadweave.shipping import shipped
 
 QUERIES = {
     "op1_bagminhash": shipped(bagminhash.op1_bagminhash),
     "op2_secrets": shipped(secrets.op2_secrets),
+    "op3_warc": shipped(warc.op3_warc),
     "op7_decontaminate": shipped(positional.op7_decontaminate),
     "op8_langid": shipped(langid.op8_langid),
     "op9_mix": shipped(mixing.op9_mix),
 }
 ORACLE_SQL = {
     "op2_secrets": secrets.ORACLE_SQL,
+    "op3_warc": warc.ORACLE_SQL,
     "op7_decontaminate": positional.ORACLE_SQL,
     "op9_mix": mixing.ORACLE_SQL,
 }
