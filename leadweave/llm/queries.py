@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from leadweave.llm import bagminhash, langid, mixing, positional, secrets, warc
+from leadweave.llm import bagminhash, langid, mixing, positional, projections, secrets, warc
 from leadweave.shipping import shipped
 
 QUERIES = {
     "op1_bagminhash": shipped(bagminhash.op1_bagminhash),
+    "op10_projections": shipped(projections.op10_projections),
     "op2_secrets": shipped(secrets.op2_secrets),
     "op3_warc": shipped(warc.op3_warc),
     "op7_decontaminate": shipped(positional.op7_decontaminate),
