@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadweave.llm import bagminhash, langid, mixing, positional, projections, secrets, warc
+from leadweave.llm import bagminhash, langid, layout, mixing, positional, projections, quotes, secrets, toxicity, warc
 from leadweave.shipping import shipped
 
 QUERIES = {
@@ -10,6 +10,9 @@ QUERIES = {
     "op10_projections": shipped(projections.op10_projections),
     "op2_secrets": shipped(secrets.op2_secrets),
     "op3_warc": shipped(warc.op3_warc),
+    "op4_toxicity": shipped(toxicity.op4_toxicity),
+    "op5_quotes": shipped(quotes.op5_quotes),
+    "op6_layout": shipped(layout.op6_layout),
     "op7_decontaminate": shipped(positional.op7_decontaminate),
     "op8_langid": shipped(langid.op8_langid),
     "op9_mix": shipped(mixing.op9_mix),
