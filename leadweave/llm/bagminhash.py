@@ -8,16 +8,18 @@ blocks [0,1), [1,2), [2,4), [4,8) ...: a block is one process of its whole rate,
 only in part is thinned by each point's level. Points later than a bound, by which all registers are filled
 almost surely, are not made; documents with an empty register are done again with a later bound.
 
-Registers are banded. Documents of a band bucket are compared with the bucket's first; where that leaves the
-bucket in several components, the members outside its largest component are compared with all others. Every
-similarity is exact: sum of minimum counts over sum of maximum counts.
+Registers are banded. Documents of a band bucket are compared with the member that has the most company in all
+its buckets; where that leaves a bucket in several components, those outside its largest component are compared
+with one drawn from it, a few times over. What then still stands outside is compared with every member of another
+component, but for pairs that the triangle inequality excludes: one less the similarity is a distance, and both
+were compared with the same first member. Every similarity is exact: sum of minimum counts over sum of maximum counts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadweave.llm.words import GAMMA, chunks, mix64, shingle_hashes, split_words
@@ -29,10 +31,12 @@ SHINGLE = 5
 SIMILAR = (4, 5)
 #: At similarity 0.8 a pair shares no band with a chance of 3e-6.
 BANDS, ROWS = 42, 6
+#: Registers of which the four low bits must agree for a comparison: 5.7 standard deviations below the mean at 0.8.
+LEAST_AGREE = 170
 #: Documents whose registers are filled together.
 GROUP = 256
 #: Most buckets, or texts to compare, of which ids (16 bytes a row) are broadcast.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 200_000
 
 
 def _points(seed, draw):
@@ -128,11 +132,16 @@ def _banded(batches):
         for at in range(0, batch.num_rows, GROUP):
             part = batch.slice(at, GROUP)
             hashes, first = shingle_hashes(split_words(part.column("text")), SHINGLE)
-            keys = band_keys(signatures(hashes, first, BANDS * ROWS)).view(np.int64)
+            ids = signatures(hashes, first, BANDS * ROWS)
+            keys = band_keys(ids).view(np.int64)
+            low = np.zeros((len(ids), -(-ids.shape[1] // 16) * 16), dtype=np.uint64)
+            low[:, : ids.shape[1]] = ids & np.uint64(15)
+            low = np.bitwise_or.reduce(low.reshape(len(ids), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * low.shape[1], pa.int32()), pa.array(low.view(np.int64).ravel()))
             n = np.diff(first)
             offsets = pa.array(np.arange(len(n) + 1) * BANDS, pa.int32())
             bands = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()), mask=pa.array(n == 0))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_id"), pa.array(n, pa.int64()), bands], names=["doc_id", "text_id", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_id"), pa.array(n, pa.int64()), bands, sketch], names=["doc_id", "text_id", "n", "bands", "sketch"])
 
 
 def _shared(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
@@ -144,8 +153,8 @@ def _shared(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return int(np.minimum(a[1][same], b[1][at[same]]).sum())
 
 
-def _verified(batches):
-    """The pairs (a, b) whose texts are similar."""
+def _compared(batches):
+    """The pairs (a, b) with the sums of minimum and of maximum counts of their bags."""
 
     def bags(texts):
         hashes, first = shingle_hashes(split_words(texts), SHINGLE)
@@ -154,29 +163,49 @@ def _verified(batches):
     for batch in chunks(batches, "text_a"):
         for at in range(0, batch.num_rows, GROUP):
             part = batch.slice(at, GROUP)
-            codes = part.column("b").dictionary_encode()  # a bucket's first stands in many pairs
-            where = [codes.indices.index(pa.scalar(k, codes.indices.type)).as_py() for k in range(len(codes.dictionary))]
-            right = bags(part.column("text_b").take(pa.array(where, pa.int64())))
-            good = []
-            for i, (x, k) in enumerate(zip(bags(part.column("text_a")), codes.indices.to_pylist(), strict=True)):
-                y = right[k]
-                nx, ny = int(x[1].sum()), int(y[1].sum())
-                if SIMILAR[1] * min(nx, ny) >= SIMILAR[0] * max(nx, ny):
-                    both = _shared(x, y)
-                    if SIMILAR[1] * both >= SIMILAR[0] * (nx + ny - both):
-                        good.append(i)
-            rows = pa.array(good, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("a").take(rows), part.column("b").take(rows)], names=["a", "b"])
-
-
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the written pairs (a, b: text ids) that are similar, written."""
+            codes = part.column("b").dictionary_encode()  # one text is compared with many
+            where = np.unique(codes.indices.to_numpy(), return_index=True)[1]
+            right = bags(part.column("text_b").take(pa.array(where)))
+            same, total = [], []
+            for x, k in zip(bags(part.column("text_a")), codes.indices.to_pylist(), strict=True):
+                same.append(_shared(x, right[k]))
+                total.append(int(x[1].sum() + right[k][1].sum()) - same[-1])
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(same, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "same", "total"])
+
+
+def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The written pairs (a, b: text ids) with same and total, written."""
     asked = materialise(pairs.select(F.col("a").alias("asked")).unionByName(pairs.select(F.col("b").alias("asked"))).distinct(), "asked")
     held = texts.join(small_or_merge(asked, BROADCAST_IDS), F.col("text_id") == F.col("asked"), "left_semi")
     held = materialise(held.groupBy("text_id").agg(F.first("text").alias("text")), "asked-texts")
     both = pairs.join(held.select(F.col("text_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     both = both.join(held.select(F.col("text_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long"), "links")
+    return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_compared, "a long, b long, same long, total long"), "compared")
+
+
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.filter(SIMILAR[1] * F.col("same") >= SIMILAR[0] * F.col("total")).select("a", "b")
+
+
+def _differing(a: str, b: str) -> Column:
+    """Registers whose four low bits differ, of two sketches of sixteen registers to a number."""
+    total = F.lit(0)
+    for k in range(-(-BANDS * ROWS // 16)):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + F.bit_count(x)
+    return total
+
+
+def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with their part and the bucket's main one, written."""
+    placed = members.join(labels.hint("merge"), F.col("text_id") == F.col("node"), "left")
+    placed = placed.withColumn("part", F.coalesce("component", "text_id")).drop("node", "component")
+    parts = placed.groupBy("band", "part").agg(F.count("*").alias("size"))
+    several = parts.groupBy("band").agg(F.max(F.struct("size", "part")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    several = materialise(several.select("band", F.col("most.part").alias("main")), "open-buckets")
+    return materialise(placed.join(small_or_merge(several, BROADCAST_IDS), "band"), "open-members")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -190,30 +219,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_id"))
-    made = materialise(texts.mapInArrow(_banded, f"doc_id {kind}, text_id long, n long, bands array<long>"), "bands")
-    nodes = made.filter("n > 0").groupBy("text_id").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    made = materialise(texts.mapInArrow(_banded, f"doc_id {kind}, text_id long, n long, bands array<long>, sketch array<long>"), "bands")
+    nodes = made.filter("n > 0").groupBy("text_id").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = materialise(nodes, "nodes")
     rows = materialise(nodes.select("text_id", "n", F.explode("bands").alias("band")), "band-rows")
-    full = materialise(rows.groupBy("band").agg(F.count("*").alias("size"), F.min("text_id").alias("head")).filter("size > 1").drop("size"), "buckets")
-    members = materialise(rows.join(small_or_merge(full, BROADCAST_IDS), "band"), "members")
+    full = materialise(rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
+    members = materialise(rows.join(small_or_merge(full, BROADCAST_IDS), "band"), "in-buckets")
+    company = members.groupBy("text_id").agg(F.sum("size").alias("company"))
+    members = materialise(members.drop("size").join(company.hint("merge"), "text_id"), "members")
+    heads = members.groupBy("band").agg(F.max(F.struct("company", "text_id")).alias("head")).select("band", F.col("head.text_id").alias("head"))
+    members = materialise(members.drop("company").join(small_or_merge(materialise(heads, "heads"), BROADCAST_IDS), "band"), "members")
     pairs = materialise(members.filter("text_id <> head").select(F.col("text_id").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
-    links = _verify(pairs, texts)
-
-    # buckets that their first has not made one component
+    first = _compare(pairs, texts)
+    links = _links(first)
     labels = connected_components(links, "a", "b")
-    placed = members.join(labels.hint("merge"), F.col("text_id") == F.col("node"), "left")
-    placed = placed.select("band", "text_id", "n", "head", F.coalesce("component", "text_id").alias("part"))
-    parts = placed.groupBy("band", "part").agg(F.count("*").alias("size"))
-    open_ = parts.groupBy("band").agg(F.max(F.struct("size", "part")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = materialise(open_.select("band", F.col("most.part").alias("main")), "open-buckets")
-    placed = materialise(placed.join(small_or_merge(open_, BROADCAST_IDS), "band"), "open-members")
-    x, y = placed.filter("part <> main").alias("x"), placed.alias("y")
+    # pairs of different components that no bucket has ruled out
+    far = 1 - F.col("same") / F.col("total")
+    known = first.select(F.col("a").alias("text_id"), F.col("b").alias("head"), far.alias("far"))
+    left = _open_members(members, labels).join(known.hint("merge"), ["text_id", "head"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
+    left = materialise(left.join(nodes.select("text_id", "sketch").hint("merge"), "text_id"), "measured")
+    x, y = left.filter("part <> main").alias("x"), left.alias("y")
     apart = (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.text_id") < F.col("y.text_id")))
     new = (F.col("x.text_id") != F.col("x.head")) & (F.col("y.text_id") != F.col("y.head"))
     near = SIMILAR[1] * F.least("x.n", "y.n") >= SIMILAR[0] * F.greatest("x.n", "y.n")
-    cross = x.hint("merge").join(y, (F.col("x.band") == F.col("y.band")) & apart & new & near)
+    within = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - SIMILAR[0] / SIMILAR[1] + 1e-9
+    cross = x.hint("merge").join(y, (F.col("x.band") == F.col("y.band")) & apart & new & near & within & (_differing("x.sketch", "y.sketch") <= BANDS * ROWS - LEAST_AGREE))
     cross = materialise(cross.select(F.greatest("x.text_id", "y.text_id").alias("a"), F.least("x.text_id", "y.text_id").alias("b")).distinct(), "cross-pairs")
     if not cross.isEmpty():
-        labels = connected_components(links.unionByName(_verify(cross, texts)), "a", "b")
+        labels = connected_components(links.unionByName(_links(_compare(cross, texts))), "a", "b")
 
     found = made.join(labels.hint("merge"), F.col("text_id") == F.col("node"), "left")
     found = found.select("doc_id", "text_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "text_id")).alias("part"))
