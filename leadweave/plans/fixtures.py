@@ -74,7 +74,10 @@ FROM customer CROSS JOIN (SELECT 'mx' AS kind UNION ALL SELECT 'web' AS kind) x
 """,
     "model_replies": """
 SELECT substr(md5(CAST(c_custkey AS STRING)),1,12) || '.com' AS domain,
- CASE c_custkey % 3 WHEN 0 THEN '""",
+ CASE c_custkey % 3 WHEN 0 THEN '```json {"owner_name":"Ricardo Alvarez","year_founded":"1985","services":"AC repair","family_owned":"yes","summary":"S."}```'
+  WHEN 1 THEN 'Sure: {"owner_name":"","employee_estimate":"12 people","services":["a","b"],"family_owned":false} ok' ELSE 'no json here' END AS reply
+FROM customer WHERE c_custkey % 2 = 0
+""",
 }
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leadweave.plans import queries
+from leadweave.plans import facts, queries
 from leadweave.shipping import shipped
 
-QUERIES = {k: shipped(f) for k, f in queries.QUERIES.items()}
-ORACLE_SQL = dict(queries.ORACLE_SQL)
+QUERIES = {k: shipped(f) for k, f in {**queries.QUERIES, **facts.QUERIES}.items()}
+ORACLE_SQL = {**queries.ORACLE_SQL, **facts.ORACLE_SQL}
