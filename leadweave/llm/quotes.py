@@ -9,6 +9,7 @@ by doubling the reply pointers.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,16 +78,16 @@ def quotation_links(parsed: DataFrame) -> DataFrame:
 
 def threads(replies: DataFrame) -> DataFrame:
     """conv_id, turn, thread, depth of replies (conv_id, turn, reply_to): the first message and the steps to it."""
-    state = materialise(replies.select("conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).alias("steps")), "replies")
-    while True:
-        over = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("higher"), F.col("steps").alias("more"))
-        state = materialise(
-            state.hint("merge").join(over, ["conv_id", "up"], "left").select("conv_id", "turn", F.coalesce("higher", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("higher").isNotNull().alias("moved")),
-            "threads",
-        )
-        if state.filter("moved").isEmpty():
-            return state.select("conv_id", "turn", F.col("up").alias("thread"), F.col("steps").alias("depth"))
-        state = state.drop("moved")
+    active = materialise(replies.select("conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).alias("steps")), "replies")
+    known, done = active, []
+    while not active.isEmpty():
+        over = known.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("higher"), F.col("steps").alias("more"))
+        moved = materialise(active.hint("merge").join(over, ["conv_id", "up"], "left"), "threads")
+        done.append(moved.filter("higher IS NULL").select("conv_id", "turn", "up", "steps"))  # at the first message
+        active = moved.filter("higher IS NOT NULL").select("conv_id", "turn", F.col("higher").alias("up"), (F.col("steps") + F.col("more")).alias("steps"))
+        known = reduce(DataFrame.unionByName, [active, *done])
+    out = reduce(DataFrame.unionByName, done, active)
+    return out.select("conv_id", "turn", F.col("up").alias("thread"), F.col("steps").alias("depth"))
 
 
 def link_quotations(messages: DataFrame) -> DataFrame:
