@@ -19,7 +19,7 @@ UNKNOWN = "und"
 #: Documents of each language that are drawn for training, by a threshold on the hash of their ids.
 TRAIN_DOCUMENTS = 3000
 #: Words and n-grams that the model keeps, the most frequent ones, and the count they need.
-MODEL_KEYS = 300_000
+MODEL_KEYS = 200_000
 LEAST_COUNT = 3
 LONGEST = 5
 #: Words beyond which more text makes a score no surer.
@@ -157,14 +157,16 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCUMENTS) -> Model:
     """Learn from the rows of training_rows; counts are summed by Spark, the most frequent keys make the model."""
     counts = training_rows(docs, per_language).mapInArrow(_counted, "lang string, n int, key long, count long").groupBy("n", "key", "lang").agg(F.sum("count").alias("count"))
     by_key = counts.groupBy("n", "key").agg(F.sum("count").alias("total"), F.collect_list(F.struct("lang", "count")).alias("of")).filter(F.col("total") >= LEAST_COUNT)
-    kept = by_key.orderBy(F.desc("total"), "n", "key").limit(MODEL_KEYS).select("n", "key", F.posexplode("of").alias("i", "x")).select("n", "key", "x.lang", "x.count").toPandas()
-    langs = sorted(kept["lang"].unique())
+    kept = by_key.orderBy(F.desc("total"), "n", "key").limit(MODEL_KEYS).select("n", "key", F.explode("of").alias("x")).select("n", "key", "x.lang", "x.count").toArrow()
+    langs = sorted(pc.unique(kept.column("lang")).to_pylist())
+    code = pc.index_in(kept.column("lang"), pa.array(langs, pa.string())).to_numpy()
+    length, every, times = (kept.column(c).to_numpy() for c in ("n", "key", "count"))
     tables = {}
     for n in range(LONGEST + 1):
-        part = kept[kept["n"] == n]
-        keys, at = np.unique(part["key"].to_numpy(dtype=np.int64).view(np.uint64), return_inverse=True)
+        part = length == n
+        keys, at = np.unique(every[part].view(np.uint64), return_inverse=True)
         count = np.full((len(keys), len(langs)), 0.5)
-        np.add.at(count, (at, np.searchsorted(langs, part["lang"].to_numpy(dtype=str)) if len(part) else at), part["count"].to_numpy())
+        np.add.at(count, (at, code[part]), times[part])
         logs = np.log(count / np.maximum(count.sum(axis=0, keepdims=True), 1.0))
         tables[n] = (keys, logs - np.logaddexp.reduce(logs, axis=1, keepdims=True) if len(keys) else logs)
     return Model(langs, tables)

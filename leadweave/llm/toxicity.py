@@ -291,10 +291,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOC
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCUMENTS) -> Network:
     """Fit on the rows of training_rows, in the order of their ids, so that reruns agree."""
-    rows = training_rows(docs, labels, per_class).toPandas().sort_values(["doc_id", "text"])
-    if rows.empty:
+    rows = training_rows(docs, labels, per_class).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    if not rows.num_rows:
         return Network(np.zeros(0, np.uint64))
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy(dtype=np.float64))
+    return fit(rows.column("text").to_pylist(), rows.column("toxic").to_numpy().astype(np.float64))
 
 
 def score_texts(docs: DataFrame, net: Network) -> DataFrame:
