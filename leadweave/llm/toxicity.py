@@ -24,6 +24,8 @@ WORD_DIM, CHAR_DIM, HIDDEN, CHAR_BUCKETS = 10, 10, 10, 1 << 13
 #: Training documents that a word of the vocabulary occurs in at least, and the most words that it holds.
 LEAST_DOCUMENTS, VOCABULARY = 3, 50_000
 EPOCHS, ROUNDS, BATCH, RATE = 5, 3, 256, 5e-3
+#: Steps of each round at least, so that few documents are learnt, too.
+LEAST_STEPS = 100
 #: Windows that are run at once.
 SLICE = 2048
 TOXIC = 0.7
@@ -234,11 +236,14 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
             any_ = rng.permutation(len(row))
             any_ = any_[np.unique(row[any_], return_index=True)[1]]
             chosen += [(k, w, float(label[row[w]])) for w in top.tolist()] + [(k, w, 0.0) for w in any_.tolist() if label[row[w]] == 0]
-        for _ in range(EPOCHS):
+        if not chosen:
+            continue
+        batch = min(BATCH, max(16, len(chosen) // 12))
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS * batch // len(chosen)))):
             order = rng.permutation(len(chosen))
-            for i in range(0, len(order), BATCH):
+            for i in range(0, len(order), batch):
                 steps += 1
-                _step(net, parts, [chosen[j] for j in order[i : i + BATCH]], moments, steps, rng)
+                _step(net, parts, [chosen[j] for j in order[i : i + batch]], moments, steps, rng)
     return net
 
 
