@@ -8,11 +8,12 @@ blocks [0,1), [1,2), [2,4), [4,8) ...: a block is one process of its whole rate,
 only in part is thinned by each point's level. Points later than a bound, by which all registers are filled
 almost surely, are not made; documents with an empty register are done again with a later bound.
 
-Registers are banded. Documents of a band bucket are compared with the member that has the most company in all
-its buckets; where that leaves a bucket in several components, those outside its largest component are compared
-with one drawn from it, a few times over. What then still stands outside is compared with every member of another
-component, but for pairs that the triangle inequality excludes: one less the similarity is a distance, and both
-were compared with the same first member. Every similarity is exact: sum of minimum counts over sum of maximum counts.
+Registers are banded. Documents of a band bucket are compared with its head, the member that has the most company
+in all its buckets. Where that leaves a bucket in several components, what stands outside the largest is paired with
+the members of the others, but for pairs that cannot be similar. That is told from what a document lacks and adds
+against the head, by counts alone: for bags x, y and head h, the sum of minimum counts of x and y is
+|x & h| + |y & h| - |h| + |lack(x) & lack(y)| + |add(x) & add(y)|, and bitmaps of hashed shingles bound the last two
+from above. Every similarity that counts is exact: sum of minimum counts over sum of maximum counts.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SIMILAR = (4, 5)
 BANDS, ROWS = 42, 6
 #: Registers of which the four low bits must agree for a comparison: 5.7 standard deviations below the mean at 0.8.
 LEAST_AGREE = 170
+#: Bits of the maps of what a document lacks and adds against a head: 512, by the leading bits of a shingle's hash.
+CELL_BITS = 9
 #: Documents whose registers are filled together.
 GROUP = 256
 #: Most buckets, or texts to compare, of which ids (16 bytes a row) are broadcast.
@@ -144,43 +147,55 @@ def _banded(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_id"), pa.array(n, pa.int64()), bands, sketch], names=["doc_id", "text_id", "n", "bands", "sketch"])
 
 
-def _shared(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
-    """The sum of minimum counts of two sorted bags."""
-    if len(a[0]) > len(b[0]):
-        a, b = b, a
+def _over(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray]:
+    """Of two sorted bags: by how much a's counts exceed b's in sum, and the bitmap of the shingles that do."""
     at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
-    same = b[0][at] == a[0]
-    return int(np.minimum(a[1][same], b[1][at[same]]).sum())
+    more = a[1] - np.where(b[0][at] == a[0], b[1][at], 0)
+    cell = a[0][more > 0] >> np.uint64(64 - CELL_BITS)
+    bits = np.zeros(1 << (CELL_BITS - 6), dtype=np.uint64)
+    np.bitwise_or.at(bits, (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
+    return int(more[more > 0].sum()), bits
+
+
+#: Sums of minimum and maximum counts of a and b, and bitmaps of what a lacks and adds against b.
+COMPARED = "a long, b long, same long, total long, lacks array<long>, adds array<long>"
 
 
 def _compared(batches):
-    """The pairs (a, b) with the sums of minimum and of maximum counts of their bags."""
+    """The pairs (a, b) as COMPARED says."""
 
     def bags(texts):
         hashes, first = shingle_hashes(split_words(texts), SHINGLE)
         return [np.unique(hashes[first[i] : first[i + 1]], return_counts=True) for i in range(len(first) - 1)]
 
+    def lists(maps):
+        flat = pa.array(np.array(maps).view(np.int64).ravel())
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1) * (1 << (CELL_BITS - 6)), pa.int32()), flat)
+
     for batch in chunks(batches, "text_a"):
         for at in range(0, batch.num_rows, GROUP):
             part = batch.slice(at, GROUP)
             codes = part.column("b").dictionary_encode()  # one text is compared with many
             where = np.unique(codes.indices.to_numpy(), return_index=True)[1]
             right = bags(part.column("text_b").take(pa.array(where)))
-            same, total = [], []
+            same, total, lacks, adds = [], [], [], []
             for x, k in zip(bags(part.column("text_a")), codes.indices.to_pylist(), strict=True):
-                same.append(_shared(x, right[k]))
-                total.append(int(x[1].sum() + right[k][1].sum()) - same[-1])
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(same, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "same", "total"])
+                added, bits = _over(x, right[k])
+                adds.append(bits)
+                lacks.append(_over(right[k], x)[1])
+                same.append(int(x[1].sum()) - added)
+                total.append(int(right[k][1].sum()) + added)
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(same, pa.int64()), pa.array(total, pa.int64()), lists(lacks), lists(adds)], names=["a", "b", "same", "total", "lacks", "adds"])
 
 
 def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The written pairs (a, b: text ids) with same and total, written."""
+    """What COMPARED says of the written pairs (a, b: text ids), written."""
     asked = materialise(pairs.select(F.col("a").alias("asked")).unionByName(pairs.select(F.col("b").alias("asked"))).distinct(), "asked")
     held = texts.join(small_or_merge(asked, BROADCAST_IDS), F.col("text_id") == F.col("asked"), "left_semi")
     held = materialise(held.groupBy("text_id").agg(F.first("text").alias("text")), "asked-texts")
     both = pairs.join(held.select(F.col("text_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     both = both.join(held.select(F.col("text_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_compared, "a long, b long, same long, total long"), "compared")
+    return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_compared, COMPARED), "compared")
 
 
 def _links(compared: DataFrame) -> DataFrame:
@@ -198,6 +213,22 @@ def _differing(a: str, b: str) -> Column:
     return total
 
 
+def _common_bits(a: str, b: str) -> Column:
+    """Bits set in both of two bitmaps."""
+    return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseAND(F.get(b, F.lit(k)))) for k in range(1 << (CELL_BITS - 6))), F.lit(0))
+
+
+def _may_be_similar() -> Column:
+    """Whether x and y, both compared with one head, can reach the similarity, by a bound that no link exceeds.
+
+    Cells that a bitmap's shingles share add at most the smaller of both documents' surplus of counts over bits.
+    """
+    both = F.col("x.same") + F.col("y.same") - F.col("x.n_head")
+    for way in ("lacks", "adds"):
+        both = both + _common_bits(f"x.{way}", f"y.{way}") + F.least(f"x.{way}_more", f"y.{way}_more")
+    return (SIMILAR[0] + SIMILAR[1]) * both >= SIMILAR[0] * (F.col("x.n") + F.col("y.n"))
+
+
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components, with their part and the bucket's main one, written."""
     placed = members.join(labels.hint("merge"), F.col("text_id") == F.col("node"), "left")
@@ -234,16 +265,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _links(first)
     labels = connected_components(links, "a", "b")
     # pairs of different components that no bucket has ruled out
-    far = 1 - F.col("same") / F.col("total")
-    known = first.select(F.col("a").alias("text_id"), F.col("b").alias("head"), far.alias("far"))
-    left = _open_members(members, labels).join(known.hint("merge"), ["text_id", "head"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
-    left = materialise(left.join(nodes.select("text_id", "sketch").hint("merge"), "text_id"), "measured")
+    known = first.select(F.col("a").alias("text_id"), F.col("b").alias("head"), "same", "total", "lacks", "adds")
+    left = _open_members(members, labels).join(known.hint("merge"), ["text_id", "head"])
+    surplus = [(F.col("total") - F.col("n") - _common_bits("lacks", "lacks")).alias("lacks_more"), (F.col("n") - F.col("same") - _common_bits("adds", "adds")).alias("adds_more"), (F.col("same") + F.col("total") - F.col("n")).alias("n_head")]
+    left = materialise(left.join(nodes.select("text_id", "sketch").hint("merge"), "text_id").select("*", *surplus), "measured")
     x, y = left.filter("part <> main").alias("x"), left.alias("y")
     apart = (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.text_id") < F.col("y.text_id")))
-    new = (F.col("x.text_id") != F.col("x.head")) & (F.col("y.text_id") != F.col("y.head"))
     near = SIMILAR[1] * F.least("x.n", "y.n") >= SIMILAR[0] * F.greatest("x.n", "y.n")
-    within = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - SIMILAR[0] / SIMILAR[1] + 1e-9
-    cross = x.hint("merge").join(y, (F.col("x.band") == F.col("y.band")) & apart & new & near & within & (_differing("x.sketch", "y.sketch") <= BANDS * ROWS - LEAST_AGREE))
+    cross = x.hint("merge").join(y, (F.col("x.band") == F.col("y.band")) & apart & near & _may_be_similar() & (_differing("x.sketch", "y.sketch") <= BANDS * ROWS - LEAST_AGREE))
     cross = materialise(cross.select(F.greatest("x.text_id", "y.text_id").alias("a"), F.least("x.text_id", "y.text_id").alias("b")).distinct(), "cross-pairs")
     if not cross.isEmpty():
         labels = connected_components(links.unionByName(_links(_compare(cross, texts))), "a", "b")

@@ -66,15 +66,21 @@ def test_near_duplicates_brute_force(spark):
         base = [f"w{rng.randrange(200)}" for _ in range(rng.choice([4, 12, 60, 150]))]
         texts += [" ".join(w if rng.random() > p else "q" for w in base) for p in (0, 0, 0.01, 0.03, 0.06)]
     texts += [None, "", "!!", "!!", "one two", "one two", "x " * 400]
+    # edits of one text with similarities on both sides of the threshold, among them some without the common words
+    base = [f"v{rng.randrange(12)}" for _ in range(70)]
+    for k in range(120):
+        edit = list(base)
+        for _ in range(1 + k % 5):
+            edit[rng.randrange(70)] = f"e{rng.randrange(3)}"
+        texts.append(" ".join(edit))
     got = {r.doc_id: r.component_id for r in bagminhash.near_duplicates(docs(spark, texts)).collect()}
     parent = list(range(len(texts)))
     bags = [bag(t) for t in texts]
-    for _ in range(len(texts)):
-        for i in range(len(texts)):
-            for j in range(i):
-                same = sum((bags[i] & bags[j]).values())
-                if bags[i] and bags[j] and 5 * same >= 4 * sum((bags[i] | bags[j]).values()) and parent[i] != parent[j]:
-                    parent[i] = parent[j] = min(parent[i], parent[j])
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if bags[i] and bags[j] and 5 * sum((bags[i] & bags[j]).values()) >= 4 * sum((bags[i] | bags[j]).values())]
+    assert len({i for link in links for i in link}) < len(texts) - 10
+    while any(parent[i] != parent[j] for i, j in links):
+        for i, j in links:
+            parent[i] = parent[j] = min(parent[i], parent[j])
     assert got == dict(enumerate(parent))
 
 
