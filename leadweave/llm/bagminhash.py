@@ -239,14 +239,10 @@ def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(placed.join(small_or_merge(several, BROADCAST_IDS), "band"), "open-members")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_id, n_shingles, component_id, kept: one row for each row of `docs`.
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_id, n_shingles, part, head: the component of each row and its smallest row, null without words.
 
-    component_id is the smallest doc_id of the documents reachable by similarities of 0.8 or more; equal texts
-    are one node, known by a 64-bit hash. kept marks the rows whose doc_id that is. A text of one to four words
-    has one shingle of all its words. A null, empty or word-less text is like none, not even its copies, and is
-    kept. A null doc_id is never smallest, and kept only if its component has no other id. Only doc_id and text
-    are read. An empty table gives an empty one.
+    head is (no_id, doc_id, text_id): the smallest id, nulls last, and the smallest text of that id.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_id"))
@@ -279,21 +275,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     found = made.join(labels.hint("merge"), F.col("text_id") == F.col("node"), "left")
     found = found.select("doc_id", "text_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "text_id")).alias("part"))
-    heads = found.filter("part IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    found = found.join(heads.hint("merge"), "part", "left")
-    found = found.withColumn("component_id", F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    heads = found.filter("part IS NOT NULL").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id")).alias("head"))
+    return found.join(heads.hint("merge"), "part", "left")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, text_id, n_shingles, component_id, kept: one row for each row of `docs`.
+
+    component_id is the smallest doc_id of the documents reachable by similarities of 0.8 or more; equal texts
+    are one node, known by a 64-bit hash. kept marks the rows whose doc_id that is. A text of one to four words
+    has one shingle of all its words. A null, empty or word-less text is like none, not even its copies, and is
+    kept. A null doc_id is never smallest, and kept only if its component has no other id. Only doc_id and text
+    are read. An empty table gives an empty one.
+    """
+    found = _grouped(docs).withColumn("component_id", F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")))
     return found.select("doc_id", "text_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents, all columns as they were, one of each group of near duplicates."""
-    gone = materialise(near_duplicates(docs), "near-duplicates")
-    again = gone.filter("kept AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1")
-    gone = small_or_merge(materialise(gone.filter("NOT kept").select("doc_id", "text_id").distinct(), "duplicates"), BROADCAST_IDS)
+    """The documents, all columns as they were, one of each group of near duplicates.
+
+    Of a group stays one row with its smallest doc_id (nulls last) and, of several texts under that id, the smallest
+    text_id. Groups are told apart by their texts, so repeated and null ids join none. Rows without words all stay.
+    """
+    stays = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_id") == F.col("head.text_id"))
+    found = _grouped(docs).filter("part IS NOT NULL").groupBy("doc_id", "text_id").agg(F.first(stays).alias("stays"), F.count("*").alias("rows"))
+    found = materialise(found.filter("NOT stays OR rows > 1"), "near-duplicates")
+    again = found.filter("stays").select("doc_id", "text_id")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("a.text") == F.col("b.text_id"))
-    rows = docs.alias("a").join(gone.alias("b"), same, "left_anti").select("a.*")
-    # rows that share an id are rare; only then the table is dealt by id
-    return rows if again.isEmpty() else rows.dropDuplicates(["doc_id"])
+    rows = docs.alias("a").join(small_or_merge(found.select("doc_id", "text_id"), BROADCAST_IDS).alias("b"), same, "left_anti").select("a.*")
+    if again.isEmpty():
+        return rows
+    # of rows that repeat both id and text of the one that stays, any will do
+    copies = docs.alias("a").join(small_or_merge(again, BROADCAST_IDS).alias("b"), same, "left_semi")
+    copies = copies.select(F.struct("a.*").alias("row"), "a.doc_id", F.xxhash64("a.text").alias("text_id")).dropDuplicates(["doc_id", "text_id"])
+    return rows.unionByName(copies.select("row.*"))
 
 
 def op1_bagminhash(spark, sf_dir: str) -> DataFrame:

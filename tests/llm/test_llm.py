@@ -281,3 +281,99 @@ def test_near_vectors_brute_force(spark):
     label = projections._forest(len(u), *np.nonzero(near))
     assert all(got[i] == (near[i].sum(), label[i]) for i in range(len(u)))
     assert got[200] == (0, 200) and got[201] == (0, 201) and got[202] == (0, 202) and got[203] == (1, 203) and got[204] == (1, 203) and got[205] == (0, 205)
+
+
+def one_of_each(rows, text_ids):
+    """Brute force of drop_near_duplicates over (doc_id, text) rows: the indexes of the rows that stay."""
+    bags = [bag(t) for _, t in rows]
+    part = list(range(len(rows)))
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if bags[i] and bags[j] and 5 * sum((bags[i] & bags[j]).values()) >= 4 * sum((bags[i] | bags[j]).values())]
+    while any(part[i] != part[j] for i, j in links):
+        for i, j in links:
+            part[i] = part[j] = min(part[i], part[j])
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, text_ids[rows[i][1]]))
+    first = {}
+    for i in order:
+        first.setdefault(part[i], i)
+    return sorted(first.values())
+
+
+def text_ids(spark, texts):
+    return {r.text: r.h for r in spark.createDataFrame([(t,) for t in set(texts)], "text string").withColumn("h", F.xxhash64("text")).collect()}
+
+
+def test_drop_near_duplicates_keeps_unlike_texts_of_one_id(spark):
+    long = " ".join(f"w{k}" for k in range(40))
+    texts = ["one two three four five", "six seven eight nine ten", "other words of a text", "first text of id seven", "second text under that id"]
+    ids = [None, None, None, 7, 7]
+    # near copies under one id, under no id, and under an id that an unlike text has too; copies of id and text
+    texts += [f"{long} end", f"{long} ends", f"x {long}", f"y {long}", "second text under that id", "second text under that id"]
+    ids += [8, 8, None, 7, 7, 9]
+    texts += ["lone near text " + "a b c d e f g h i j k l m " * 3, "lone near text " + "a b c d e f g h i j k l m " * 3 + "n", "single", "", "", "!!", None, None]
+    ids += [None, None, 3, 3, 3, None, None, 7]
+    d = docs(spark, texts, ids=ids)
+    kept = bagminhash.drop_near_duplicates(d)
+    rows = list(zip(ids, texts, strict=True))
+    want = collections.Counter(rows[i] for i in one_of_each(rows, text_ids(spark, texts)))
+    assert kept.columns == d.columns and collections.Counter((r.doc_id, r.text) for r in kept.collect()) == want
+    assert want[None, "one two three four five"] == want[7, "first text of id seven"] == want[7, "second text under that id"] == 1 and sum(want.values()) == 13
+
+
+def mixed(rows):
+    """Brute force of take_mix over (doc_id, source, text) rows: words and copies of each row."""
+    size = [len(re.findall(r"[^ \t-\r]+", t or "")) for _, _, t in rows]
+    h = [int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16) for i, _, _ in rows]
+    names = sorted({s for _, s, _ in rows if s is not None}) + [None] * any(s is None for _, s, _ in rows)
+    weight = {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(names)}
+    whole = {s: sum(n for n, r in zip(size, rows, strict=True) if r[1] == s) for s in names}
+    order = sorted(names, key=lambda s: 3 * whole[s] / weight[s])
+    level = max((sum(whole.values()) - sum(3.0 * whole[s] for s in order[:k])) / sum(weight[s] for s in order[k:]) for k in range(len(order)))
+    copies = [0] * len(rows)
+    for s in names:
+        of = [k for k, r in enumerate(rows) if r[1] == s]
+        target = min(3.0 * whole[s], weight[s] * level)
+        repeats = int(target // whole[s]) if whole[s] else 0
+        spare, below, upto = target - repeats * whole[s], 0, 0
+        for x in sorted({h[k] for k in of}):
+            more = sum(size[k] for k in of if h[k] == x)
+            upto += more
+            if upto > spare:
+                below = x + (upto - spare < spare - (upto - more))
+                break
+        for k in of:
+            copies[k] = repeats + (h[k] < below and repeats * whole[s] < target)
+    return size, copies
+
+
+def test_pipeline_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    parts = {"de": ["schaft", "keit", "ung", "über"], "fr": ["eaux", "ment", "tion", "é"], "ru": ["ост", "ция", "ни", "ем"]}
+    say = lambda g, n: " ".join("".join(rng.choice(parts[g]) for _ in range(rng.randrange(2, 5))) for _ in range(n))
+    texts = [(g, say(g, rng.choice([3, 12, 30]))) for g in parts for _ in range(30)]
+    item = say("fr", 14)
+    texts += [("de", f"{texts[2][1]} {item}"), ("fr", f"{say('fr', 5)} {item.upper()} {say('fr', 4)}"), ("fr", " ".join(item.split()[:9])), ("fr", item.split(" ", 2)[2])]
+    texts += [(g, f"{say(g, 6)} AKIA{'Q7' * 8} {say(g, 6)}") for g in parts]
+    texts += [(g, f"{t} {say(g, 1)}" if k % 2 else t) for k, (g, t) in enumerate(texts[:90:3])]
+    texts += [(None, None), ("de", ""), ("fr", "12 !"), ("de", "日本 語"), ("fr", "日本")]
+    rows = [(None if k % 9 == 4 else k % 60, t, g, rng.choice(["a", "b", "b", None])) for k, (g, t) in enumerate(texts)]
+    for name, table in (
+        ("documents", spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")),
+        ("benchmark", spark.createDataFrame([(1, item)], "item_id long, text string")),
+    ):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+
+    left = [r for r in rows if re.search("[a-zéüа-я]", r[1] or "")]
+    assert len(left) == len(rows) - 5
+    left = [left[i] for i in one_of_each([r[:2] for r in left], text_ids(spark, [r[1] for r in left]))]
+    windows = {tuple(words(item)[k : k + 10]) for k in range(5)}
+    hits = lambda t: any(tuple(words(t)[k : k + 10]) in windows for k in range(len(words(t))))
+    clean = [r for r in left if not hits(r[1])]
+    assert len(clean) < len(left)
+    clean = [(i, re.sub("AKIA[0-9A-Z]{16}", "[ACCESS]", t), g, s) for i, t, g, s in clean]
+    assert any("[ACCESS]" in t for _, t, _, _ in clean)
+    size, copies = mixed([(i, s, t) for i, t, _, s in clean])
+    want = collections.Counter((*r, n, c) for r, n, c in zip(clean, size, copies, strict=True) if c)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert collections.Counter((r.doc_id, r.text, r.lang, r.source, r.mix_size, r.mix_copies) for r in got) == want
