@@ -24,6 +24,8 @@ BLOCKS = {
     **dict.fromkeys("div section article main header footer nav aside address form li dt dd tr caption details summary figcaption body html hr legend menu".split(), 1),
 }
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: What may stand in a head; any other start tag, and text, end it.
+IN_HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template".split())
 #: Open elements that a start tag ends, and the elements beyond which it ends none.
 IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -69,6 +71,8 @@ def build_tree(html: str) -> Node:
     while m := _TOKEN.match(html, at):
         at = m.end()
         if (text := m["text"]) is not None:
+            if stack[-1].name == "head" and unescape(text).strip(" \t\n\r\f"):
+                stack.pop()
             stack[-1].children.append(text)
             continue
         if m["name"] is None:
@@ -80,6 +84,10 @@ def build_tree(html: str) -> Node:
             else:
                 close({name}, {"td", "th", "table"} - {name} if name not in ("tr", "tbody", "thead", "tfoot", "table", "body", "html") else set())
             continue
+        if stack[-1].name == "head" and name not in IN_HEAD:
+            if name in ("head", "html"):  # repeated, without effect
+                continue
+            stack.pop()
         if name in CLOSES_P:
             close({"p"}, {"td", "th", "table", "li", "button"})
         if name in IMPLIED_END:

@@ -377,3 +377,11 @@ def test_pipeline_brute_force(spark, tmp_path):
     want = collections.Counter((*r, n, c) for r, n, c in zip(clean, size, copies, strict=True) if c)
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert collections.Counter((r.doc_id, r.text, r.lang, r.source, r.mix_size, r.mix_copies) for r in got) == want
+
+
+def test_layout_open_head():
+    assert layout.render("<html><head><title>T</title><p>Hello<p>you") == "Hello\n\nyou"
+    assert layout.render("<HEAD><meta charset=x>\n<style>p{}</style> <link>Hello <b>you</b>") == "Hello you"
+    assert layout.render("<head><title>T</title>&#32;&amp;<div>b</div></head><body>c") == "&\nb\nc"
+    for start in ("<head><html><head>", "<head></head>", "<title>T</title><head><script>'<p>'</script>", "<head><noscript><img><p>no</noscript>", "<head><template><p>no</template>", "<head> <!-- x --> "):
+        assert layout.render(start + "<span>yes</span>") == layout.render(start + "yes") == layout.render(start + "<body>yes") == "yes", start
