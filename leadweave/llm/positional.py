@@ -1,9 +1,12 @@
 r"""Benchmark decontamination with a distributed positional inverted index.
 
-The index is partitioned by document: with each document lie the posting lists (term, positions) of the benchmark
-terms that it holds. A window of test words is looked up by its rarest term; the offset-adjusted positions of that
-term's lists are the possible starts, and the lists of the window's other terms are intersected with them, rarest
-first. A window occurs where all of them agree. As a document's lists lie together, nothing but the hits is shuffled.
+The training tokens are indexed in segments, as search engines do: a segment is an inverted index of some hundred
+documents, a sorted list of terms and for each term its posting list, the sorted places of the segment's token
+stream at which it stands. Segments are rows of a written table, so the index is partitioned by documents and a
+phrase is looked up in each segment by itself. There the phrase's posting lists are intersected, each moved by the
+term's offset in the phrase, from the list that is shortest in the segment to the longest. A phrase occurs where all
+lists agree. Only hits are shuffled, and documents are never gathered by term, so a term that is in all of them is
+no hot key.
 
 Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z, known by 64-bit hashes.
 """
@@ -21,12 +24,17 @@ from leadweave.llm.words import chunks, split_words
 from leadweave.storage import materialise, small_or_merge
 
 WINDOW = 10
-#: Most benchmark terms that tasks hold to filter postings as they are made (8 bytes each); beyond, all are posted.
-MAX_VOCABULARY = 2_000_000
-#: Most windows, or contaminated documents, that are broadcast at once (some 300 bytes each); more go in slices.
+#: Text bytes of a segment's documents (a longer document is a segment of its own).
+SEGMENT_BYTES = 1 << 18
+#: Most phrases (100 bytes each) that are looked up in one pass over the index; more take more passes.
+PASS_PHRASES = 100_000
+#: Most names of windows, or contaminated documents, that are broadcast at once (some 300 bytes each).
 BROADCAST_ROWS = 100_000
+#: Possible starts that are worked on at once.
+STARTS = 1 << 18
 
-INDEX = "doc_id {id}, text_hash long, n_words int, lists map<long,array<int>>"
+#: A segment: its documents with the place of their first token, and terms with the first entry of their posting list.
+SEGMENT = "doc_id array<{id}>, text_hash array<long>, first array<int>, terms array<long>, list_at array<int>, places array<int>"
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -42,101 +50,177 @@ def item_terms(items: DataFrame) -> DataFrame:
     return items.select("item_id", "text").mapInArrow(split, f"item_id {kind}, terms array<long>")
 
 
-def positional_index(docs: DataFrame, vocabulary: np.ndarray | None) -> DataFrame:
-    """A row for each document with its posting lists of the given terms (sorted; of all terms if None)."""
+def _one_list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def positional_index(docs: DataFrame) -> DataFrame:
+    """The written index of all words of `docs` (doc_id, text): a row for each segment, as SEGMENT says."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary) if vocabulary is not None else None
 
     def post(batches):
-        known = shared.value if shared is not None else None
-        if known is not None:
-            maybe = np.zeros(1 << 20, dtype=bool)
-            maybe[(known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=SEGMENT_BYTES):
             words = split_words(batch.column("text"))
-            rows, at, terms = words.rows(), words.positions(), words.hashes
-            if known is not None:
-                keep = np.flatnonzero(maybe[(terms & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                spot = np.searchsorted(known, terms[keep])
-                keep = keep[known[np.minimum(spot, len(known) - 1)] == terms[keep]] if len(known) else keep[:0]
-                rows, at, terms = rows[keep], at[keep], terms[keep]
-            order = np.lexsort((terms, rows))  # stable: positions of a list stay in order
-            rows, at, terms = rows[order], at[order], terms[order]
-            new = np.ones(len(rows), dtype=bool)
-            new[1:] = (rows[1:] != rows[:-1]) | (terms[1:] != terms[:-1])
+            order = np.argsort(words.hashes, kind="stable")  # places of a list stay in order
+            terms = words.hashes[order]
+            new = np.ones(len(terms), dtype=bool)
+            new[1:] = terms[1:] != terms[:-1]
             begin = np.flatnonzero(new)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(rows)), pa.int32()), pa.array(at, pa.int32()))
-            ends = np.searchsorted(rows[begin], np.arange(batch.num_rows + 1))
-            maps = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(terms[begin].view(np.int64)), lists)
-            n_words = pa.array(np.diff(words.first), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), n_words, maps], names=["doc_id", "text_hash", "n_words", "lists"])
+            columns = [
+                batch.column("doc_id"),
+                batch.column("text_hash"),
+                pa.array(words.first, pa.int32()),
+                pa.array(terms[begin].view(np.int64)),
+                pa.array(np.append(begin, len(terms)), pa.int32()),
+                pa.array(order, pa.int32()),
+            ]
+            yield pa.RecordBatch.from_arrays([_one_list(c) for c in columns], names=["doc_id", "text_hash", "first", "terms", "list_at", "places"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(post, INDEX.format(id=kind))
-
-
-def benchmark_index(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The written index of `docs` for the terms of `items`, and the written item_terms."""
-    items = materialise(item_terms(items), "items")
-    terms = items.select(F.explode("terms").alias("term")).distinct()
-    found = [r.term for r in terms.limit(MAX_VOCABULARY + 1).collect()]
-    known = np.sort(np.array(found, dtype=np.int64).view(np.uint64)) if len(found) <= MAX_VOCABULARY else None
-    return materialise(positional_index(docs, known), "postings"), items
-
-
-def _same_document(a: str, b: str) -> Column:
-    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
-
-
-def _lookups(index: DataFrame, phrases: DataFrame) -> list[DataFrame]:
-    """Slices of: phrase, n, term, off, rest, for phrases of which every term is indexed.
-
-    term is the rarest one, off its offset, rest the others as (df, off, term), rarest first.
-    """
-    counts = index.select(F.explode(F.map_keys("lists")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    spread = phrases.select("phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("off", "term"))
-    ranked = spread.hint("merge").join(counts, "term").groupBy("phrase", "n").agg(F.sort_array(F.collect_list(F.struct("df", "off", "term"))).alias("all"))
-    ranked = ranked.filter(F.size("all") == F.col("n")).select("phrase", "n", F.col("all")[0]["term"].alias("term"), F.col("all")[0]["off"].alias("off"), F.slice("all", 2, F.greatest(F.col("n") - 1, F.lit(1))).alias("rest"))
-    ranked = materialise(ranked, "lookups")
-    slices = -(-ranked.count() // BROADCAST_ROWS)
-    return [ranked.filter(F.pmod("phrase", F.lit(slices)) == k) for k in range(slices)] or [ranked]
-
-
-def _places(index: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Each position of each list whose term is looked up, with all lists of the document."""
-    lists = index.select("doc_id", "text_hash", "n_words", "lists", F.explode("lists").alias("term", "positions"))
-    return lists.join(F.broadcast(lookup), "term").select("*", F.explode("positions").alias("at"))
+    return materialise(rows.mapInArrow(post, SEGMENT.format(id=kind)), "postings")
+
+
+def indexed_documents(index: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_words of every document of the index."""
+    docs = F.transform("doc_id", lambda d, i: F.struct(d.alias("doc_id"), F.get("text_hash", i).alias("text_hash"), (F.get("first", i + 1) - F.get("first", i)).cast("long").alias("n_words")))
+    return index.select(F.explode(docs).alias("d")).select("d.*")
+
+
+class Phrases:
+    """Phrases of at most `width` terms as arrays, to be looked up in segments."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        self.phrase = table.column("phrase").to_numpy()
+        lists = table.column("terms").combine_chunks()
+        flat = lists.flatten().to_numpy().view(np.uint64)
+        self.n = np.diff(lists.offsets.to_numpy())
+        self.vocabulary, at = np.unique(flat, return_inverse=True)
+        row = np.repeat(np.arange(len(self.n)), self.n)
+        self.terms = np.full((len(self.n), int(self.n.max(initial=1))), -1, dtype=np.int64)
+        self.terms[row, np.arange(len(flat)) - np.repeat(np.cumsum(self.n) - self.n, self.n)] = at
+
+
+class Segment:
+    """One row of the index."""
+
+    def __init__(self, row: dict[str, np.ndarray]):
+        self.first, self.terms, self.list_at, self.places = row["first"], row["terms"].view(np.uint64), row["list_at"].astype(np.int64), row["places"].astype(np.int64)
+        #: list number and place in one number, which grows along the lists
+        self.keys = np.repeat(np.arange(len(self.terms)), np.diff(self.list_at)) * (len(self.places) + 1) + self.places
+
+    def candidates(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases whose terms all have a list here, and the number of each term's list (-1 beyond a phrase's end)."""
+        if not len(self.terms) or not len(phrases.n):
+            return np.zeros(0, np.int64), np.zeros((0, 1), np.int64)
+        at = np.minimum(np.searchsorted(self.terms, phrases.vocabulary), len(self.terms) - 1)
+        lists = np.append(np.where(self.terms[at] == phrases.vocabulary, at, -1), -2)[phrases.terms]
+        which = np.flatnonzero((lists != -1).all(axis=1))
+        return which, np.maximum(lists[which], -1)
+
+    def holds(self, lists: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Whether each place is in its list."""
+        asked = lists * (len(self.places) + 1) + places
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        return self.keys[at] == asked
+
+    def starts(self, lists: np.ndarray):
+        """Slices of: row of `lists`, the place of the shortest list's term, its offset; and the other terms by length of list."""
+        size = np.where(lists >= 0, np.diff(self.list_at)[lists], np.iinfo(np.int64).max)
+        order = np.argsort(size, axis=1, kind="stable")
+        rows = np.arange(len(lists))
+        lead = lists[rows, order[:, 0]]
+        many = size[rows, order[:, 0]]
+        part = np.cumsum(many) // STARTS
+        for k in np.unique(part):
+            some = np.flatnonzero(part == k)
+            row = np.repeat(some, many[some])
+            step = np.arange(len(row)) - np.repeat(np.cumsum(many[some]) - many[some], many[some])
+            yield row, self.places[self.list_at[lead[row]] + step], order
+
+    def documents(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, places, side="right") - 1
+
+    def phrase_hits(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrase, document and start in the document of each occurrence."""
+        which, lists = self.candidates(phrases)
+        out = [(np.zeros(0, np.int64),) * 3]
+        if len(which):
+            for row, place, order in self.starts(lists):
+                start = place - order[row, 0]
+                keep = start >= 0
+                row, start = row[keep], start[keep]
+                for k in range(1, order.shape[1]):
+                    term = order[row, k]
+                    of = lists[row, term]
+                    keep = (of < 0) | self.holds(of, start + term)
+                    row, start = row[keep], start[keep]
+                doc = self.documents(start)
+                keep = start + phrases.n[which[row]] <= self.first[doc + 1]
+                row, start, doc = row[keep], start[keep], doc[keep]
+                out.append((which[row], doc, start - self.first[doc]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def near_hits(self, phrases: Phrases, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrase, document and place of each leading term near which all other terms stand."""
+        which, lists = self.candidates(phrases)
+        out = [(np.zeros(0, np.int64),) * 3]
+        if len(which):
+            for row, place, order in self.starts(lists):
+                lead = order[row, 0]
+                doc = self.documents(place)
+                for k in range(1, order.shape[1]):
+                    term = order[row, k]
+                    of, due = lists[row, term], place - lead + term
+                    low = np.maximum(due - slop, self.first[doc])
+                    high = np.minimum(due + slop, self.first[doc + 1] - 1)
+                    base = np.maximum(of, 0) * (len(self.places) + 1)
+                    found = np.searchsorted(self.keys, base + high, side="right") > np.searchsorted(self.keys, base + low)
+                    keep = (of < 0) | (found & (low <= high))
+                    row, place, lead, doc = row[keep], place[keep], lead[keep], doc[keep]
+                out.append((which[row], doc, place - self.first[doc]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _looked_up(index: DataFrame, phrases: DataFrame, search, place: str) -> DataFrame:
+    """doc_id, text_hash, phrase, n and the place for all that `search` finds of phrases in the index's segments."""
+    spark, kind = index.sparkSession, index.schema["doc_id"].dataType.elementType.simpleString()
+    phrases = materialise(phrases.filter(F.size("terms") > 0).select("phrase", "terms"), "phrases")
+    passes = max(1, -(-phrases.count() // PASS_PHRASES))
+    found = []
+    for k in range(passes):
+        shared = spark.sparkContext.broadcast(Phrases(phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(passes)) == k).toArrow()))
+
+        def look(batches, shared=shared):
+            asked = shared.value
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    ids = batch.column("doc_id").slice(i, 1).flatten()
+                    row = {c: batch.column(c).slice(i, 1).flatten().to_numpy() for c in ("text_hash", "first", "terms", "list_at", "places")}
+                    phrase, doc, at = search(Segment(row), asked)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(doc)), pa.array(row["text_hash"][doc]), pa.array(asked.phrase[phrase]), pa.array(at, pa.int32()), pa.array(asked.n[phrase], pa.int32())], names=["doc_id", "text_hash", "phrase", place, "n"]
+                    )
+
+        found.append(index.mapInArrow(look, f"doc_id {kind}, text_hash long, phrase long, {place} int, n int"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """doc_id, text_hash, phrase, start, n: each place at which a phrase (phrase long, terms array<long>) occurs.
 
-    `index` is a written index. Rows that share id and text each give their matches.
+    Rows that share id and text each give their matches.
     """
-    found = []
-    for lookup in _lookups(index, phrases):
-        starts = _places(index, lookup).withColumn("start", F.col("at") - F.col("off"))
-        starts = starts.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words")))
-        agree = F.forall("rest", lambda r: F.coalesce(F.array_contains(F.col("lists")[r["term"]], F.col("start") + r["off"]), F.lit(False)))
-        found.append(starts.filter(agree).select("doc_id", "text_hash", "phrase", "start", "n"))
-    return reduce(DataFrame.unionByName, found)
+    return _looked_up(index, phrases, lambda segment, asked: segment.phrase_hits(asked), "start")
 
 
 def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
-    """doc_id, text_hash, phrase, at: places of a phrase's rarest term near which all its other terms stand.
+    """doc_id, text_hash, phrase, at, n: places of a phrase's rarest term near which all its other terms stand.
 
-    Near is at most `slop` words from where the phrase would have it.
+    Rarest is the term that stands least often in the document's segment. Near is at most `slop` words from where the
+    phrase would have it, within the document.
     """
-    found = []
-    for lookup in _lookups(index, phrases):
-        places = _places(index, lookup)
-
-        def near(r):
-            due = F.col("at") - F.col("off") + r["off"]
-            return F.coalesce(F.exists(F.col("lists")[r["term"]], lambda p: F.abs(p - due) <= slop), F.lit(False))
-
-        found.append(places.filter(F.forall("rest", near)).select("doc_id", "text_hash", "phrase", "at"))
-    return reduce(DataFrame.unionByName, found)
+    return _looked_up(index, phrases, lambda segment, asked: segment.near_hits(asked, slop), "at")
 
 
 def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -148,14 +232,20 @@ def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
     return rows.withColumn("phrase", F.xxhash64("terms"))
 
 
+def _same_document(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc_id, text_hash, n_words, n_hit, item_ids (sorted as strings): one row for each row of `docs`.
 
     Words inside any occurrence of an item's window are hit. Null or empty texts have no words; rows that share
-    an id are told apart by their text; a null doc_id is an id like any other; an item of null id hits words but
-    isn't listed. Only doc_id, item_id and text are read. Empty tables give no hits, or no rows.
+    an id are told apart by their text, copies of id and text give equal rows; a null doc_id is an id like any other;
+    an item of null id hits words but isn't listed, repeated items count once. A text of any length is indexed whole,
+    one longer than SEGMENT_BYTES in a segment of its own. Only doc_id, item_id and text are read, whatever other
+    columns are called. Empty tables give no hits, or no rows.
     """
-    index, terms = benchmark_index(docs, items)
+    index, terms = positional_index(docs), materialise(item_terms(items), "items")
     windows = materialise(item_windows(terms, width), "windows")
     phrases = windows.groupBy("phrase").agg(F.first("terms").alias("terms"))
     hits = materialise(phrase_matches(index, phrases), "hits")
@@ -170,9 +260,9 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
     names = small_or_merge(materialise(windows.select("phrase", F.col("item_id").cast("string").alias("item")).distinct(), "names"), BROADCAST_ROWS)
     listed = hits.select("doc_id", "text_hash", "phrase").distinct().join(names, "phrase")
     listed = listed.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
-    both = covered.alias("a").join(listed.alias("b"), _same_document("a", "b")).select("a.*", "b.item_ids")
+    both = covered.alias("a").join(listed.hint("merge").alias("b"), _same_document("a", "b")).select("a.*", "b.item_ids")
     both = materialise(both, "contaminated")
-    rows = index.select("doc_id", "text_hash", F.col("n_words").cast("long"))
+    rows = indexed_documents(index)
     rows = rows.alias("a").join(small_or_merge(both, BROADCAST_ROWS).alias("b"), _same_document("a", "b"), "left")
     return rows.select("a.*", F.coalesce("b.n_hit", F.lit(0)).alias("n_hit"), F.coalesce("b.item_ids", F.array().cast("array<string>")).alias("item_ids"))
 

@@ -160,7 +160,7 @@ def test_contamination_brute_force(spark):
 
 def test_proximity(spark):
     d = docs(spark, ["alpha x beta", "beta alpha", "alpha y y y y beta"])
-    index, terms = positional.benchmark_index(d, spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"))
+    index, terms = positional.positional_index(d), positional.item_terms(spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"))
     found = positional.proximity_matches(index, positional.item_windows(terms).select("phrase", "terms"), 2)
     assert sorted(r.doc_id for r in found.collect()) == [0, 1]
 
