@@ -259,6 +259,73 @@ def test_quotes(spark):
     assert quotes.link_quotations(chain.limit(0)).count() == 0
 
 
+def linked(rows):
+    """Brute force of link_quotations over (conv_id, turn, role, text) rows."""
+    parsed = [[(level, x) for level, p in quotes.parse_levels(t) for x in quotes.sentences(p)] for *_, t in rows]
+    wrote, quoted = {}, collections.defaultdict(dict)
+    for (c, t, *_), said in zip(rows, parsed, strict=True):
+        for level, x in said if c is not None and t is not None else []:
+            if level == 0:
+                wrote[c, x] = min(t, wrote.get((c, x), t))
+            else:
+                quoted[c, t][level, x] = len(x)
+    reply = {}
+    for (c, t), what in quoted.items():
+        score = collections.Counter()
+        for (level, x), n in what.items():
+            if wrote.get((c, x), t) < t:
+                score[level, wrote[c, x]] += n
+        if score:
+            reply[c, t] = (max((-level, n, source) for (level, source), n in score.items())[2], sum(score.values()))
+    out = []
+    for c, t, role, text in rows:
+        up, depth = t, 0
+        while (c, up) in reply:
+            up, depth = reply[c, up][0], depth + 1
+        own = "\n".join(p for level, p in quotes.parse_levels(text) if not level).strip("\n")
+        out.append((c, t, role, own, *(reply.get((c, t)) or (None, 0)), up, depth))
+    return collections.Counter(out)
+
+
+MAIL = "conv_id long, turn long, role string, text string"
+
+
+def test_quotes_brute_force(spark):
+    rng = random.Random(12)
+    say = lambda: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(4)} word." for _ in range(rng.randrange(1, 4)))
+    rows = []
+    for c in range(12):
+        for t in range(rng.randrange(1, 25)):
+            lines = [say()]
+            for r in rng.sample(rows, min(len(rows), rng.randrange(3))):
+                mark = "> " * rng.randrange(1, 3)
+                lines[:0] = [mark + x for x in (r[3] or "").split("\n")]
+            rows += [(c, t, "u", "\n".join(lines) if rng.random() > 0.05 else None)] * (1 + (rng.random() < 0.1))
+    rows += [(3, 5, "a", "other row of a turn. a1 word."), (None, 1, "u", "> a1 word."), (3, None, "u", "> a1 word."), (4, 2, "u", "")]
+    df = spark.createDataFrame(rows, MAIL)
+    columns = ("conv_id", "turn", "role", "own", "reply_to", "n_quoted", "thread", "depth")
+    want = linked(rows)
+    got = quotes.link_quotations(df).select(*columns).collect()
+    have = collections.Counter(tuple(r) for r in got)
+    assert have - want == want - have == collections.Counter() and max(r.depth for r in got) > 3
+    # long conversations take the other way
+    steps = quotes.replies(quotes.quotation_links(quotes.parse_messages(df)))
+    both = [sorted(map(tuple, quotes.threads(steps, long).select("conv_id", "turn", "reply_to", "n_quoted", "thread", "depth").collect())) for long in (1000, 6, 0)]
+    assert both[0] == both[1] == both[2]
+
+
+def test_quoting_messages_of_repeated_turns(spark):
+    rows = [(1, t, r, f"Text {t} {r}.") for t in range(3) for r in "ab"] + [(1, 1, "c", None), (None, 2, "x", "Alone."), (1, None, "y", "Lost.")]
+    got = [tuple(r) for r in quotes.quoting_messages(spark.createDataFrame([(*r, "z") for r in rows], MAIL + ", text1 string")).collect()]
+    first = {t: f"Text {t} a." for t in range(3)}
+    want = []
+    for c, t, r, text in rows:
+        known = c is not None and t is not None
+        quoted = [f"{'> ' * k}{first[t - k]}" for k in (2, 1) if known and t - k in first]
+        want.append((c, t, r, "\n".join([*quoted, *([text] if text else [])])))
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_layout(spark):
     html = "<title>T</title><ul><li>One<li>Two <b>bold</b><ol><li>a<li>b</ol></ul><p>First   para<p>Second<br>line<span hidden>no</span><div style='display:none'>x</div><table><tr><th>Name<th>Qty<tr><td>Apple pie<td>3<tr><td>B<td>12</table><pre>  keep\n   this</pre>tail &amp;<script>a='</p>'</script>"
     assert layout.render(html) == "- One\n- Two bold\n  1. a\n  2. b\n\nFirst para\n\nSecond\nline\n\nName       Qty\nApple pie  3\nB          12\n\n  keep\n   this\n\ntail &"
