@@ -7,6 +7,7 @@ browser doesn't show and writes all other text. Nothing is recursive, so that ne
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
 
 import pyarrow as pa
@@ -38,15 +39,23 @@ IMPLIED_END = {
     **{t: ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}) for t in ("thead", "tbody", "tfoot")},
 }
 
+#: A quote opens a value only after an equals sign; what has no end runs to the page's end.
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?P<text>[^<]++|<)""",
+    r"""<!--.*?(?:-->|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*+>?|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?)*+)(?P<close>>?)|(?P<text>[^<]++|<)""",
     re.S,
 )
 _ATTR = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
-_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NO_BOX = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
+#: Levels of lists and quotes that are indented, and of tables that are aligned; deeper ones stand below those.
+INDENTS, TABLES = 16, 8
+#: Characters up to which a cell counts for its column's width, and the widest table that is aligned.
+WIDE_CELL, WIDE_TABLE = 60, 400
+
+
 class Node:
     __slots__ = ("attrs", "children", "name")
 
@@ -55,54 +64,65 @@ class Node:
 
 
 def build_tree(html: str) -> Node:
-    """The element tree; children are nodes and strings."""
+    """The element tree; children are nodes and strings. Takes time in proportion to the page, at any depth."""
     root = Node("")
     stack = [root]
+    where: dict[str, list[int]] = defaultdict(list)  # places of the open elements of each name
+
+    def top(names) -> int:
+        return max((where[n][-1] for n in names if where[n]), default=0)
+
+    def cut(k: int) -> None:
+        for node in stack[k:]:
+            where[node.name].pop()
+        del stack[k:]
+
+    def close(names, stop) -> bool:
+        """Ends the innermost open element of the names, unless one of `stop` lies within it."""
+        k = top(names)
+        if k and k >= top(stop):
+            cut(k)
+            return True
+        return False
 
-    def close(names, stop) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                del stack[k:]
-                return
-            if stack[k].name in stop:
-                return
+    def put(node: Node) -> None:
+        where[node.name].append(len(stack))
+        stack.append(node)
 
     at = 0
     while m := _TOKEN.match(html, at):
         at = m.end()
         if (text := m["text"]) is not None:
             if stack[-1].name == "head" and unescape(text).strip(" \t\n\r\f"):
-                stack.pop()
+                cut(len(stack) - 1)
             stack[-1].children.append(text)
             continue
         if m["name"] is None:
             continue
+        if not m["close"]:  # the page ends within a tag
+            break
         name = m["name"].lower()
         if m["end"]:
-            if name == "p" and not any(n.name == "p" for n in stack):
+            if name == "p" and not where["p"]:
                 stack[-1].children.append(Node("p"))
             else:
-                close({name}, {"td", "th", "table"} - {name} if name not in ("tr", "tbody", "thead", "tfoot", "table", "body", "html") else set())
+                close({name}, {"td", "th", "table"} - {name} if name not in ("tr", "tbody", "thead", "tfoot", "table", "body", "html") else ())
             continue
         if stack[-1].name == "head" and name not in IN_HEAD:
             if name in ("head", "html"):  # repeated, without effect
                 continue
-            stack.pop()
+            cut(len(stack) - 1)
         if name in CLOSES_P:
             close({"p"}, {"td", "th", "table", "li", "button"})
         if name in IMPLIED_END:
-            names, stop = IMPLIED_END[name]
-            while stack[-1].name in names or any(n.name in names for n in stack[1:]):
-                size = len(stack)
-                close(names, stop)
-                if len(stack) == size:
-                    break
+            while close(*IMPLIED_END[name]):
+                pass
         if name in ("td", "th") and stack[-1].name != "tr":
             row = Node("tr")
             stack[-1].children.append(row)
-            stack.append(row)
+            put(row)
         if name == "body":
-            close({"head"}, set())
+            close({"head"}, ())
         node = Node(name, m["attrs"] or "")
         stack[-1].children.append(node)
         if name in RAW:
@@ -110,20 +130,36 @@ def build_tree(html: str) -> Node:
             node.children.append(html[at : end.start() if end else len(html)])
             at = end.end() if end else len(html)
         elif name not in VOID and not (m["attrs"] or "").endswith("/"):
-            stack.append(node)
+            put(node)
     return root
 
 
-def is_visible(node: Node) -> bool:
-    """Whether a browser shows the element: not by its kind, the hidden attribute, or its own style."""
-    if node.name in HIDDEN:
+def attributes(node: Node) -> dict[str, str]:
+    """The element's attributes, names in lower case; the first of a name counts."""
+    out: dict[str, str] = {}
+    for k, v in _ATTR.findall(node.attrs) if node.attrs else ():
+        out.setdefault(k.lower(), unescape(v[1:-1] if v[:1] in ("'", '"') and v[-1:] == v[:1] else v))
+    return out
+
+
+def has_box(node: Node, attrs: dict[str, str]) -> bool:
+    """Whether a browser lays the element out: not by its kind, the hidden attribute, or its own style."""
+    if node.name in HIDDEN or node.name == "input":
         return False
-    if not node.attrs:
-        return True
-    attrs = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(node.attrs)}
-    if "hidden" in attrs or node.name == "dialog" and "open" not in attrs or node.name == "input":
+    if "hidden" in attrs or node.name == "dialog" and "open" not in attrs:
         return False
-    return not _GONE.search(unescape(attrs.get("style", "")))
+    return not _NO_BOX.search(attrs.get("style", ""))
+
+
+def visibility(attrs: dict[str, str], outer: bool) -> bool:
+    """Whether text directly in the element shows: by its own style, or as in the element around it."""
+    found = _VISIBILITY.findall(attrs.get("style", ""))
+    return found[-1].lower() == "visible" if found else outer
+
+
+def _span(attrs: dict[str, str], name: str, most: int) -> int:
+    digits = re.match(r"\s*([0-9]{1,6})", attrs.get(name, ""))
+    return min(max(int(digits[1]), 1), most) if digits else 1
 
 
 class _Page:
@@ -132,6 +168,9 @@ class _Page:
     def __init__(self):
         self.out, self.breaks, self.space, self.mark, self.indents = [], 0, False, "", []
 
+    def indent(self) -> str:
+        return "".join(self.indents[:INDENTS])
+
     def block(self, breaks: int) -> None:
         self.breaks, self.space = max(self.breaks, breaks), False
 
@@ -144,12 +183,12 @@ class _Page:
             lead, text, tail = words[0] == " ", words.strip(" "), words[-1] == " "
         else:
             lead = tail = False
-        pad = "".join(self.indents)
+        pad = self.indent()
         if self.breaks or not self.out:
             if self.out:
                 self.out.append("\n" * self.breaks)
             if self.mark and len(self.indents):
-                self.out.append("".join(self.indents[:-1]) + self.mark)
+                self.out.append("".join(self.indents[: min(len(self.indents), INDENTS) - 1]) + self.mark)
             else:
                 self.out.append(pad)
             self.mark = ""
@@ -162,38 +201,86 @@ class _Page:
         return "".join(self.out)
 
 
-def _table(rows: list[list[str]]) -> str:
-    """Rows of cells, each column as wide as its widest cell, two spaces between; lines of a cell are joined."""
-    rows = [[" ".join(c.split()) for c in r] for r in rows]
-    rows = [r for r in rows if any(r)]
-    wide = [max((len(r[k]) for r in rows if k < len(r)), default=0) for k in range(max(map(len, rows), default=0))]
-    return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, wide, strict=False)).rstrip() for r in rows)
+class _Table:
+    """A table being read: rows of (column, columns spanned, text), and the columns that longer cells still hold."""
+
+    def __init__(self):
+        self.rows, self.held, self.at = [], {}, 0
+
+    def row(self) -> None:
+        self.held = {k: n - 1 for k, n in self.held.items() if n > 1}
+        self.rows.append([])
+        self.at = 0
+
+    def cell(self, text: str, columns: int, rows: int) -> None:
+        while self.at in self.held:
+            self.at += 1
+        text = " ".join(text.split())
+        if text:
+            self.rows[-1].append((self.at, columns, text))
+        if rows > 1:
+            self.held |= dict.fromkeys(range(self.at, self.at + columns), rows)
+        self.at += columns
+
+    def text(self) -> str:
+        """Each column as wide as its widest cell, two spaces between; cells of several columns may widen their last one."""
+        width: dict[int, int] = {}
+        for row in self.rows:
+            for k, n, text in row:
+                width[k] = max(width.get(k, 0), len(text) if n == 1 and len(text) <= WIDE_CELL else 1)
+        aligned = 3 * len(width) <= WIDE_TABLE
+        if aligned:
+            for k, n, text in (cell for row in self.rows for cell in row if cell[1] > 1):
+                under = [c for c in width if k <= c < k + n]
+                width[max(under)] += max(min(len(text), WIDE_CELL) + 2 - sum(width[c] + 2 for c in under), 0)
+        starts, total = {}, 0
+        for k in sorted(width):
+            starts[k], total = total, total + width[k] + 2
+        aligned = aligned and total <= WIDE_TABLE
+        lines = []
+        for row in filter(None, self.rows):
+            line = ""
+            for k, _, text in row:
+                if aligned:
+                    line = line.ljust(starts[k])
+                line += ("  " if line and not line.endswith("  ") else "") + text
+            lines.append(line)
+        return "\n".join(lines)
 
 
 def render(html: str | None) -> str:
-    """All visible text of a page; null is empty."""
-    pages, tables, lists, kept = [_Page()], [], [], 0
-    todo: list[tuple] = [("go", build_tree(html or ""))]
+    """All visible text of a page in the order of the page; null is empty.
+
+    Visible is what a browser would show without scripts and style sheets, once details are opened. Columns are told
+    apart by spans of cells and rows; the text of a cell stands on one line. Lists and quotes are indented to a depth
+    of INDENTS, tables aligned to a depth of TABLES and a width of WIDE_TABLE, so that neither work nor output grows
+    with the square of a page; text beyond them is written all the same.
+    """
+    pages, tables, lists, kept, flat, seen = [_Page()], [], [], 0, 0, [True]
+    todo: list[tuple] = [("go", build_tree(html or ""), True)]
     while todo:
-        act, node = todo.pop()
+        act, node, more = todo.pop()
         page = pages[-1]
         if isinstance(node, str):
-            if node:
+            if node and seen[-1]:
                 text = unescape(node).replace("\r\n", "\n")
                 page.put(text.strip("\n") if kept else text, bool(kept) and bool(text.strip("\n")))
             continue
         name = node.name
         if act == "go":
-            if name and not is_visible(node):
+            attrs = attributes(node)
+            if not has_box(node, attrs):
                 continue
-            todo.append(("end", node))
             if name == "br":
                 page.breaks, page.space = page.breaks + 1, False
                 continue
             if name in BLOCKS:  # a list within a list has no blank lines around it
                 page.block(1 if name in ("ul", "ol") and lists else BLOCKS[name])
+            end = None
+            seen.append(visibility(attrs, seen[-1]))
             if name == "hr":
-                page.put("---")
+                if seen[-1]:
+                    page.put("---")
             elif name in ("ul", "ol", "menu"):
                 lists.append(0 if name == "ol" else None)
             elif name == "li":
@@ -206,13 +293,24 @@ def render(html: str | None) -> str:
             elif name == "pre":
                 kept += 1
             elif name == "table":
-                tables.append([])
-            elif name == "tr" and tables:
-                tables[-1].append([])
-            elif name in ("td", "th") and tables and tables[-1]:
-                pages.append(_Page())
-            todo.extend(("go", c) for c in reversed(node.children))
+                if len(tables) < TABLES:
+                    tables.append(_Table())
+                    end = "table"
+                else:
+                    flat += 1
+                    end = "flat"
+            elif name == "tr" and tables and not flat:
+                tables[-1].row()
+            elif name in ("td", "th"):
+                if tables and tables[-1].rows and not flat:
+                    pages.append(_Page())
+                    end = (_span(attrs, "colspan", 1000), _span(attrs, "rowspan", 65534))
+                else:
+                    page.space = True
+            todo.append(("end", node, end))
+            todo.extend(("go", c, None) for c in reversed(node.children))
         else:
+            seen.pop()
             if name in ("ul", "ol", "menu"):
                 lists.pop()
             elif name == "li" or name in ("dd", "blockquote"):
@@ -220,11 +318,13 @@ def render(html: str | None) -> str:
                 page.mark = ""
             elif name == "pre":
                 kept -= 1
-            elif name in ("td", "th") and tables and tables[-1]:
-                tables[-1][-1].append(pages.pop().text())
+            elif isinstance(more, tuple):
+                tables[-1].cell(pages.pop().text(), *more)
                 continue
-            elif name == "table":
-                if body := _table(tables.pop()):
+            elif more == "flat":
+                flat -= 1
+            elif more == "table":
+                if body := tables.pop().text():
                     page.block(2)
                     page.put(body, True)
             if name in BLOCKS:
@@ -233,9 +333,10 @@ def render(html: str | None) -> str:
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """page_id, text: one row for each row of `pages` (page_id, html); whole pages, null html gives empty text.
+    """page_id, text: one row for each row of `pages` (page_id, html); whole pages, null or empty html gives empty text.
 
-    Repeated ids stay rows of their own; columns other than these two are not read.
+    Repeated and null ids stay rows of their own; columns other than these two are not read, whatever their names.
+    Very long and very deep pages take time in proportion to their size. An empty table gives an empty one.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
 

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -452,3 +453,63 @@ def test_layout_open_head():
     assert layout.render("<head><title>T</title>&#32;&amp;<div>b</div></head><body>c") == "&\nb\nc"
     for start in ("<head><html><head>", "<head></head>", "<title>T</title><head><script>'<p>'</script>", "<head><noscript><img><p>no</noscript>", "<head><template><p>no</template>", "<head> <!-- x --> "):
         assert layout.render(start + "<span>yes</span>") == layout.render(start + "yes") == layout.render(start + "<body>yes") == "yes", start
+
+
+def test_layout_spans_and_visibility():
+    page = "<table><tr><th colspan=2>Head</th><th>X</th><tr><td rowspan=2>A</td><td>b</td><td>1</td></tr><tr><td>longer</td><td>2</td></tr><tr><td>C<td>d<td>3</table>"
+    assert layout.render(page) == "Head       X\nA  b       1\n   longer  2\nC  d       3"
+    assert layout.render("<table><tr><td colspan=2>Long head<td>x<tr><td>a<td>b<td>y</table>") == "Long head  x\na  b       y"
+    assert layout.render("<div style='visibility:hidden'>a<b style='visibility: visible'>b<i>c</i></b>d</div>e") == "bc\ne"
+    assert layout.render("<div style='display:none'>a<b style='visibility:visible;display:block'>b</b></div>e") == "e"
+    assert layout.render("<p title='x>y' data-a=\"it's\">t &#x41;&#66;&eacute;&nbsp;z</p>") == "t ABé\xa0z"
+    assert layout.render("a<a href='x") == "a" and layout.render("1 < 2 </> <3") == "1 < 2 <3"
+
+
+def test_layout_takes_linear_time():
+    began = time.perf_counter()
+    n = 40_000
+    assert layout.render("<div>" * n + "deep") == "deep"
+    assert layout.render("<p><b>" * n + "end").endswith("end")
+    assert len(layout.render("<ul><li>x" * n)) < 80 * n
+    assert layout.render("<table><tr><td>" * n + "cell") == "cell"
+    assert layout.render('<a "' * n) == ""
+    assert len(layout.render("<table>" + ("<tr>" + "<td colspan=1000>x" * 50) * 2000 + "</table>")) < 400_000
+    assert len(layout.render("<table><tr><td>" + "w " * n + "<td>b" + "<tr><td>a<td>b" * n + "</table>")) < 20 * n
+    assert time.perf_counter() - began < 60
+
+
+def test_layout_brute_force():
+    """Each visible text node once and in order, by a second walk over random trees."""
+    rng = random.Random(13)
+    names = ["div", "p", "ul", "ol", "li", "table", "tr", "td", "th", "span", "b", "pre", "blockquote", "script", "h2", "a", "dl", "dd", "section"]
+    styles = ["", "", "", " hidden", " style='visibility:hidden'", " style='color:red; visibility:visible'", " style='display:none'", " class=x colspan=2", " rowspan=3"]
+    for trial in range(300):
+        count, want = 0, []
+
+        def make(depth, box, shown, name="div"):
+            nonlocal count
+            out = []
+            for _ in range(rng.randrange(1, 5)):
+                if depth and rng.random() < 0.6:
+                    inner = {"table": "tr", "tr": rng.choice(["td", "th"]), "ul": "li", "ol": "li"}.get(name) or rng.choice([n for n in names if n not in ("tr", "td", "th")])
+                    if name == "p" and inner in layout.CLOSES_P or inner == "li" and name not in ("ul", "ol") or inner in ("dd", "a"):
+                        inner = "span"
+                    style = rng.choice(styles)
+                    stays = box and inner != "script" and style not in (" hidden", " style='display:none'")
+                    see = {" style='visibility:hidden'": False, " style='color:red; visibility:visible'": True}.get(style, shown)
+                    out.append(f"<{inner}{style}>{make(depth - 1 if inner != 'script' else 0, stays, see, inner)}</{inner}>")
+                elif name not in ("table", "tr", "ul", "ol"):
+                    count += 1
+                    want.append(f"t{count}") if box and shown and name != "script" else None
+                    out.append(f" t{count} ")
+            return "".join(out)
+
+        html = make(6, True, True)
+        assert layout.render(html).replace("-", " ").split() and re.findall(r"t\d+", layout.render(html)) == want if want else not re.findall(r"t\d+", layout.render(html)), (trial, html)
+
+
+def test_layout_odd_tables(spark):
+    rows = [(None, "<p>a", "t", 1), (2, "", "t", 1), (2, "<p>x", "t", 1), (2, "<p>x", "t", 1), (3, "<li>" * 50_000 + "y", "t", 1)]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string, n_chars int")
+    assert sorted(map(repr, ((r.page_id, r.text[-1:]) for r in layout.extract_text(df).collect()))) == sorted(map(repr, [(None, "a"), (2, ""), (2, "x"), (2, "x"), (3, "y")]))
+    assert layout.extract_text(df.limit(0)).count() == 0
