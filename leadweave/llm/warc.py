@@ -2,7 +2,7 @@
 
 An archive is split at each `WARC/1.0` line, wherever it stands. Every piece is a candidate record: its place in
 the file and its declared length give the place of its successor. Only candidates that the chain reaches from the
-file's start are records; a candidate within a payload is on no chain. A candidate whose successor is the next
+file's start are records, so a file that begins with anything else has none; a candidate within a payload is on no chain. A candidate whose successor is the next
 piece is whole. Runs of whole candidates up to one that isn't are one link of the chain, and pointers from link
 to link are doubled until no further link is reached. Payloads that hold the magic line are put together again.
 """
@@ -31,6 +31,11 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), r"[\r\n]+", " "), F.lit("\r\n")), F.lit(""))
 
 
+def _id_line(name: str, value: Column) -> Column:
+    """A header line with an id as text, URL-encoded, so that it comes back as it was, empty or not."""
+    return F.coalesce(F.concat(F.lit(f"{name}: "), F.url_encode(value.cast("string")), F.lit("\r\n")), F.lit(""))
+
+
 def warc_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """record: one WARC record for each page, without the blank lines at its end."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
@@ -47,8 +52,8 @@ def warc_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFr
         _line("WARC-Date", F.lit(date)),
         _line("WARC-Target-URI", F.col("url")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
-        _line("X-Page-ID", F.col("page_id")),
-        _line("X-Refers-To-Page-ID", F.when(again, F.col("first"))),
+        _id_line("X-Page-ID", F.col("page_id")),
+        _id_line("X-Refers-To-Page-ID", F.when(again, F.col("first"))),
         _line("Content-Type", F.lit("application/http; msgtype=response")),
         _line("Content-Length", F.octet_length(block)),
         F.lit("\r\n"),
@@ -62,6 +67,8 @@ def write_warc(pages: DataFrame, path: str) -> None:
 
     Of pages with equal payloads of LEAST_REVISIT bytes or more, those with the smallest page_id are responses and
     the others revisits of it. Rows that share an id are records of their own; null ids and urls give no header.
+    Ids come back as they were; line breaks in an url become spaces. Payloads of any length are written whole, columns
+    other than these three are not read, and an empty table gives an archive without records.
     """
     warc_records(pages).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
@@ -74,10 +81,10 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _placed(pieces: DataFrame) -> DataFrame:
-    """The pieces with the offset of their magic line; what stands before a file's first one is left out."""
+    """The pieces with the offset of their magic line, of files that have one at their start."""
     before = W.partitionBy("file").orderBy("block", "seq").rowsBetween(W.unboundedPreceding, -1)
-    placed = pieces.withColumn("offset", F.sum(F.col("size") + len(MAGIC)).over(before) - len(MAGIC))
-    return placed.filter("offset IS NOT NULL").drop("block", "seq")
+    placed = pieces.withColumn("offset", F.sum(F.col("size") + len(MAGIC)).over(before) - len(MAGIC)).withColumn("junk", F.first("size").over(before))
+    return placed.filter("junk = 0").drop("block", "seq", "junk")
 
 
 def _header(head: Column, name: str) -> Column:
@@ -85,6 +92,10 @@ def _header(head: Column, name: str) -> Column:
     return F.when(found != "", found)
 
 
+def _id(head: Column, name: str) -> Column:
+    return F.try_url_decode(F.get(F.regexp_extract_all(head, F.lit(rf"(?im)^{name}:[ \t]*([^\r\n]*)"), F.lit(1)), F.lit(0)))
+
+
 def _parsed(pieces: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """The pieces' headers, whether they are whole, and the payload's bytes and digest if so."""
     head = F.substring_index("value", END, 1)
@@ -100,8 +111,8 @@ def _parsed(pieces: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         _header(F.col("head"), "WARC-Type").alias("record_type"),
         _header(F.col("head"), "WARC-Target-URI").alias("url"),
         _header(F.col("head"), "WARC-Payload-Digest").alias("declared_digest"),
-        _header(F.col("head"), "X-Page-ID").alias("page_id"),
-        _header(F.col("head"), "X-Refers-To-Page-ID").alias("refers_to"),
+        _id(F.col("head"), "X-Page-ID").alias("page_id"),
+        _id(F.col("head"), "X-Refers-To-Page-ID").alias("refers_to"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_digest"),
     ]
@@ -131,7 +142,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of the WARC files under `path` (uncompressed, of bounded size).
 
     file, offset, record_type, url, page_id, refers_to (as text), declared_digest, payload_bytes, payload_digest.
-    Records behind a damaged length are not reached and left out. An empty archive gives no rows.
+    Records behind a damaged length are not reached and left out, and so is a file that doesn't begin with a record.
+    An empty archive gives no rows.
     """
     fields = ["record_type", "url", "declared_digest", "page_id", "refers_to", "payload_bytes", "payload_digest"]
     placed = _placed(_parsed(_pieces(spark, path), ("file", "block", "seq", "size")))
