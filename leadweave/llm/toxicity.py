@@ -21,8 +21,8 @@ TRAIN_DOCUMENTS = 1200
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, CHAR_BUCKETS = 10, 10, 10, 1 << 13
-#: Training documents that a word of the vocabulary occurs in at least, and the most words that it holds.
-LEAST_DOCUMENTS, VOCABULARY = 3, 50_000
+#: Training documents that a word of the vocabulary occurs in at least.
+LEAST_DOCUMENTS = 3
 EPOCHS, ROUNDS, BATCH, RATE = 5, 3, 256, 5e-3
 #: Steps of each round at least, so that few documents are learnt, too.
 LEAST_STEPS = 100
@@ -214,7 +214,6 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
     toxic = np.bincount(at, weights=np.concatenate(docs), minlength=len(all_keys))
     count = np.bincount(at, minlength=len(all_keys))
     often = np.flatnonzero(count >= LEAST_DOCUMENTS)
-    often = np.sort(often[np.argsort(-count[often], kind="stable")[:VOCABULARY]])
     net = Network(all_keys[often])
     odds = np.append(np.log((toxic[often] + 0.5) / max(labels.sum(), 1)) - np.log((count[often] - toxic[often] + 0.5) / max((1 - labels).sum(), 1)), 0.0)
     net.p["words"][:, 0] = np.clip(odds, -2, 6) / 3
@@ -282,14 +281,18 @@ def _step(net: Network, parts: list, batch: list, moments: dict, steps: int, rng
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCUMENTS) -> DataFrame:
-    """text, toxic of labelled rows whose crc32 of doc_id mod 3 isn't 1, thinned by id hash to about per_class of each class."""
-    known = labels.filter(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    """doc_id, text, toxic of labelled rows whose crc32 of doc_id mod 3 isn't 1, thinned by id hash to about per_class of each class.
+
+    An id with several labels is toxic if one of them says so; null ids and labels teach nothing. Each row of an id
+    is a row to learn from.
+    """
+    known = labels.filter(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
     share = F.lit(0.0)
     for label, n in counts.items():
         share = F.when(F.col("toxic") == label, min(1.0, per_class / n)).otherwise(share)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    some = known.filter(draw < share).dropDuplicates(["doc_id"])
+    some = known.filter(draw < share)
     # the sample is bounded by per_class, so it may be broadcast
     return docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
 
@@ -303,9 +306,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCUMENTS)
 
 
 def score_texts(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id, score: one row for each row of `docs`; whole texts, nothing but the text is used.
+    """doc_id, score: one row for each row of `docs`; whole texts of any length, nothing but the text is used.
 
-    Null and word-less texts get the score of an empty window. Without labelled rows the network stays as drawn.
+    Null, empty and word-less texts get the score of an empty window. Without labelled rows the network stays as
+    drawn. Rows of equal text score alike. Only doc_id and text are read; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -321,5 +325,5 @@ def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     """The toxicity of every document."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     found = score_texts(docs, train(docs, labels))
-    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))  # a null id is none of them
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))

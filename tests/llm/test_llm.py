@@ -136,6 +136,39 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_warc_ids_come_back(spark, tmp_path):
+    long = "y" * 150
+    pages = [(" a\nb", "p1"), ("", "p2"), (None, "p3"), ("é%+ &", "p4"), (" a\nb", long), ("", long), ("b", long), (None, "")]
+    spark.createDataFrame([(i, "http://a", h) for i, h in pages], "page_id string, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc.op3_warc(spark, str(tmp_path)).collect()
+    want = collections.Counter((i, len(h), hashlib.sha256(h.encode()).hexdigest(), *(("revisit", "") if h == long and i else ("response", None))) for i, h in pages)
+    assert collections.Counter(tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got) == want
+
+
+def test_warc_chain_begins_with_the_file(spark, tmp_path):
+    """By a reader that follows the lengths from the first byte; payloads are full of magic lines."""
+    rng = random.Random(14)
+    record = lambda body, length=None: f"WARC/1.0\r\nWARC-Type: resource\r\nX-Page-ID: {rng.randrange(10**6)}\r\nContent-Length: {len(body) if length is None else length}\r\n\r\n{body}\r\n\r\n"
+    files, want = [], collections.Counter()
+    for k in range(30):
+        parts = [record("".join(rng.choice(["WARC/1.0\r\n", record("in"), "text ", "\r\n\r\n"]) for _ in range(rng.randrange(5)))) for _ in range(rng.randrange(1, 6))]
+        if k % 5 == 1:
+            parts.insert(rng.randrange(len(parts) + 1), record("lost", 3))  # a length that leads nowhere
+        files.append(("JUNK\r\n" if k % 6 == 0 else "") + "".join(parts))
+    for k, text in enumerate(files):
+        (tmp_path / f"f{k}.warc").write_text(text, newline="")
+        at = 0
+        while m := re.compile(r"WARC/1\.0\r\n(.*?)\r\n\r\n", re.S).match(text, at):
+            n = re.search(r"(?m)^Content-Length: ([0-9]+)", m[1])
+            if not n or text[m.end() + int(n[1]) : m.end() + int(n[1]) + 4] != warc.END:
+                break
+            want[k, at, int(n[1])] += 1
+            at = m.end() + int(n[1]) + 4
+    got = warc.read_warc(spark, str(tmp_path)).select("file", "offset", "payload_bytes").collect()
+    assert collections.Counter((int(re.search(r"f([0-9]+)\.warc", r.file)[1]), r.offset, r.payload_bytes) for r in got) == want
+    assert not any(k % 6 == 0 for k, *_ in want) and len(want) > 30
+
+
 def test_contamination_brute_force(spark):
     rng = random.Random(4)
     vocabulary = [f"t{i}" for i in range(6)] + ["É", "7"]
@@ -245,6 +278,20 @@ def test_toxicity_held_out(spark):
     assert len(got) == 302 and all(0 <= s <= 1 for s in got.values())
 
 
+def test_toxicity_odd_tables(spark, tmp_path):
+    rows = [(k, "nice words here" if k % 2 else "moron words here") for k in range(60)] + [(None, "moron"), (7, None), (8, ""), (9, "moron " * 30_000), (9, "x")]
+    docs(spark, [t for _, t in rows], ids=[i for i, _ in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(k, 1 - k % 2) for k in range(60)] + [(1, 1), (1, 0), (None, 1), (2, None)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op4_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r.held_out is not None and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    learnt = toxicity.training_rows(docs(spark, ["a", "b", "c"], ids=[1, 1, 2]), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert sorted((r.doc_id, r.toxic) for r in learnt) == [(i, t) for i, t in [(1, 1), (1, 1), (2, 1)] if zlib.crc32(str(i).encode()) % 3 != 1]
+    d = docs(spark, ["a"])
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.score_texts(d.limit(0), toxicity.train(d.limit(0), none)).count() == 0 and toxicity.score_texts(d, toxicity.train(d, none)).count() == 1
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "u", "Hello there. How are you?"), (1, 1, "a", "On Monday X wrote:\n> Hello\n> there.\nFine!"), (1, 2, "u", ">> Hello there.\n> Fine!\n ok"), (1, 3, "u", "new topic"), (2, 0, "u", None), (None, None, "u", "> x"), (1, 4, "a", "> unknown"),
