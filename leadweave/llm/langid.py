@@ -18,8 +18,7 @@ from leadweave.llm.words import GAMMA, chunks, mix64, run_hashes, runs
 UNKNOWN = "und"
 #: Documents of each language that are drawn for training, by a threshold on the hash of their ids.
 TRAIN_DOCUMENTS = 3000
-#: Words and n-grams that the model keeps, the most frequent ones, and the count they need.
-MODEL_KEYS = 200_000
+#: Count that a word or n-gram needs to be known. All that have it are kept: the sample bounds how many there are.
 LEAST_COUNT = 3
 LONGEST = 5
 #: Words beyond which more text makes a score no surer.
@@ -75,7 +74,10 @@ class _Text:
 
 
 def training_rows(docs: DataFrame, per_language: int = TRAIN_DOCUMENTS) -> DataFrame:
-    """text, lang of rows to learn from: those with a language whose crc32 of doc_id mod 4 isn't 2, thinned by id hash."""
+    """text, lang of rows to learn from: those with a language whose crc32 of doc_id mod 4 isn't 2, thinned by id hash.
+
+    Null ids, texts and languages teach nothing; each row of an id is a row to learn from, whatever language it says.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     counts = known.groupBy("lang").count().collect()  # a row for each language
     share = F.lit(0.0)
@@ -154,10 +156,10 @@ class Model:
 
 
 def train(docs: DataFrame, per_language: int = TRAIN_DOCUMENTS) -> Model:
-    """Learn from the rows of training_rows; counts are summed by Spark, the most frequent keys make the model."""
+    """Learn from the rows of training_rows; counts are summed by Spark, all keys of LEAST_COUNT make the model."""
     counts = training_rows(docs, per_language).mapInArrow(_counted, "lang string, n int, key long, count long").groupBy("n", "key", "lang").agg(F.sum("count").alias("count"))
     by_key = counts.groupBy("n", "key").agg(F.sum("count").alias("total"), F.collect_list(F.struct("lang", "count")).alias("of")).filter(F.col("total") >= LEAST_COUNT)
-    kept = by_key.orderBy(F.desc("total"), "n", "key").limit(MODEL_KEYS).select("n", "key", F.explode("of").alias("x")).select("n", "key", "x.lang", "x.count").toArrow()
+    kept = by_key.select("n", "key", F.inline("of")).toArrow()
     langs = sorted(pc.unique(kept.column("lang")).to_pylist())
     code = pc.index_in(kept.column("lang"), pa.array(langs, pa.string())).to_numpy()
     length, every, times = (kept.column(c).to_numpy() for c in ("n", "key", "count"))
@@ -168,15 +170,17 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCUMENTS) -> Model:
         count = np.full((len(keys), len(langs)), 0.5)
         np.add.at(count, (at, code[part]), times[part])
         logs = np.log(count / np.maximum(count.sum(axis=0, keepdims=True), 1.0))
-        tables[n] = (keys, logs - np.logaddexp.reduce(logs, axis=1, keepdims=True) if len(keys) else logs)
+        tables[n] = (keys, (logs - np.logaddexp.reduce(logs, axis=1, keepdims=True) if len(keys) else logs).astype(np.float32))
     return Model(langs, tables)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of `docs` in a struct `row`, lang_pred and score.
 
-    Whole texts are scored, and nothing but their text is used. Null texts and texts without a letter are `und`
-    with score 0, and so is every text if nothing could be learned. An empty table gives an empty one.
+    Whole texts of any length are scored, and nothing but their text is used, so that rows of equal text score alike.
+    Of languages with equal scores the first by name is taken. Null texts and texts without a letter are `und` with
+    score 0, and so is every text if nothing could be learned. Repeated rows stay, other columns may have any names.
+    An empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -199,5 +203,5 @@ def op8_langid(spark, sf_dir: str) -> DataFrame:
     """The predicted language of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs.select("doc_id", "text"), train(docs.select("doc_id", "text", "lang")))
-    held = F.crc32(F.col("row.doc_id").cast("string")) % 4 == 2
+    held = F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 4 == 2, F.lit(False))  # a null id is none of them
     return found.select("row.doc_id", held.alias("held_out"), "lang_pred", "score")

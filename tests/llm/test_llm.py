@@ -215,6 +215,18 @@ def test_language(spark):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_language_odd_tables(spark, tmp_path):
+    texts = ["der hund und die katze"] * 8 + ["le chien et le chat"] * 8
+    rows = [(k, t, t[:2]) for k, t in enumerate(texts)] + [(None, "der hund", "de"), (3, "le chat", "le"), (99, "der katze " * 50_000, None), (98, None, "de"), (97, "", "de"), (96, "xyz", None)]
+    docs(spark, [t for _, t, _ in rows], ids=[i for i, *_ in rows], langs=[g for *_, g in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = langid.op8_langid(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r.held_out is not None and 0 <= r.score <= 1 for r in got)
+    of = {r.doc_id: r.lang_pred for r in got}
+    assert of[99] == of[None] == "de" and of[98] == of[97] == "und" and of[96] in ("de", "le")
+    empty = docs(spark, ["a"]).limit(0)
+    assert langid.identify(empty, langid.train(empty)).count() == 0 and langid.keep_identified(empty).count() == 0
+
+
 def test_mix(spark):
     rng = random.Random(7)
     texts = [" ".join("w" * rng.randrange(1, 5) for _ in range(rng.randrange(1, 60))) for _ in range(400)] + [None, " \t", "x"]
