@@ -1,14 +1,17 @@
 """Near-duplicate embeddings by collision-counting projections.
 
-Vectors are projected on many random lines. On one line, a pair collides if one lies in the window centred on the
-other; a pair of the wanted cosine collides in a known share of the lines, so a pair whose count of collisions
-reaches the number that such pairs miss once in ten thousand times is verified by its cosine in double precision.
+Vectors are projected on many random lines. On each line they are sorted, and a pair collides if one lies in the
+window centred on the other; a pair of the wanted cosine collides in a known share of the lines, so a pair whose count
+of collisions reaches the number that such pairs miss once in ten thousand times is verified by its cosine in double
+precision.
 
 An unrelated pair collides in a third of all windows, so single windows cannot keep pairs apart: counting every
-collision would touch every pair. Pairs are therefore counted only inside blocks, which are made of further
+collision would touch every pair. Vectors are therefore sorted and counted inside blocks, which are made of further
 projections: a block holds the vectors that lie on the same side of zero on each of some lines. The number of
 lines to a block grows with the logarithm of the table, and blocks are drawn again until a pair of the wanted
 cosine misses all of them once in ten thousand times. A pair is counted in the first block that it shares.
+
+Only ids, block keys and rounded projections are shuffled to count; vectors follow for those with a pair that passes.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadweave.operators.components import connected_components
-from leadweave.storage import materialise
+from leadweave.storage import materialise, small_or_merge
 
 COSINE = 0.95
 #: The share of pairs at the threshold that blocks, and counts, may each miss.
@@ -32,6 +35,10 @@ LINES, HALF_WINDOW = 32, 2.0
 BLOCK, GROUP_BITS, PART = 64, 4, 4096
 #: Steps of a half window to which projections are rounded.
 STEPS = 16
+#: Projections made at once; pairs whose collisions are counted at once, and whose cosines are taken at once.
+PROJECTED, COUNTED, VERIFIED = 1 << 22, 1 << 22, 1 << 14
+#: Most large blocks whose numbers of parts are broadcast.
+BROADCAST_BLOCKS = 100_000
 
 
 def block_shape(n: int, cosine: float = COSINE) -> tuple[int, int]:
@@ -68,31 +75,85 @@ def _lines(dimension: int, count: int, stream: int) -> np.ndarray:
 
 def _projector(bits: int, tables: int, cosine: float):
     step = HALF_WINDOW * sqrt(2 * (1 - cosine)) / STEPS
+    most = max(1, PROJECTED // (bits * tables))
 
     def project(batches):
         for batch in batches:
-            column = batch.column("embedding")
-            for rows, x in _dense(column):
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                sides = (unit @ _lines(x.shape[1], bits * tables, 1) > 0).reshape(len(x), tables, bits)
-                keys = (sides * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
-                marks = np.clip(np.round(unit @ _lines(x.shape[1], LINES, 2) / step), -127, 127).astype(np.int8)
-                take = pa.array(rows)
+            for rows, x in _dense(batch.column("embedding")):
+                keys, marks = [], []
+                for at in range(0, len(x), most):
+                    unit = x[at : at + most] / np.linalg.norm(x[at : at + most], axis=1, keepdims=True)
+                    sides = (unit @ _lines(x.shape[1], bits * tables, 1) > 0).reshape(len(unit), tables, bits)
+                    keys.append((sides * (1 << np.arange(bits))).sum(axis=2).astype(np.int32))
+                    marks.append(np.clip(np.round(unit @ _lines(x.shape[1], LINES, 2) / step), -127, 127).astype(np.int8))
+                keys, marks = np.concatenate(keys), np.concatenate(marks)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("vector").take(take),
-                        batch.column("copies").take(take),
-                        column.take(take),
+                        batch.column("vector").take(pa.array(rows)),
                         pa.array([x.shape[1]] * len(rows), pa.int32()),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * tables, pa.int32()), pa.array(keys.ravel())),
                         pa.array([m.tobytes() for m in marks], pa.binary()),
                     ],
-                    names=["vector", "copies", "embedding", "dimension", "keys", "marks"],
+                    names=["vector", "dimension", "keys", "marks"],
                 )
 
     return project
 
 
+def _windows(key: np.ndarray, marks: np.ndarray, left: np.ndarray, right: np.ndarray, least: int):
+    """Slices of the pairs (a of left, b of right) of one block whose windows collide on `least` lines or more.
+
+    On each line the right side is sorted by block and projection, and each of the left is looked up with its window.
+    Where left and right are the same, each pair comes once.
+    """
+    span = np.int64(1) << 16
+    block = np.unique(key, return_inverse=True)[1].astype(np.int64) * span
+    both = left is right
+    sorted_by = []
+    for line in range(LINES):
+        at = block[right] + marks[right, line] + span // 2
+        order = np.argsort(at, kind="stable")
+        sorted_by.append((order, at[order]))
+    most = max(1, COUNTED // max(len(right), 1))
+    for begin in range(0, len(left), most):
+        some = left[begin : begin + most]
+        count = np.zeros(len(some) * len(right), dtype=np.uint8)
+        for line, (order, at) in enumerate(sorted_by):
+            centre = block[some] + marks[some, line] + span // 2
+            low, high = np.searchsorted(at, centre - STEPS - 1), np.searchsorted(at, centre + STEPS + 1, side="right")
+            many = high - low
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            count[np.repeat(np.arange(len(some)) * len(right), many) + order[np.repeat(low, many) + step]] += 1
+        i, j = np.divmod(np.flatnonzero(count >= least), len(right))
+        a, b = some[i], right[j]
+        yield (a[a < b], b[a < b]) if both else (a, b)
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The rows on either side of a group's pairs: all of them, or two parts of a large block."""
+    part, lo, hi = table.column("part").to_numpy(), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    if lo == hi:
+        rows = np.arange(len(part))
+        return rows, rows
+    return np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+
+
+def _marks(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("marks").to_pylist()), dtype=np.int8).reshape(table.num_rows, LINES).astype(np.int64)
+
+
+def _finder(least: int):
+    """Of a group: the vectors that have a pair of enough collisions."""
+
+    def find(table: pa.Table) -> pa.Table:
+        seen = np.zeros(table.num_rows, dtype=bool)
+        for a, b in _windows(table.column("key").to_numpy(), _marks(table), *_sides(table), least):
+            seen[a] = seen[b] = True
+        return table.select([c for c in table.column_names if c not in ("marks", "key")]).filter(pa.array(seen))
+
+    return find
+
+
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest node reachable from each node over the links a-b."""
     label = np.arange(n)
@@ -107,36 +168,25 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _linker(cosine: float, least: int):
+    """Of a group: the vectors with links, how many, and the smallest row of the group that they reach."""
+
     def link(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        draw, lo, hi = (table.column(c)[0].as_py() for c in ("draw", "lo", "hi"))
-        column = lambda c: table.column(c).combine_chunks() if table.column(c).num_chunks != 1 else table.column(c).chunk(0)
-        part, copies, vectors = (table.column(c).to_numpy() for c in ("part", "copies", "vector"))
-        (_, x), = _dense(column("embedding"))
+        draw = table.column("draw")[0].as_py()
+        copies, vectors = (table.column(c).to_numpy() for c in ("copies", "vector"))
+        ((_, x),) = _dense(table.column("embedding").combine_chunks())
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        keys = column("keys").flatten().to_numpy().reshape(len(x), -1)
-        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), dtype=np.int8).reshape(len(x), LINES).astype(np.int16)
-        found = []
-        order = np.argsort(keys[:, draw], kind="stable")
-        for members in np.split(order, np.flatnonzero(np.diff(keys[order, draw])) + 1):
-            left = members if lo == hi else members[part[members] == lo]
-            right = members if lo == hi else members[part[members] == hi]
-            for at in range(0, len(left), 256):
-                some = left[at : at + 256]
-                count = np.zeros((len(some), len(right)), dtype=np.uint8)
-                for line in range(LINES):
-                    count += np.abs(marks[some, line][:, None] - marks[right, line][None, :]) <= STEPS + 1
-                i, j = np.nonzero(count >= least)
-                a, b = some[i], right[j]
-                if lo == hi:
-                    a, b = a[a < b], b[a < b]
-                near = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
-                a, b = a[near], b[near]
-                new = ~(keys[a, :draw] == keys[b, :draw]).any(axis=1)
-                found.append((a, b, new))
-        a, b, new = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool))
-        links = np.bincount(a[new], weights=copies[b[new]], minlength=len(x)) + np.bincount(b[new], weights=copies[a[new]], minlength=len(x))
-        root = _forest(len(x), a[new], b[new])
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(x), -1)
+        links, root = np.zeros(len(x)), np.arange(len(x))
+        for a, b in _windows(keys[:, draw], _marks(table), *_sides(table), least):
+            new = np.ones(len(a), dtype=bool)
+            for before in range(draw):
+                new &= keys[a, before] != keys[b, before]
+            a, b = a[new], b[new]
+            near = np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", unit[a[k : k + VERIFIED]], unit[b[k : k + VERIFIED]]) >= cosine for k in range(0, len(a), VERIFIED))])
+            a, b = a[near], b[near]
+            links += np.bincount(a, weights=copies[b], minlength=len(x)) + np.bincount(b, weights=copies[a], minlength=len(x))
+            root = _forest(len(x), np.concatenate([a, np.arange(len(x))]), np.concatenate([b, root]))
         rows = np.flatnonzero(links)
         return pa.table({"vector": vectors[rows], "links": links[rows].astype(np.int64), "root": vectors[root[rows]]})
 
@@ -148,7 +198,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do vectors of
     different lengths. Equal vectors are one node, known by a 64-bit hash, and link with each other. Repeated
-    vec_ids are vectors of their own; a null vec_id is never smallest. Columns other than these two are not read.
+    vec_ids are vectors of their own; a null vec_id is never smallest. Vectors may be of any length; columns other
+    than these two are not read, whatever their names. An empty table gives an empty one.
     """
     e = F.col("embedding")
     square = F.aggregate(e, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
@@ -158,21 +209,25 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     nodes = rows.filter("vector IS NOT NULL").groupBy("vector").agg(F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     nodes = materialise(nodes, "nodes")
     bits, tables = block_shape(nodes.count(), cosine)
-    kind = rows.schema["embedding"].dataType.simpleString()
-    made = nodes.mapInArrow(_projector(bits, tables, cosine), f"vector long, copies long, embedding {kind}, dimension int, keys array<int>, marks binary")
-    made = materialise(made, "projected").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))))
-    made = made.withColumn("block", F.shiftright(F.get("keys", F.col("draw")), GROUP_BITS))
+    made = nodes.mapInArrow(_projector(bits, tables, cosine), "vector long, dimension int, keys array<int>, marks binary")
+    made = materialise(made, "projected")
+    spread = made.select("vector", "dimension", "marks", F.posexplode("keys").alias("draw", "key")).withColumn("block", F.shiftright("key", GROUP_BITS))
     # a large group is dealt into parts, and each pair of parts is a group
-    sizes = made.groupBy("draw", "dimension", "block").agg(F.count("*").alias("size")).filter(F.col("size") > PART)
-    sizes = materialise(sizes.select("draw", "dimension", "block", F.ceil(F.col("size") / PART).cast("int").alias("parts")), "sizes")
+    block = ["draw", "dimension", "block"]
+    sizes = spread.groupBy(*block).agg(F.count("*").alias("size")).filter(F.col("size") > PART)
+    sizes = materialise(sizes.select(*block, F.ceil(F.col("size") / PART).cast("int").alias("parts")), "sizes")
     if sizes.isEmpty():
-        parted = made.withColumn("part", F.lit(0)).withColumn("other", F.lit(0))
+        parted = spread.withColumn("part", F.lit(0)).withColumn("other", F.lit(0))
     else:
-        parted = made.hint("merge").join(sizes, ["draw", "dimension", "block"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        parted = spread.join(small_or_merge(sizes, BROADCAST_BLOCKS), block, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         parted = parted.withColumn("part", F.pmod(F.xxhash64("vector"), F.col("parts")).cast("int"))
         parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    parted = parted.select("vector", "copies", "embedding", "keys", "marks", "draw", "dimension", "block", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    found = parted.groupBy("draw", "dimension", "block", "lo", "hi").applyInArrow(_linker(cosine, least_count()), "vector long, links long, root long")
+    group = [*block, "lo", "hi"]
+    parted = parted.select("vector", "marks", "key", "part", *block, F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    least = least_count()
+    some = parted.groupBy(*group).applyInArrow(_finder(least), "vector long, part int, draw int, dimension int, block int, lo int, hi int")
+    some = materialise(some, "with-pairs").join(made.select("vector", "keys", "marks").hint("merge"), "vector").join(nodes.hint("merge"), "vector")
+    found = some.groupBy(*group).applyInArrow(_linker(cosine, least), "vector long, links long, root long")
     found = materialise(found, "vector-links")
     labels = connected_components(found, "vector", "root")
     counts = found.groupBy("vector").agg(F.sum("links").alias("links"))

@@ -410,6 +410,23 @@ def test_near_vectors_brute_force(spark):
     assert got[200] == (0, 200) and got[201] == (0, 201) and got[202] == (0, 202) and got[203] == (1, 203) and got[204] == (1, 203) and got[205] == (0, 205)
 
 
+def test_near_vectors_of_large_blocks(spark, monkeypatch):
+    """Blocks dealt into parts, and an empty table; parameters reach the workers with the functions that hold them."""
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((1, 12)) + 0.28 * rng.standard_normal((400, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    label = projections._forest(len(u), *np.nonzero(near))
+    assert 2_000 < near.sum() < 150_000
+    for part in (4096, 60):
+        monkeypatch.setattr(projections, "PART", part)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in projections.near_vectors(df).collect()}
+        assert sum(got[i] == (near[i].sum(), label[i]) for i in range(len(u))) >= 0.99 * len(u)
+        assert sum(n for n, _ in got.values()) >= 0.999 * near.sum() and all(got[i][0] <= near[i].sum() for i in range(len(u)))
+    assert projections.near_vectors(df.limit(0)).count() == 0
+
+
 def one_of_each(rows, text_ids):
     """Brute force of drop_near_duplicates over (doc_id, text) rows: the indexes of the rows that stay."""
     bags = [bag(t) for _, t in rows]
