@@ -32,11 +32,11 @@ MISS = 1e-4
 #: Lines on which collisions are counted; half a window in standard deviations of the wanted pairs' differences.
 LINES, HALF_WINDOW = 32, 2.0
 #: Vectors that a block is meant to hold, keys of one task's group, and members of a part of a large group.
-BLOCK, GROUP_BITS, PART = 64, 4, 4096
+BLOCK, GROUP_BITS, PART = 16, 6, 2048
 #: Steps of a half window to which projections are rounded.
 STEPS = 16
 #: Projections made at once; pairs whose collisions are counted at once, and whose cosines are taken at once.
-PROJECTED, COUNTED, VERIFIED = 1 << 22, 1 << 22, 1 << 14
+PROJECTED, COUNTED, VERIFIED = 1 << 22, 1 << 20, 1 << 14
 #: Most large blocks whose numbers of parts are broadcast.
 BROADCAST_BLOCKS = 100_000
 
@@ -100,33 +100,56 @@ def _projector(bits: int, tables: int, cosine: float):
     return project
 
 
-def _windows(key: np.ndarray, marks: np.ndarray, left: np.ndarray, right: np.ndarray, least: int):
-    """Slices of the pairs (a of left, b of right) of one block whose windows collide on `least` lines or more.
+def _cells(key: np.ndarray, left: np.ndarray, right: np.ndarray):
+    """Left and right by block, the blocks' numbers, and a cell of one array for each pair of a block.
+
+    The pair of left i and right j has cell base[i] + place[j].
+    """
+    left, right = left[np.argsort(key[left], kind="stable")], right[np.argsort(key[right], kind="stable")]
+    blocks = np.unique(key[right])
+    of_left, of_right = np.searchsorted(blocks, key[left]), np.searchsorted(blocks, key[right])
+    known = blocks[np.minimum(of_left, len(blocks) - 1)] == key[left]
+    left, of_left = left[known], of_left[known]
+    many_left, many_right = np.bincount(of_left, minlength=len(blocks)), np.bincount(of_right, minlength=len(blocks))
+    first = np.concatenate([[0], np.cumsum(many_left * many_right)])
+    row = np.arange(len(left)) - np.repeat(np.cumsum(many_left) - many_left, many_left)
+    base = first[of_left] + row * many_right[of_left]
+    place = np.arange(len(right)) - np.repeat(np.cumsum(many_right) - many_right, many_right)
+    return left, right, of_left.astype(np.int64), of_right.astype(np.int64), base, place, int(first[-1])
+
+
+def _windows(key: np.ndarray, marks: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a of left, b of right) of one block whose windows collide on `least` lines or more.
 
     On each line the right side is sorted by block and projection, and each of the left is looked up with its window.
-    Where left and right are the same, each pair comes once.
+    Where left and right are the same, each pair is counted once, from its lower end on the line.
     """
-    span = np.int64(1) << 16
-    block = np.unique(key, return_inverse=True)[1].astype(np.int64) * span
     both = left is right
-    sorted_by = []
+    left, right, of_left, of_right, base, place, cells = _cells(key, left, right)
+    count, span = np.zeros(cells, dtype=np.uint8), np.int64(1) << 16
     for line in range(LINES):
-        at = block[right] + marks[right, line] + span // 2
+        at = of_right * span + marks[right, line]
         order = np.argsort(at, kind="stable")
-        sorted_by.append((order, at[order]))
-    most = max(1, COUNTED // max(len(right), 1))
-    for begin in range(0, len(left), most):
-        some = left[begin : begin + most]
-        count = np.zeros(len(some) * len(right), dtype=np.uint8)
-        for line, (order, at) in enumerate(sorted_by):
-            centre = block[some] + marks[some, line] + span // 2
+        at = at[order]
+        if both:
+            low, high = np.arange(1, len(at) + 1), np.searchsorted(at, at + STEPS + 1, side="right")
+        else:
+            centre = of_left * span + marks[left, line]
             low, high = np.searchsorted(at, centre - STEPS - 1), np.searchsorted(at, centre + STEPS + 1, side="right")
-            many = high - low
-            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            count[np.repeat(np.arange(len(some)) * len(right), many) + order[np.repeat(low, many) + step]] += 1
-        i, j = np.divmod(np.flatnonzero(count >= least), len(right))
-        a, b = some[i], right[j]
-        yield (a[a < b], b[a < b]) if both else (a, b)
+        many = high - low
+        upto = np.cumsum(many)
+        for part in np.split(np.arange(len(many)), np.flatnonzero(np.diff(upto // COUNTED)) + 1):
+            n = many[part]
+            i = np.repeat(part, n)
+            j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n - low[part], n)]
+            if both:
+                i = order[i]
+                i, j = np.minimum(i, j), np.maximum(i, j)
+            count[base[i] + place[j]] += 1
+    hits = np.flatnonzero(count >= least)
+    i = np.searchsorted(base, hits, side="right") - 1
+    j = np.searchsorted(of_right, of_left[i]) + hits - base[i]
+    return left[i], right[j]
 
 
 def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +170,8 @@ def _finder(least: int):
 
     def find(table: pa.Table) -> pa.Table:
         seen = np.zeros(table.num_rows, dtype=bool)
-        for a, b in _windows(table.column("key").to_numpy(), _marks(table), *_sides(table), least):
-            seen[a] = seen[b] = True
+        a, b = _windows(table.column("key").to_numpy(), _marks(table), *_sides(table), least)
+        seen[a] = seen[b] = True
         return table.select([c for c in table.column_names if c not in ("marks", "key")]).filter(pa.array(seen))
 
     return find
@@ -177,16 +200,14 @@ def _linker(cosine: float, least: int):
         ((_, x),) = _dense(table.column("embedding").combine_chunks())
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(x), -1)
-        links, root = np.zeros(len(x)), np.arange(len(x))
-        for a, b in _windows(keys[:, draw], _marks(table), *_sides(table), least):
-            new = np.ones(len(a), dtype=bool)
-            for before in range(draw):
-                new &= keys[a, before] != keys[b, before]
+        a, b = _windows(keys[:, draw], _marks(table), *_sides(table), least)
+        for before in range(draw):  # pairs that share an earlier block are counted there
+            new = keys[a, before] != keys[b, before]
             a, b = a[new], b[new]
-            near = np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", unit[a[k : k + VERIFIED]], unit[b[k : k + VERIFIED]]) >= cosine for k in range(0, len(a), VERIFIED))])
-            a, b = a[near], b[near]
-            links += np.bincount(a, weights=copies[b], minlength=len(x)) + np.bincount(b, weights=copies[a], minlength=len(x))
-            root = _forest(len(x), np.concatenate([a, np.arange(len(x))]), np.concatenate([b, root]))
+        near = np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", unit[a[k : k + VERIFIED]], unit[b[k : k + VERIFIED]]) >= cosine for k in range(0, len(a), VERIFIED))])
+        a, b = a[near], b[near]
+        links = np.bincount(a, weights=copies[b], minlength=len(x)) + np.bincount(b, weights=copies[a], minlength=len(x))
+        root = _forest(len(x), a, b)
         rows = np.flatnonzero(links)
         return pa.table({"vector": vectors[rows], "links": links[rows].astype(np.int64), "root": vectors[root[rows]]})
 

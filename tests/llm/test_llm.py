@@ -427,6 +427,20 @@ def test_near_vectors_of_large_blocks(spark, monkeypatch):
     assert projections.near_vectors(df.limit(0)).count() == 0
 
 
+def test_windows_count_every_pair_once():
+    rng = np.random.default_rng(11)
+    for n, blocks in ((200, 15), (200, 1), (1, 1), (0, 1)):
+        key, marks = rng.integers(0, blocks, n).astype(np.int32), rng.integers(-60, 60, (n, projections.LINES))
+        marks[n // 2 :] = marks[: n - n // 2] + rng.integers(-9, 9, (n - n // 2, projections.LINES))
+        key[n // 2 :] = key[: n - n // 2]
+        every, part = np.arange(n), rng.integers(0, 2, n)
+        for left, right in ((every, every), (np.flatnonzero(part == 0), np.flatnonzero(part == 1))):
+            a, b = projections._windows(key, marks, left, right, 12)
+            got = sorted(tuple(sorted(x)) for x in zip(a.tolist(), b.tolist(), strict=True))
+            collide = lambda i, j: (np.abs(marks[i] - marks[j]) <= projections.STEPS + 1).sum() >= 12
+            assert got == sorted({(min(i, j), max(i, j)) for i in left.tolist() for j in right.tolist() if i != j and key[i] == key[j] and collide(i, j)})
+
+
 def one_of_each(rows, text_ids):
     """Brute force of drop_near_duplicates over (doc_id, text) rows: the indexes of the rows that stay."""
     bags = [bag(t) for _, t in rows]
