@@ -21,7 +21,16 @@ def blank_to_null(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Trimmed, white space collapsed; blank, n/a and na are null."""
-    s = F.regexp_replace(strip(c), SPACE, " ")
+    return not_blank(collapse(c))
+
+
+def collapse(c: Column) -> Column:
+    """Trimmed, each stretch of white space one space."""
+    return F.regexp_replace(strip(c), SPACE, " ")
+
+
+def not_blank(s: Column) -> Column:
+    """Null for blank, n/a and na."""
     return F.when((s != "") & ~F.lower(s).isin("n/a", "na"), s)
 
 
@@ -36,9 +45,17 @@ def normalize_name(c: Column) -> Column:
 
 def normalize_domain(c: Column) -> Column:
     """The bare domain of an URL, an address or a domain; else null."""
+    return is_domain(host(c))
+
+
+def host(c: Column) -> Column:
+    """What stands where an URL or an address has its domain."""
     s = F.substring_index(F.lower(strip(c)), "@", -1)
     s = F.regexp_replace(F.regexp_replace(s, "^[a-z]+://", ""), r"^www[0-9]?\.", "")
-    s = F.regexp_extract(s, "^[^/?#:]*", 0)
+    return F.regexp_extract(s, "^[^/?#:]*", 0)
+
+
+def is_domain(s: Column) -> Column:
     return F.when(s.rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+$"), s)
 
 
@@ -46,12 +63,9 @@ def normalize_website(domain: Column) -> Column:
     return F.concat(F.lit("https://"), domain)
 
 
-def normalize_phone(c: Column) -> Column:
-    """struct<raw, e164, national, valid, type>; null for blanks. North American unless it starts with another +code."""
-    raw = strip(c)
-    digits = F.regexp_replace(raw, "[^0-9]", "")
+def _phone(raw: Column, digits: Column, local: Column) -> Column:
+    """The struct of normalize_phone from the trimmed text, its digits, and those without a leading 1 of eleven."""
     foreign = raw.startswith("+") & ~raw.rlike(r"^\+[^0-9]*1")
-    local = F.when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).otherwise(digits)
     valid = F.when(foreign, F.length(digits).between(8, 15)).otherwise(local.rlike(r"^[2-9]\d{2}[2-9]\d{6}$"))
     kind = F.when(F.substring(local, 1, 3).isin("800", "833", "844", "855", "866", "877", "888"), "TOLL_FREE").when(F.substring(local, 1, 3) == "900", "PREMIUM_RATE").otherwise("FIXED_LINE_OR_MOBILE")
     e164 = F.when(digits == "", None).when(foreign, F.concat(F.lit("+"), digits)).otherwise(F.concat(F.lit("+1"), local))
@@ -60,6 +74,24 @@ def normalize_phone(c: Column) -> Column:
     return F.when((raw != "") & ~F.lower(raw).isin("n/a", "na"), made)
 
 
+def _local(digits: Column) -> Column:
+    return F.when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).otherwise(digits)
+
+
+def normalize_phone(c: Column) -> Column:
+    """struct<raw, e164, national, valid, type>; null for blanks. North American unless it starts with another +code."""
+    raw = strip(c)
+    digits = F.regexp_replace(raw, "[^0-9]", "")
+    return _phone(raw, digits, _local(digits))
+
+
+def with_phone(df: DataFrame, column: str, out: str) -> DataFrame:
+    """The rows with normalize_phone of a column, in steps, so that no expression is worked out again for each use."""
+    df = df.withColumn("_raw", strip(F.col(column))).withColumn("_digits", F.regexp_replace("_raw", "[^0-9]", ""))
+    df = df.withColumn("_local", _local(F.col("_digits")))
+    return df.withColumn(out, _phone(F.col("_raw"), F.col("_digits"), F.col("_local"))).drop("_raw", "_digits", "_local")
+
+
 def normalize_email(c: Column) -> Column:
     return blank_to_null(F.lower(strip(c)))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadweave import rules
@@ -42,38 +43,76 @@ def conflicts(a: str, b: str) -> Column:
     return differ("domain") | differ("phone_key")
 
 
+#: Segments that a name is cut into beyond those that the similarity needs; as many of its commonest are left out.
+SPARE = 2
+
+
 def _segments(df: DataFrame) -> DataFrame:
-    """For a length lb and segment number i of names that may differ in kb places: its start p and length w."""
-    return df.selectExpr("*", "lb div (kb + 1) AS base", "kb + 1 - lb % (kb + 1) AS short").selectExpr("*", "i * base + greatest(0, i - short) AS p", "base + int(i >= short) AS w")
+    """For a length lb of names that may differ in kb places: the start p and length w of segment i of kb + 1 + spare."""
+    return df.selectExpr("*", "kb + 1 + spare AS pieces").selectExpr("*", "lb div pieces AS base", "pieces - lb % pieces AS short").selectExpr("*", "i * base + greatest(0, i - short) AS p", "base + int(i >= short) AS w")
+
+
+def _cut(df: DataFrame, similarity: float) -> DataFrame:
+    """A row for each segment of a name of length lb: how many places it may differ in, and the segment's place."""
+    df = df.withColumn("kb", F.expr(f"int(floor({(1 - similarity) / similarity} * lb + 1e-9))"))
+    df = df.withColumn("spare", F.expr(f"if(kb = 0, 0, least({SPARE}, lb - kb - 1))"))
+    return _segments(df.withColumn("i", F.explode(F.expr("sequence(0, kb + spare)"))))
+
+
+def similar_names(names: DataFrame, similarity: float = rules.NAME_SIMILARITY) -> DataFrame:
+    """a, b: the pairs of written names (name, city, norm_name: not empty, no two alike) of a city that are similar.
+
+    Nothing is lost. A name of length lb that may differ from another in kb places is cut into kb + 1 + SPARE
+    segments, of which SPARE + 1 at least stand in the other one. So it is enough to join on the kb + 1 rarest
+    segments of each name (the partition-based join of PassJoin, VLDB 2011, with rare pieces preferred): words that
+    many names of a city share are not joined on unless a name has nothing else. Only ids are joined; names follow.
+    """
+    by = ["city", "lb", "i", "piece"]
+    rows = names.select("name", "city", "norm_name", F.length("norm_name").alias("n"))
+    have = _cut(rows.withColumn("lb", F.col("n")), similarity).selectExpr("name", "city", "lb", "i", "kb", "substring(norm_name, p + 1, w) AS piece")
+    have = materialise(have, "name-pieces")
+    often = have.groupBy(*by).agg(F.count("*").alias("often"))
+    rarest = have.hint("merge").join(often, by).withColumn("rank", F.row_number().over(W.partitionBy("name").orderBy("often", "i")))
+    rarest = rarest.filter("rank <= kb + 1").select(F.col("name").alias("b"), *by)
+    # a segment that stands intact has as many edits before it as it is off, and the rest of them after it
+    ask = rows.withColumn("lb", F.explode(F.expr(f"sequence(greatest(1, n - int(floor({1 - similarity} * n + 1e-9))), n)")))
+    ask = _cut(ask, similarity).withColumn("s", F.explode(F.expr("sequence(greatest(0, p - (kb - n + lb) div 2), p + (kb + n - lb) div 2)"))).filter("s + w <= n")
+    ask = ask.selectExpr("name AS a", "city", "lb", "i", "substring(norm_name, s + 1, w) AS piece").distinct()
+    pairs = ask.hint("merge").join(rarest, by).filter("a <> b").select("a", "b").distinct()
+    text = lambda k: names.select(F.col("name").alias(k), F.col("norm_name").alias(f"name_{k}"))
+    pairs = pairs.hint("merge").join(text("a"), "a").hint("merge").join(text("b"), "b")
+    longest = F.greatest(F.length("name_a"), F.length("name_b"))
+    most = F.floor((1 - similarity) * longest + 1e-9).cast("int")
+    edits = F.levenshtein("name_a", "name_b")
+    near = (F.abs(F.length("name_a") - F.length("name_b")) <= most) & (1 - edits / longest >= similarity)
+    return pairs.filter(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def link_fuzzy(keys: DataFrame, parts: DataFrame | None = None, similarity: float = rules.NAME_SIMILARITY) -> DataFrame:
     """src, dst, reason: rows of one city with names of at least `similarity`, unless they conflict.
 
-    Nothing is lost: a name within k edits of another holds one of its k + 1 segments at most k places off, so
-    rows are joined on city, length and such a segment (the partition-based join of PassJoin, VLDB 2011). Rows of
-    one component in `parts` (node, component) are linked already and left out.
+    Rows of one city, name, domain and phone are linked as a star with the first of them, which stands for them in all
+    other links: conflicts depend on nothing else, so that components are those of all pairs. Rows of one component in
+    `parts` (node, component) are linked already and left out.
     """
-    rows = keys.filter("city IS NOT NULL AND norm_name <> ''").withColumn("n", F.length("norm_name"))
+    rows = keys.filter("city IS NOT NULL AND norm_name <> ''").select("row", "city", "norm_name", "domain", "phone_key")
     if parts is not None:
-        rows = rows.join(parts.withColumnRenamed("node", "row"), "row", "left")
-    rows = rows.withColumn("part", F.coalesce("component", "row") if parts is not None else F.col("row"))
-    share = (1 - similarity) / similarity
-    most = lambda c: f"int(floor({share} * {c} + 1e-9))"
-    have = rows.selectExpr("*", "n AS lb", f"{most('n')} AS kb").withColumn("i", F.explode(F.expr("sequence(0, kb)")))
-    have = _segments(have).selectExpr("row", "city", "norm_name", "n", "domain", "phone_key", "part", "lb", "i", "substring(norm_name, p + 1, w) AS piece")
-    ask = rows.withColumn("lb", F.explode(F.expr(f"sequence(greatest(1, n - {most('n')}), n)"))).withColumn("kb", F.expr(most("lb")))
-    ask = _segments(ask.withColumn("i", F.explode(F.expr("sequence(0, kb)"))))
-    ask = ask.withColumn("s", F.explode(F.expr("sequence(greatest(0, p - kb), p + kb)"))).filter("s + w <= n")
-    ask = ask.selectExpr("row", "city", "norm_name", "n", "domain", "phone_key", "part", "lb", "i", "substring(norm_name, s + 1, w) AS piece").distinct()
-    a, b = ask.alias("a"), have.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("city", "lb", "i", "piece")]
-    edits = F.floor((1 - similarity) * F.greatest("a.n", "b.n") + 1e-9).cast("int")
-    near = F.levenshtein(F.col("a.norm_name"), F.col("b.norm_name"))
-    ok = (F.col("a.row") != F.col("b.row")) & (F.col("a.part") != F.col("b.part")) & (F.col("a.n") - F.col("b.n") <= edits) & ~conflicts("a", "b")
-    pairs = a.hint("merge").join(b, same[0] & same[1] & same[2] & same[3] & ok).filter(1 - near / F.greatest("a.n", "b.n") >= similarity)
-    pairs = pairs.select(F.greatest("a.row", "b.row").alias("src"), F.least("a.row", "b.row").alias("dst")).distinct()
-    return pairs.withColumn("reason", F.lit("name"))
+        rows = rows.join(parts.withColumnRenamed("node", "row").hint("merge"), "row", "left")
+    rows = materialise(rows.withColumn("part", F.coalesce("component", "row") if parts is not None else F.col("row")), "named")
+    heads = rows.groupBy("city", "norm_name", "domain", "phone_key").agg(F.min(F.struct("row", "part")).alias("head"))
+    names = materialise(heads.groupBy("city", "norm_name").agg(F.min("head.row").alias("name"), F.count("*").alias("heads")), "names")
+    heads = heads.select("city", "norm_name", "domain", "phone_key", F.col("head.row").alias("row"), F.col("head.part").alias("part"))
+    heads = materialise(heads.hint("merge").join(names.select("city", "norm_name", "name"), ["city", "norm_name"]), "heads")
+    near = similar_names(names, similarity).unionByName(names.filter("heads > 1").select(F.col("name").alias("a"), F.col("name").alias("b")))
+    side = lambda k: heads.select(F.col("name").alias(k), F.struct("row", "part", "domain", "phone_key").alias(f"of_{k}"))
+    pairs = near.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").select("of_a.*", F.col("of_b").alias("o")).alias("x")
+    pairs = pairs.select(F.struct("row", "part", "domain", "phone_key").alias("x"), F.col("o").alias("y"))
+    pairs = pairs.filter((F.col("x.row") != F.col("y.row")) & (F.col("x.part") != F.col("y.part")) & ~conflicts("x", "y"))
+    pairs = pairs.select(F.greatest("x.row", "y.row").alias("src"), F.least("x.row", "y.row").alias("dst")).distinct()
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ("city", "norm_name", "domain", "phone_key")]
+    star = rows.alias("r").hint("merge").join(heads.alias("h"), same[0] & same[1] & same[2] & same[3])
+    star = star.filter((F.col("r.row") != F.col("h.row")) & (F.col("r.part") != F.col("h.part"))).select(F.col("r.row").alias("src"), F.col("h.row").alias("dst"))
+    return pairs.unionByName(star).withColumn("reason", F.lit("name"))
 
 
 EXACT = (("domain", "domain"), ("phone_key", "phone"), ("email_key", "email"))

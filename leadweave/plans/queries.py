@@ -306,7 +306,8 @@ def _exact(key: str) -> str:
 
 
 _FUZZY = (
-    "SELECT a.row AS src, b.row AS dst FROM keys a JOIN keys b ON a.city = b.city AND a.row > b.row AND a.norm_name <> '' AND b.norm_name <> '' "
+    "SELECT row AS src, min(row) OVER (PARTITION BY city, norm_name, domain, phone_key) AS dst FROM keys WHERE city IS NOT NULL AND norm_name <> '' QUALIFY src > dst UNION "
+    "SELECT a.row AS src, b.row AS dst FROM (SELECT * FROM keys QUALIFY row = min(row) OVER (PARTITION BY city, norm_name, domain, phone_key)) a JOIN (SELECT * FROM keys QUALIFY row = min(row) OVER (PARTITION BY city, norm_name, domain, phone_key)) b ON a.city = b.city AND a.row > b.row AND a.norm_name <> '' AND b.norm_name <> '' "
     "WHERE NOT coalesce(a.domain <> b.domain, FALSE) AND NOT coalesce(a.phone_key <> b.phone_key, FALSE) "
     "AND 1 - levenshtein(a.norm_name, b.norm_name)::DOUBLE / greatest(length(a.norm_name), length(b.norm_name)) >= 0.88::DOUBLE"
 )

@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadweave.functions import text as T
 from leadweave.rules import FIELD_ALIASES
+from leadweave.storage import materialise
 
 TEXT = ("owner_name", "owner_title", "address", "city", "state", "industry", "linkedin", "source_id")
 
@@ -17,26 +19,31 @@ def conform(df: DataFrame, source: str, as_of_year: int, row: str = "row") -> Da
     """Canonical leads; rows without a company name are left out, missing columns are null."""
     have = set(df.columns)
     col = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
-    phone = T.normalize_phone(col("phone"))
-    domain = T.normalize_domain(col("website"))
+    words = ("company_name", *TEXT)
+    # in steps, so that no expression is worked out again for each use
     out = df.select(
         F.col(row).cast("long").alias("row"),
-        F.lit(source).alias("source"),
-        T.clean_text(col("company_name")).alias("company_name"),
-        T.normalize_website(domain).alias("website"),
-        domain.alias("domain"),
+        *[T.collapse(col(c)).alias(c) for c in words],
+        T.host(col("website")).alias("host"),
         col("phone").alias("phone_raw"),
-        F.coalesce(phone["e164"], phone["raw"]).alias("phone"),
-        phone.alias("phone_parsed"),
-        T.normalize_email(col("email")).alias("email"),
+        F.lower(T.strip(col("email"))).alias("email"),
         T.parse_money(col("revenue")).alias("revenue"),
         T.parse_int_loose(col("employees")).alias("employees"),
-        T.parse_year(col("year_founded"), as_of_year).alias("year_founded"),
-        *[T.clean_text(col(c)).alias(c) for c in TEXT],
+        T.parse_int_loose(col("year_founded")).alias("year_founded"),
         col("rating").cast("double").alias("rating"),
         col("review_count").cast("int").alias("review_count"),
     )
-    return out.filter("company_name IS NOT NULL").withColumn("norm_name", T.normalize_name(F.col("company_name")))
+    out = out.withColumns({**{c: T.not_blank(F.col(c)) for c in words}, "domain": T.is_domain(F.col("host")), "email": T.blank_to_null(F.col("email"))}).drop("host")
+    out = T.with_phone(out.filter("company_name IS NOT NULL"), "phone_raw", "phone_parsed")
+    return out.withColumns(
+        {
+            "source": F.lit(source),
+            "website": T.normalize_website(F.col("domain")),
+            "phone": F.coalesce("phone_parsed.e164", "phone_parsed.raw"),
+            "year_founded": F.when(F.col("year_founded").between(1800, as_of_year), F.col("year_founded")),
+            "norm_name": T.normalize_name(F.col("company_name")),
+        }
+    )
 
 
 def map_columns(headers: list[str]) -> tuple[dict[str, str], list[str]]:
@@ -58,11 +65,31 @@ def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(named), df.filter(~named).select("row", F.lit("Missing company name").alias("reason"))
 
 
+def numbered(df: DataFrame, order: tuple[str, ...], out: str, start: int = 1) -> DataFrame:
+    """The rows with dense numbers from `start` in the given order of columns, written.
+
+    Rows are dealt out by ranges of the order and counted by range, so that no task gets more than a range.
+    """
+    dealt = df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order])
+    dealt = materialise(dealt.withColumn("_at", F.monotonically_increasing_id()), "dealt")
+    part = F.shiftright("_at", 33)
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    # a row for each partition
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
+    rows = dealt.join(F.broadcast(before), part == F.col("_part"))
+    return rows.withColumn(out, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + start).drop("_at", "_part", "_before")
+
+
 def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
-    """All sources in the given order with source_rank; (source_rank, row) is the order of rows."""
-    parts = [df.withColumn("source_rank", F.lit(k)) for k, df in enumerate(sources.values())]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    """All sources in the given order, rows numbered anew from 1 in the order of source and row.
+
+    source_rank and source_row say where a row comes from; columns that a source lacks are null, empty sources add
+    nothing.
+    """
+    parts = [df.withColumn("source_rank", F.lit(k)).withColumnRenamed("row", "source_row") for k, df in enumerate(sources.values())]
+    return numbered(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), ("source_rank", "source_row"), "row")
 
 
 def source_counts(df: DataFrame) -> DataFrame:
+    """source, n."""
     return df.groupBy("source").agg(F.count("*").alias("n"))

@@ -30,6 +30,15 @@ def test_components(spark):
     assert got == parent
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_fuzzy_names(spark):
     rows = [("Copperline Electric", None, None, None, "Austin"), ("Coperline Electric", None, None, None, "austin "), ("Copperline Electric", None, None, None, "Dallas")]
     assert clusters(spark, rows)[3] == {0: 0, 1: 0, 2: 2}
@@ -42,21 +51,37 @@ def test_fuzzy_join_loses_nothing(spark):
     rng = random.Random(5)
     base = ["".join(rng.choice("abcde ") for _ in range(rng.randrange(3, 30))).strip() for _ in range(40)]
     names = base + [b[: (k := rng.randrange(len(b) + 1))] + rng.choice(["", "x", "yz"]) + b[k + rng.randrange(2) :] for b in base for _ in range(2)]
+    names = list(dict.fromkeys(names))
     keys = spark.createDataFrame([(i, "c", n, None, None, None) for i, n in enumerate(names)], "row long, city string, norm_name string, domain string, phone_key string, email_key string")
     got = {(r.dst, r.src) for r in link.link_fuzzy(keys).collect()}
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
     want = {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and a and b and 1 - edits(a, b) / max(len(a), len(b)) >= 0.88}
     assert got == want
 
 
+def test_fuzzy_components_are_those_of_all_pairs(spark):
+    """Equal names, shared words, conflicts and ready components, against all pairs."""
+    rng = random.Random(6)
+    words = ["plumbing", "plumbing", "plumbing", "heating", "air"]
+    names = [f"{rng.choice(['acme', 'acmo', 'bolt', 'bolts', 'crane'])}{rng.randrange(3)} {rng.choice(words)} {rng.choice(words)}" for _ in range(150)]
+    rows = [(i, rng.choice("xy"), n, rng.choice([None, None, "a.com", "b.com"]), rng.choice([None, None, "1", "2"]), None) for i, n in enumerate(names)]
+    rows += [(900, None, names[0], None, None, None), (901, "x", "", None, None, None)]
+    keys = spark.createDataFrame(rows, "row long, city string, norm_name string, domain string, phone_key string, email_key string")
+    differ = lambda a, b: a is not None and b is not None and a != b
+    links = []
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and a[1] is not None and a[1] == b[1] and a[2] and b[2] and not differ(a[3], b[3]) and not differ(a[4], b[4]) and 1 - edits(a[2], b[2]) / max(len(a[2]), len(b[2])) >= 0.88:
+                links.append((a[0], b[0]))
+    label = {r[0]: r[0] for r in rows}
+    while any(label[i] != label[j] for i, j in links):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    found = link.link_fuzzy(keys)
+    assert {(r.dst, r.src) for r in found.collect()} <= set(links)
+    got = {r.node: r.component for r in connected_components(found).collect()}
+    assert {i: got.get(i, i) for i in label} == label and len(set(label.values())) < len(label) / 2
+
+
 def test_exact_keys(spark):
     rows = [("A", "x.com", None, None, None), ("B", "http://www.x.com/y", "(800) 555-0142", None, None), ("C", None, "(800) 555-0142", "info@q.com", None), ("D", None, None, "info@q.com", None)]
     assert clusters(spark, rows)[3] == {0: 0, 1: 0, 2: 2, 3: 3}
