@@ -152,8 +152,8 @@ def flag_disposable(df: DataFrame, domain_col: str, dimension: DataFrame) -> Dat
     labels = F.split("_domain", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     spread = asked.select("_domain", F.explode(suffixes).alias("domain"))
-    hits = spread.join(dimension.select("domain").distinct(), "domain", "left_semi").select("_domain").distinct().withColumn("_hit", F.lit(True))
-    return df.join(hits, F.col(domain_col) == F.col("_domain"), "left").withColumn("is_disposable", F.coalesce("_hit", F.lit(False))).drop("_domain", "_hit")
+    hits = spread.join(dimension.select("domain").distinct().hint("merge"), "domain", "left_semi").select("_domain").distinct().withColumn("_hit", F.lit(True))
+    return df.join(hits.hint("merge"), F.col(domain_col) == F.col("_domain"), "left").withColumn("is_disposable", F.coalesce("_hit", F.lit(False))).drop("_domain", "_hit")
 
 
 def name_similarity(a: Column, b: Column) -> Column:

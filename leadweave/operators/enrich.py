@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadweave.functions import text as T
+from leadweave.operators import score
 
 MODEL_FACTS = "owner_name string, owner_title string, year_founded string, employee_estimate string, family_owned string, ownership_signals string, summary string, services string, industry string, acquisition_notes string"
 FILLED = ("email", "phone", "linkedin", "owner_name", "owner_title", "year_founded", "employees", "revenue")
@@ -61,8 +62,9 @@ def fill_gaps(df: DataFrame, late: bool = False) -> DataFrame:
     estimate = F.when(F.col("revenue").isNull(), T.estimate_revenue(F.col("industry"), values["employees"]))
     values["revenue"] = F.coalesce("revenue", estimate)
     origin["revenue"] = F.when(estimate.isNotNull(), "estimate").otherwise(F.element_at("_prior", "revenue"))
+    estimated = estimate.isNotNull() | (F.coalesce("revenue_estimated", F.lit(False)) if "revenue_estimated" in df.columns else F.lit(False))
     made = F.map_from_arrays(F.array(*[F.lit(f) for f in FILLED]), F.array(*[origin[f] for f in FILLED]))
-    return df.withColumns({**values, "revenue_estimated": estimate.isNotNull(), "provenance": F.map_filter(made, lambda k, v: v.isNotNull())}).drop("_prior")
+    return df.withColumns({**values, "revenue_estimated": estimated, "provenance": F.map_filter(made, lambda k, v: v.isNotNull())}).drop("_prior")
 
 
 def merge_signals(*parts: Column) -> Column:
@@ -78,6 +80,38 @@ def merge_socials(lead: Column, site: Column) -> Column:
     return F.map_concat(F.map_filter(site, lambda k, v: ~F.map_contains_key(lead, k)), lead)
 
 
+def enrichment_record(df: DataFrame) -> DataFrame:
+    """Adds enrichment to gap-filled leads with site and model: where fields come from, what was found, and errors."""
+    empty = F.array().cast("array<string>")
+    s, m = F.col("site"), F.col("model")
+    error = s["error"].cast("string") if "error" in df.schema["site"].dataType.names else F.lit(None).cast("string")
+    record = F.struct(
+        F.col("provenance"), F.coalesce(s["pages"], empty).alias("pages_crawled"), F.coalesce(s["emails"], empty).alias("emails_found"), F.coalesce(s["phones"], empty).alias("phones_found"), F.coalesce(m["services"], empty).alias("services"),
+        T.blank_to_null(m["industry"]).alias("ai_industry"), T.blank_to_null(m["acquisition_notes"]).alias("acquisition_notes"), error.alias("crawl_error"), F.lit(None).cast("string").alias("ai_error"),
+    )
+    return df.withColumn("enrichment", record)
+
+
+#: The columns of a stored lead that model facts may change.
+UPDATABLE = ("owner_name", "owner_title", "year_founded", "employees", "revenue", "revenue_estimated", "signals", "ai_summary", "enrichment", "score", "tier", "score_reasons")
+
+
+def upsert_enrichment(leads: DataFrame, sites: DataFrame, models: DataFrame, criteria, as_of_year: int) -> DataFrame:
+    """Stored leads (domain, provenance, signals ...) after model facts came in: filled, merged and scored again.
+
+    Leads of domains with model facts change in the columns of UPDATABLE and provenance, all others stay as they are.
+    """
+    asked = models.select("domain").distinct()
+    known = leads.join(asked.hint("merge"), "domain", "left_semi")
+    filled = enrichment_record(fill_gaps(attach_facts(known, sites, models), late=True))
+    family = F.when(F.col("model")["family_owned"], F.array(F.lit("Family-owned")))
+    made = filled.withColumn("signals", merge_signals(F.col("signals"), F.col("site")["signals"], F.col("model")["ownership_signals"], family)).withColumn("ai_summary", T.blank_to_null(F.col("model")["summary"]))
+    made = score.score(made, criteria, as_of_year)
+    changed = [c for c in (*UPDATABLE, "provenance") if c in made.columns]
+    fresh = known.drop(*[c for c in changed if c in known.columns]).join(made.select("row", *changed).hint("merge"), "row")
+    return leads.join(asked.hint("merge"), "domain", "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
 def filled_counts(df: DataFrame) -> DataFrame:
     """field, origin, n of the filled fields."""
     return df.select(F.explode("provenance").alias("field", "origin")).groupBy("field", "origin").agg(F.count("*").alias("n"))

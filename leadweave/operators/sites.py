@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadweave.functions import text as T
+from leadweave.operators.pages import SOCIALS
 
 
 def robots_allowed(pages: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
@@ -29,13 +30,15 @@ def best_email(emails: Column, domain: Column) -> Column:
 
 
 def rollup_sites(facts: DataFrame) -> DataFrame:
-    """One row for each domain: everything in page order, the first of what there is one of."""
+    """One row for each domain: everything in page order, the first of what there is one of, also of each kind of social link."""
     seq = F.col("page_seq")
     union = lambda c: F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("page_seq", c))), lambda x: x[c]))).alias(c)
+    link = lambda kind: F.struct(F.lit(kind).alias("k"), F.min_by(F.element_at("socials", kind), F.when(F.map_contains_key("socials", kind), seq)).alias("v"))
+    socials = F.map_from_entries(F.filter(F.array(*[link(kind) for kind, _ in SOCIALS]), lambda x: x["v"].isNotNull())).alias("socials")
     first = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), seq)).alias(c)
     titled = F.min_by("owner_title", F.when(F.col("owner_name").isNotNull(), seq)).alias("owner_title")
     pages = F.transform(F.sort_array(F.collect_list(F.struct("page_seq", "url"))), lambda x: x["url"]).alias("pages")
-    out = facts.groupBy("domain").agg(union("emails"), union("phones"), union("signals"), first("year_founded"), first("owner_name"), titled, first("employees"), pages, F.min_by("socials", "page_seq").alias("socials"))
+    out = facts.groupBy("domain").agg(union("emails"), union("phones"), union("signals"), first("year_founded"), first("owner_name"), titled, first("employees"), pages, socials)
     return out.withColumn("best_email", best_email(F.col("emails"), F.col("domain")))
 
 
@@ -50,7 +53,7 @@ def select_pages(candidates: DataFrame, allowed: DataFrame, max_extra: int = 3)
     """domain, url: the first distinct allowed sub-pages of the domain itself (allowed: domain, url, allowed)."""
     same = F.regexp_extract("url", "^[a-z]+://(?:www[0-9]?[.])?([^/?#:]+)", 1) == F.col("domain")
     firsts = candidates.filter(same).groupBy("domain", "url").agg(F.min("position").alias("position"))
-    firsts = firsts.join(allowed.filter("NOT allowed").select("domain", "url"), ["domain", "url"], "left_anti")
+    firsts = firsts.join(allowed.filter("NOT allowed").select("domain", "url").hint("merge"), ["domain", "url"], "left_anti")
     kept = firsts.groupBy("domain").agg(F.slice(F.sort_array(F.collect_list(F.struct("position", "url"))), 1, max_extra).alias("top"))
     return kept.select("domain", F.explode("top").alias("x")).select("domain", "x.url")
 

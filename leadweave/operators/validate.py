@@ -21,8 +21,8 @@ def latest_observation(keys: DataFrame, observations: DataFrame, ttl_hours: int
     hit = (F.col("k.domain") == F.col("o.domain")) & (F.col("k.kind") == F.col("o.kind"))
     fresh = (F.col("o.observed_at") <= F.col("k.at")) & (F.col("o.observed_at") >= F.col("k.at") - F.expr(f"INTERVAL {int(ttl_hours)} HOURS"))
     asked = keys.select("domain", "kind", "at").distinct()
-    found = asked.alias("k").join(observations.alias("o"), hit & fresh).groupBy("k.domain", "k.kind", "k.at").agg(F.max(F.struct("o.observed_at", "o.outcome")).alias("last"))
-    return keys.join(found.select("domain", "kind", "at", F.col("last.outcome").alias("outcome")), ["domain", "kind", "at"], "left")
+    found = asked.alias("k").join(observations.hint("merge").alias("o"), hit & fresh).groupBy("k.domain", "k.kind", "k.at").agg(F.max(F.struct("o.observed_at", "o.outcome")).alias("last"))
+    return keys.join(found.select("domain", "kind", "at", F.col("last.outcome").alias("outcome")).hint("merge"), ["domain", "kind", "at"], "left")
 
 
 def probe_backlog(keys: DataFrame, observations: DataFrame, ttl_hours: int = 24) -> DataFrame:

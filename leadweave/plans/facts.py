@@ -79,15 +79,6 @@ def facts_json(spark, d):
     return enrich.context_rows(scored(spark, d), ("company_name", "industry", "employees"))
 
 
-def late_upsert(spark, d):
-    """Model facts that come after the site's: guessed owners give way."""
-    first = enriched(spark, d).drop("site", "model").withColumn("model_at", F.lit(1))
-    models = enrich.parse_model_replies(fixture(spark, d, "model_replies"))
-    none = sites.rollup_sites(page_facts(spark, d)).limit(0)
-    out = enrich.fill_gaps(enrich.attach_facts(first, none, models), late=True)
-    return out.select("row", "owner_name", F.element_at("provenance", "owner_name").alias("owner_from"))
-
-
 def industry_tags(spark, d):
     x = fixture(spark, d, "scored_input")
     return x.select("id", F.array_join(listings.industry_tags(F.concat(F.coalesce("industry", F.lit("")), F.when(F.col("id") % 3 == 0, " contractor").otherwise(""))), ";").alias("tags"))
@@ -134,7 +125,7 @@ def export_rows(spark, d):
 
 QUERIES = {
     "page_contacts": page_contacts, "page_text": page_text, "site_rollup": site_rollup, "robots_filter": robots_filter, "select_pages": subpages, "combined_text": combined_text, "model_facts": model_facts, "gap_fill": gap_fill,
-    "provenance_counts": provenance_counts, "signals_union": signals_union, "candidates_topk": candidates_topk, "facts_json": facts_json, "late_upsert": late_upsert, "industry_tags": industry_tags, "places_to_leads": places_to_leads,
+    "provenance_counts": provenance_counts, "signals_union": signals_union, "candidates_topk": candidates_topk, "facts_json": facts_json, "industry_tags": industry_tags, "places_to_leads": places_to_leads,
     "osm_to_leads": osm_to_leads, "area_search": area_search, "union_sources": union_query, "export_rows": export_rows,
 }
 

@@ -106,6 +106,7 @@ PRESETS = {
         "excluded_industries": ("software startup", "crypto", "startup"),
     },
 }
+# Titles of owners, and signs of a change of hands.
 OWNER_TITLES = "owner|founder|president|ceo|principal|partner|proprietor"
 SUCCESSION = "family|generation|retire|succession|owner-operated|founder"
 # Page signals, in order.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadweave.sources.leads import map_columns
+from leadweave.sources.leads import map_columns, numbered
 
 SEPARATORS = (",", ";", "\t", "|")
 EXPORT = (
@@ -15,26 +15,28 @@ EXPORT = (
 
 
 def read_leads_csv(spark: SparkSession, path: str, sep: str | None = None, multiline: bool = False) -> DataFrame:
-    """Rows of strings under the canonical names of the mapped headers; blank rows are left out.
+    """Rows of strings under the canonical names of the mapped headers, and row, their number from 0; blank rows are left out.
 
-    Without `sep`, the separator that the header line holds most often is taken. Other headers keep their names.
+    Rows are numbered in the order of files and lines. Without `sep`, the separator that the header line holds most often is taken. Other headers keep their names.
     """
     if sep is None:
         head = spark.read.text(path).limit(1).collect()
         line = head[0].value if head else ""
         sep = max(SEPARATORS, key=line.count)
     raw = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=multiline)
-    raw = raw.toDF(*[c.strip() for c in raw.columns])
-    found, _ = map_columns(raw.columns)
+    raw = raw.select(*[F.col(f"`{c}`").alias(c.strip()) for c in raw.columns], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_seq"))
+    columns = raw.columns[:-3]
+    found, _ = map_columns(columns)
     names = {h: f for f, h in found.items()}
-    filled = F.length(F.trim(F.concat_ws("", *[F.col(f"`{c}`") for c in raw.columns]))) > 0
-    return raw.filter(filled).select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in raw.columns])
+    filled = F.length(F.trim(F.concat_ws("", *[F.col(f"`{c}`") for c in columns]))) > 0
+    rows = raw.filter(filled).select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in columns], "_file", "_block", "_seq")
+    return numbered(rows, ("_file", "_block", "_seq"), "row", 0).drop("_file", "_block", "_seq")
 
 
-def parse_errors(spark: SparkSession, path: str, columns: list[str], first: int = 20) -> DataFrame:
+def parse_errors(spark: SparkSession, path: str, columns: list[str], first: int = 20, sep: str = ",") -> DataFrame:
     """The first rows that don't have the given number of fields."""
     schema = ", ".join(f"`{c}` string" for c in columns) + ", _corrupt string"
-    return spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").filter("_corrupt IS NOT NULL").select("_corrupt").limit(first)
+    return spark.read.csv(path, schema=schema, header=True, sep=sep, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").filter("_corrupt IS NOT NULL").select("_corrupt").limit(first)
 
 
 def check_rows(df: DataFrame, most: int | None) -> DataFrame:

@@ -60,9 +60,14 @@ def map_columns(headers: list[str]) -> tuple[dict[str, str], list[str]]:
 
 
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with a company name, and the others as (row, reason)."""
+    """Rows with a company name, and the others as (row, reason); row is the line of the file, its header being line 1.
+
+    Raises if there is no column of company names.
+    """
+    if "company_name" not in df.columns:
+        raise ValueError("no column holds company names")
     named = T.clean_text(F.col("company_name")).isNotNull()
-    return df.filter(named), df.filter(~named).select("row", F.lit("Missing company name").alias("reason"))
+    return df.filter(named), df.filter(~named).select((F.col("row") + 2).alias("row"), F.lit("Missing company name").alias("reason"))
 
 
 def numbered(df: DataFrame, order: tuple[str, ...], out: str, start: int = 1) -> DataFrame:

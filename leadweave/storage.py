@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a private one is set only where none is named (tests)."""
+    """The folder named by spark.checkpoint.dir.
+
+    Where none is named a private one is set for a local session (tests); on a cluster that would be one machine's,
+    so it raises. What is written there is left for the folder's owner to clear, as results are lazy.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         current = spark.sparkContext.getCheckpointDir()
         if current is None:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir names no shared folder")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             current = spark.sparkContext.getCheckpointDir()
         return current

@@ -21,11 +21,11 @@ def rows(columns, data):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["norm_names", "norm_phones", "email_rules", "score_points", "links_phone", "links_name", "clusters_all", "validate_email", "ttl_asof", "summary", "site_rollup", "model_facts"])
+@pytest.mark.parametrize("name", ["norm_names", "norm_phones", "email_rules", "score_points", "links_phone", "links_name", "clusters_all", "validate_email", "ttl_asof", "summary", "site_rollup", "model_facts", "union_clusters", "csv_conform", "csv_rejects", "late_upsert", "page_text", "gap_fill", "site_socials"])
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("customer", "nation", "orders"):
+    for t in ("customer", "nation", "orders", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = registry.QUERIES[name](spark, SF)
     found = con.execute(registry.ORACLE_SQL[name])

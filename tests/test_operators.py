@@ -2,12 +2,14 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from leadweave.operators import enrich, golden, link, pages, score, sites, validate
 from leadweave.operators.components import connected_components
 from leadweave.sources import files, listings
-from leadweave.sources.leads import conform, map_columns, split_rejects
+from leadweave.sources.leads import conform, map_columns, split_rejects, union_sources
+from leadweave.storage import small_or_merge
 
 COLUMNS = "row long, company_name string, website string, phone string, email string, city string"
 
@@ -145,8 +147,36 @@ def test_sources(spark, tmp_path):
     assert found["company_name"] == "Business Name" and found["email"] == "E-mail Address" and rest == ["Other"]
     (tmp_path / "x.csv").write_text('Company; Phone \n"A; B";1\n;\n;2\n')
     df = files.read_leads_csv(spark, str(tmp_path / "x.csv"))
-    assert [tuple(r) for r in df.collect()] == [("A; B", "1"), (None, "2")]
-    good, bad = split_rejects(df.withColumn("row", F.lit(1)))
-    assert good.count() == 1 and bad.count() == 1
+    assert sorted(tuple(r) for r in df.select("row", "company_name", "phone").collect()) == [(0, "A; B", "1"), (1, None, "2")]
+    good, bad = split_rejects(df)
+    assert good.count() == 1 and [tuple(r) for r in bad.collect()] == [(3, "Missing company name")]
+    found, _ = link.cluster(conform(good, "csv", 2026))
+    assert [tuple(r) for r in found.collect()] == [(0, 0)]
+    with pytest.raises(ValueError):
+        split_rejects(df.drop("company_name"))
+    (tmp_path / "y.csv").write_text("a;b\n1;2\n1;2;3\n")
+    assert [r[0] for r in files.parse_errors(spark, str(tmp_path / "y.csv"), ["a", "b"], sep=";").collect()] == ["1;2;3"]
     tags = spark.createDataFrame([("HVAC contractors",), ("General contractor",), ("Lawn care",)], "i string").select(F.array_join(listings.industry_tags(F.col("i")), ";")).collect()
     assert [t[0] for t in tags] == ["craft=hvac", "craft=builder;office=construction_company", "craft=gardener;shop=garden_centre;office=lawyer"]
+
+
+def test_union_numbers_rows_anew(spark):
+    a = conform(spark.createDataFrame([(0, "Alpha Works", None, None, None, "Austin"), (5, "Beta", None, None, None, None)], COLUMNS), "csv", 2026)
+    b = conform(spark.createDataFrame([(0, "Totally Other", None, None, None, "Boston")], COLUMNS), "places", 2026).drop("linkedin")
+    both = union_sources({"csv": a, "none": a.limit(0), "places": b})
+    assert sorted((r.row, r.source, r.source_row) for r in both.collect()) == [(1, "csv", 0), (2, "csv", 5), (3, "places", 0)]
+    assert sorted(tuple(r) for r in link.cluster(both)[0].collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_page_text_oddities(spark):
+    pages_of = ["<script>var s='</style>';var secret=1</script>a<STYLE>b</style >c", "<div title='a>b'>x</div>y", "&#65;&#x42; &amp;lt; &#39;q&apos;&#0;", None, ""]
+    got = [r[0] for r in spark.createDataFrame([(i, h) for i, h in enumerate(pages_of)], "i int, h string").orderBy("i").select(pages.page_text(F.coalesce("h", F.lit("")))).collect()]
+    assert got == ["ac", "x y", "AB &lt; 'q'\ufffd", "", ""]
+    links = spark.createDataFrame([("<a href='/a'>x</a><a class=b href=/c>y</a><A HREF=\"d?x=1&amp;y=2\">z</a><abbr href='no'>",)], "h string").select(pages.page_links(F.col("h"))).first()[0]
+    assert links == ["/a", "/c", "d?x=1&y=2"]
+
+
+def test_small_or_merge(spark):
+    df = spark.range(5)
+    assert "BroadcastHashJoin" in spark.range(9).join(small_or_merge(df, 5), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in spark.range(9).join(small_or_merge(df, 4), "id")._jdf.queryExecution().executedPlan().toString()
