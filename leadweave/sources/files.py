@@ -34,9 +34,9 @@ def read_leads_csv(spark: SparkSession, path: str, sep: str | None = None, multi
 
 
 def parse_errors(spark: SparkSession, path: str, columns: list[str], first: int = 20, sep: str = ",") -> DataFrame:
-    """The first rows that don't have the given number of fields."""
+    """The first rows that don't have the given number of fields: _corrupt (the line) and what was read of it."""
     schema = ", ".join(f"`{c}` string" for c in columns) + ", _corrupt string"
-    return spark.read.csv(path, schema=schema, header=True, sep=sep, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").filter("_corrupt IS NOT NULL").select("_corrupt").limit(first)
+    return spark.read.csv(path, schema=schema, header=True, sep=sep, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").filter("_corrupt IS NOT NULL").select("_corrupt", *[F.col(f"`{c}`") for c in columns]).limit(first)
 
 
 def check_rows(df: DataFrame, most: int | None) -> DataFrame:
