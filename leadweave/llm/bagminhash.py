@@ -38,6 +38,8 @@ LEAST_AGREE = 170
 CELL_BITS = 9
 #: Documents whose registers are filled together.
 GROUP = 256
+#: Members of a bucket that each of the others is held against in one task.
+SLICE = 1000
 #: Most buckets, or texts to compare, of which ids (16 bytes a row) are broadcast.
 BROADCAST_IDS = 200_000
 
@@ -230,12 +232,12 @@ def _may_be_similar() -> Column:
 
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, with their part and the bucket's main one, written."""
+    """Members of the buckets that hold several components, with their part, the bucket's main one and its slices, written."""
     placed = members.join(labels.hint("merge"), F.col("text_id") == F.col("node"), "left")
     placed = placed.withColumn("part", F.coalesce("component", "text_id")).drop("node", "component")
     parts = placed.groupBy("band", "part").agg(F.count("*").alias("size"))
-    several = parts.groupBy("band").agg(F.max(F.struct("size", "part")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    several = materialise(several.select("band", F.col("most.part").alias("main")), "open-buckets")
+    several = parts.groupBy("band").agg(F.max(F.struct("size", "part")).alias("most"), F.count("*").alias("parts"), F.sum("size").alias("members")).filter("parts > 1")
+    several = materialise(several.select("band", F.col("most.part").alias("main"), F.ceil(F.col("members") / SLICE).cast("int").alias("slices")), "open-buckets")
     return materialise(placed.join(small_or_merge(several, BROADCAST_IDS), "band"), "open-members")
 
 
@@ -265,10 +267,12 @@ def _grouped(docs: DataFrame) -> DataFrame:
     left = _open_members(members, labels).join(known.hint("merge"), ["text_id", "head"])
     surplus = [(F.col("total") - F.col("n") - _common_bits("lacks", "lacks")).alias("lacks_more"), (F.col("n") - F.col("same") - _common_bits("adds", "adds")).alias("adds_more"), (F.col("same") + F.col("total") - F.col("n")).alias("n_head")]
     left = materialise(left.join(nodes.select("text_id", "sketch").hint("merge"), "text_id").select("*", *surplus), "measured")
-    x, y = left.filter("part <> main").alias("x"), left.alias("y")
+    # a large bucket is dealt into slices, and what stands outside its main part is held against each
+    x = left.filter("part <> main").withColumn("slice", F.explode(F.expr("sequence(0, slices - 1)"))).alias("x")
+    y = left.withColumn("slice", F.pmod(F.xxhash64("text_id"), F.col("slices")).cast("int")).alias("y")
     apart = (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.text_id") < F.col("y.text_id")))
     near = SIMILAR[1] * F.least("x.n", "y.n") >= SIMILAR[0] * F.greatest("x.n", "y.n")
-    cross = x.hint("merge").join(y, (F.col("x.band") == F.col("y.band")) & apart & near & _may_be_similar() & (_differing("x.sketch", "y.sketch") <= BANDS * ROWS - LEAST_AGREE))
+    cross = x.hint("merge").join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.slice") == F.col("y.slice")) & apart & near & _may_be_similar() & (_differing("x.sketch", "y.sketch") <= BANDS * ROWS - LEAST_AGREE))
     cross = materialise(cross.select(F.greatest("x.text_id", "y.text_id").alias("a"), F.least("x.text_id", "y.text_id").alias("b")).distinct(), "cross-pairs")
     if not cross.isEmpty():
         labels = connected_components(links.unionByName(_links(_compare(cross, texts))), "a", "b")
@@ -284,8 +288,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id of the documents reachable by similarities of 0.8 or more; equal texts
     are one node, known by a 64-bit hash. kept marks the rows whose doc_id that is. A text of one to four words
-    has one shingle of all its words. A null, empty or word-less text is like none, not even its copies, and is
-    kept. A null doc_id is never smallest, and kept only if its component has no other id. Only doc_id and text
+    has one shingle of all its words; texts of any length are read whole. A null, empty or word-less text is like
+    none, not even its copies, and is kept. Copies of id and text give equal rows. A null doc_id is never smallest, and kept only if its component has no other id. Only doc_id and text
     are read. An empty table gives an empty one.
     """
     found = _grouped(docs).withColumn("component_id", F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")))
