@@ -103,10 +103,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), ratio: fl
 
 
 def take_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), ratio: float = 1.0, most: int = 3) -> DataFrame:
-    """The documents that the mix takes, all columns as they were, and: mix_size, mix_copies (1 to `most`)."""
+    """The documents that the mix takes, all columns as they were, and: mix_size, mix_copies (1 to `most`).
+
+    Columns of `docs` that have these names, in any case, give way to them.
+    """
     sizes = materialise(sized(docs), "mix-sizes")
     cuts = materialise(thresholds(sizes, materialise(source_targets(sizes, weights, ratio, most), "mix-targets")), "mix-cuts")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("mix_size", "mix_copies")]).alias("row"), "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
     return mix(rows, cuts).filter("copies > 0").select("row.*", F.col("size").alias("mix_size"), F.col("copies").alias("mix_copies"))
 
 

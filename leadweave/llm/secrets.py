@@ -187,7 +187,7 @@ def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id, text and found: array<struct<start, rank, end, kind>> sorted by start, then order of the rules.
 
     Null text counts as empty and holds nothing; a null doc_id is an id like any other; rows that share an id are
-    scanned each by itself. Only doc_id and text are read. An empty table gives an empty one.
+    scanned each by itself. Texts of any length are scanned whole. Only doc_id and text are read. An empty table gives an empty one.
     """
     return _scanned(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rules)
 
@@ -200,7 +200,8 @@ def listed(found: Column) -> Column:
 def redact(docs: DataFrame, rules=RULES) -> DataFrame:
     """The documents, all columns as they were, with the characters of every secret replaced by [KIND].
 
-    Overlapping spans are replaced as one, under the kind of the first. Null text stays null.
+    Overlapping spans are replaced as one, under the kind of the first. Null text stays null. Texts of any length are
+    scanned whole, repeated rows and ids each by itself; an empty table gives an empty one.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = _scanned(docs.select(whole.alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), rules)
