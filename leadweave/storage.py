@@ -34,11 +34,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and sizes are known."""
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, name: str = "table", arrow_rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there and sizes are known.
+
+    arrow_rows: rows of a batch that goes to Python and back at most, where rows are large.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    try:
+        if arrow_rows is not None:
+            spark.conf.set(ARROW_ROWS, arrow_rows)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
