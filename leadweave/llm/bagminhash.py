@@ -36,8 +36,8 @@ BANDS, ROWS = 42, 6
 LEAST_AGREE = 170
 #: Bits of the maps of what a document lacks and adds against a head: 512, by the leading bits of a shingle's hash.
 CELL_BITS = 9
-#: Documents whose registers are filled together.
-GROUP = 256
+#: Documents whose registers are filled together, and of a batch that goes to Python at once.
+GROUP, BATCH_DOCUMENTS = 256, 1000
 #: Members of a bucket that each of the others is held against in one task.
 SLICE = 1000
 #: Most buckets, or texts to compare, of which ids (16 bytes a row) are broadcast.
@@ -197,7 +197,7 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     held = materialise(held.groupBy("text_id").agg(F.first("text").alias("text")), "asked-texts")
     both = pairs.join(held.select(F.col("text_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     both = both.join(held.select(F.col("text_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_compared, COMPARED), "compared")
+    return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_compared, COMPARED), "compared", BATCH_DOCUMENTS)
 
 
 def _links(compared: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_id"))
-    made = materialise(texts.mapInArrow(_banded, f"doc_id {kind}, text_id long, n long, bands array<long>, sketch array<long>"), "bands")
+    made = materialise(texts.mapInArrow(_banded, f"doc_id {kind}, text_id long, n long, bands array<long>, sketch array<long>"), "bands", BATCH_DOCUMENTS)
     nodes = made.filter("n > 0").groupBy("text_id").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = materialise(nodes, "nodes")
     rows = materialise(nodes.select("text_id", "n", F.explode("bands").alias("band")), "band-rows")

@@ -26,6 +26,8 @@ from leadweave.storage import materialise, small_or_merge
 WINDOW = 10
 #: Text bytes of a segment's documents (a longer document is a segment of its own).
 SEGMENT_BYTES = 1 << 18
+#: Documents, and segments (some 300 kB each), of a batch that goes to Python at once.
+BATCH_DOCUMENTS, BATCH_SEGMENTS = 1000, 8
 #: Most phrases (100 bytes each) that are looked up in one pass over the index; more take more passes.
 PASS_PHRASES = 100_000
 #: Most names of windows, or contaminated documents, that are broadcast at once (some 300 bytes each).
@@ -77,7 +79,7 @@ def positional_index(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([_one_list(c) for c in columns], names=["doc_id", "text_hash", "first", "terms", "list_at", "places"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return materialise(rows.mapInArrow(post, SEGMENT.format(id=kind)), "postings")
+    return materialise(rows.mapInArrow(post, SEGMENT.format(id=kind)), "postings", BATCH_DOCUMENTS)
 
 
 def indexed_documents(index: DataFrame) -> DataFrame:
@@ -248,7 +250,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
     index, terms = positional_index(docs), materialise(item_terms(items), "items")
     windows = materialise(item_windows(terms, width), "windows")
     phrases = windows.groupBy("phrase").agg(F.first("terms").alias("terms"))
-    hits = materialise(phrase_matches(index, phrases), "hits")
+    hits = materialise(phrase_matches(index, phrases), "hits", BATCH_SEGMENTS)
 
     def step(state, x):
         fresh = F.greatest(x["end"] - F.greatest(x["start"], state["upto"]), F.lit(0))
