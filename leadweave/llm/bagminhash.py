@@ -42,6 +42,8 @@ GROUP, BATCH_DOCUMENTS = 256, 1000
 SLICE = 1000
 #: Most buckets, or texts to compare, of which ids (16 bytes a row) are broadcast.
 BROADCAST_IDS = 200_000
+#: Keys of more rows than HOT_ROWS and than all rows over HOT_KEYS are joined by broadcast; there are fewer than HOT_KEYS.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
 
 
 def _points(seed, draw):
@@ -241,6 +243,24 @@ def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(placed.join(small_or_merge(several, BROADCAST_IDS), "band"), "open-members")
 
 
+def _attach(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
+    """The rows with the other columns of `table`, which has one row a key and counts the rows of each key in `size`.
+
+    Both are written tables. Keys of very many rows are broadcast and their rows, as those of null keys, dealt out
+    at random, so that no task holds all rows of one key.
+    """
+    bound = max(HOT_ROWS, (table.agg(F.sum(size)).first()[0] or 0) // HOT_KEYS)
+    names = [c for c in table.columns if c not in (key, size)]
+    hot = table.filter(F.col(size) > bound).select(F.col(key).alias("hot_key"), F.struct(*names).alias("hot"))
+    cold = table.filter(F.col(size) <= bound).select(F.col(key).alias("cold_key"), F.struct(*names).alias("cold"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    plain = F.col("hot_key").isNull() & F.col(key).isNotNull()
+    marked = marked.withColumn("dealt", F.when(plain, F.col(key)).otherwise(F.xxhash64(F.monotonically_increasing_id())))
+    both = marked.join(cold.hint("merge"), F.col("dealt") == F.col("cold_key"), "left")
+    value = F.when(plain, F.col("cold")).otherwise(F.col("hot"))
+    return both.select(*rows.columns, *[value[n].alias(n) for n in names])
+
+
 def _grouped(docs: DataFrame) -> DataFrame:
     """doc_id, text_id, n_shingles, part, head: the component of each row and its smallest row, null without words.
 
@@ -249,8 +269,9 @@ def _grouped(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_id"))
     made = materialise(texts.mapInArrow(_banded, f"doc_id {kind}, text_id long, n long, bands array<long>, sketch array<long>"), "bands", BATCH_DOCUMENTS)
-    nodes = made.filter("n > 0").groupBy("text_id").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = materialise(nodes, "nodes")
+    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id")
+    kept = [F.first(c).alias(c) for c in ("n", "bands", "sketch")]
+    nodes = materialise(made.filter("n > 0").groupBy("text_id").agg(*kept, F.min(least).alias("least"), F.count("*").alias("copies")), "nodes")
     rows = materialise(nodes.select("text_id", "n", F.explode("bands").alias("band")), "band-rows")
     full = materialise(rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
     members = materialise(rows.join(small_or_merge(full, BROADCAST_IDS), "band"), "in-buckets")
@@ -277,10 +298,13 @@ def _grouped(docs: DataFrame) -> DataFrame:
     if not cross.isEmpty():
         labels = connected_components(links.unionByName(_links(_compare(cross, texts))), "a", "b")
 
-    found = made.join(labels.hint("merge"), F.col("text_id") == F.col("node"), "left")
-    found = found.select("doc_id", "text_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "text_id")).alias("part"))
-    heads = found.filter("part IS NOT NULL").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id")).alias("head"))
-    return found.join(heads.hint("merge"), "part", "left")
+    # the head of each component is found among texts, then given to their rows
+    of_text = nodes.select("text_id", "copies", "least").join(labels.hint("merge"), F.col("text_id") == F.col("node"), "left")
+    of_text = materialise(of_text.select("text_id", "copies", "least", F.coalesce("component", "text_id").alias("part")), "parts")
+    heads = materialise(of_text.groupBy("part").agg(F.min("least").alias("head"), F.count("*").alias("size")), "component-heads")
+    of_text = materialise(_attach(of_text, heads, "part", "size").select(F.col("text_id").alias("node"), "copies", "part", "head"), "text-heads")
+    rows = made.select("doc_id", "text_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("text_id")).alias("node"))
+    return _attach(rows, of_text, "node", "copies").drop("node")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -606,10 +606,10 @@ def test_layout_odd_tables(spark):
 
 
 def test_plans_beyond_the_bounds_give_the_same(spark, monkeypatch, tmp_path):
-    """Tables too large to broadcast, phrases of several passes and sliced buckets."""
+    """Tables too large to broadcast, phrases of several passes, sliced buckets and hot keys."""
     rng = random.Random(15)
     base = [f"v{rng.randrange(12)}" for _ in range(70)]
-    texts = [" ".join(rng.choice(["e1", "e2"]) if rng.random() < 0.02 * (k % 6) else w for w in base) for k in range(60)] + ["token=abcdef12 " * 3, "x", None, "", "AKIA" + "Z9" * 10]
+    texts = [" ".join(rng.choice(["e1", "e2"]) if rng.random() < 0.02 * (k % 6) else w for w in base) for k in range(60)] + ["token=abcdef12 " * 3, "x", None, "", "AKIA" + "Z9" * 10] + ["copied text of five words", None] * 6
     d, items = docs(spark, texts, sources=[rng.choice("abc") for _ in texts]), spark.createDataFrame([(k, " ".join(base[k * 9 : k * 9 + 12])) for k in range(6)], "item_id long, text string")
     d.select("doc_id", "text", "source").withColumnsRenamed({"doc_id": "page_id", "source": "url", "text": "html"}).write.parquet(f"{tmp_path}/pages.parquet")
 
@@ -618,6 +618,6 @@ def test_plans_beyond_the_bounds_give_the_same(spark, monkeypatch, tmp_path):
         return [sorted(map(repr, t.collect())) for t in tables]
 
     want = results()
-    for module, name, value in ((bagminhash, "BROADCAST_IDS", 0), (bagminhash, "SLICE", 7), (positional, "BROADCAST_ROWS", 0), (positional, "PASS_PHRASES", 9), (positional, "STARTS", 5), (positional, "SEGMENT_BYTES", 500), (secrets, "BROADCAST_CANDIDATES", 0), (mixing, "BROADCAST_SOURCES", 0), (warc, "BROADCAST_GROUPS", 0)):
+    for module, name, value in ((bagminhash, "BROADCAST_IDS", 0), (bagminhash, "SLICE", 7), (bagminhash, "HOT_ROWS", 3), (positional, "BROADCAST_ROWS", 0), (positional, "PASS_PHRASES", 9), (positional, "STARTS", 5), (positional, "SEGMENT_BYTES", 500), (secrets, "BROADCAST_CANDIDATES", 0), (mixing, "BROADCAST_SOURCES", 0), (warc, "BROADCAST_GROUPS", 0)):
         monkeypatch.setattr(module, name, value)
     assert results() == want
