@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from leadweave.llm import bagminhash, langid, layout, mixing, positional, projections, quotes, secrets, toxicity, warc
+from leadweave.llm import bagminhash, hardneg, langid, layout, mixing, positional, projections, quotes, secrets, toxicity, warc
 from leadweave.shipping import shipped
 
 QUERIES = {
     "op1_bagminhash": shipped(bagminhash.op1_bagminhash),
     "op10_projections": shipped(projections.op10_projections),
+    "op13_hardneg": shipped(hardneg.op13_hardneg),
     "op2_secrets": shipped(secrets.op2_secrets),
     "op3_warc": shipped(warc.op3_warc),
     "op4_toxicity": shipped(toxicity.op4_toxicity),
@@ -18,6 +19,7 @@ QUERIES = {
     "op9_mix": shipped(mixing.op9_mix),
 }
 ORACLE_SQL = {
+    "op13_hardneg": hardneg.ORACLE_SQL,
     "op2_secrets": secrets.ORACLE_SQL,
     "op3_warc": warc.ORACLE_SQL,
     "op7_decontaminate": positional.ORACLE_SQL,
