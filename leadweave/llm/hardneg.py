@@ -48,9 +48,10 @@ class Packed:
 
     def __init__(self, rows: np.ndarray, low: int, high: int):
         self.n, self.dimension = rows.shape
-        self.low, self.bias = low, int(rows.min()) if rows.size else 0
-        most = int(rows.max()) if rows.size else 0
-        largest = self.dimension * (most - self.bias) * (high - low)
+        if not rows.size:
+            return
+        self.low, self.bias = low, int(rows.min())
+        largest = self.dimension * (int(rows.max()) - self.bias) * (high - low)
         self.width = max(largest.bit_length(), 1)
         self.fields = WORD // self.width
         self.native = self.fields > 1

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from leadweave.llm import bagminhash, hardneg, langid, layout, mixing, positional, projections, quotes, secrets, toxicity, warc
+from leadweave.llm import bagminhash, hardneg, langid, layout, mixing, periodic, positional, projections, quality, quotes, secrets, toxicity, warc
 from leadweave.shipping import shipped
 
 QUERIES = {
     "op1_bagminhash": shipped(bagminhash.op1_bagminhash),
     "op10_projections": shipped(projections.op10_projections),
+    "op11_quality": shipped(quality.op11_quality),
+    "op12_runs": shipped(periodic.op12_runs),
     "op13_hardneg": shipped(hardneg.op13_hardneg),
     "op2_secrets": shipped(secrets.op2_secrets),
     "op3_warc": shipped(warc.op3_warc),
