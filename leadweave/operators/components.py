@@ -45,3 +45,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         seen = state
         edges = materialise(_small_star(_large_star(edges)), "edges")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def grow_components(labels: DataFrame, links: DataFrame, src: str = "src", dst: str = "dst") -> tuple[DataFrame, DataFrame]:
+    """labels (node, component) after further links, for the labelled nodes and those that the links add; and what moved.
+
+    The links are contracted to the components that their ends have so far, so that only components that join run
+    through the rounds. What moved: node and component of these, in terms of the former components.
+    """
+    of = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"part_{k}")).hint("merge")
+    ends = links.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
+    ends = ends.join(of("u"), "u", "left").join(of("v"), "v", "left").select("u", "v", F.coalesce("part_u", "u").alias("part_u"), F.coalesce("part_v", "v").alias("part_v"))
+    ends = materialise(ends, "contracted")
+    moved = connected_components(ends.filter("part_u <> part_v"), "part_u", "part_v")
+    new = ends.select(F.col("u").alias("node"), F.col("part_u").alias("component")).unionByName(ends.select(F.col("v").alias("node"), F.col("part_v").alias("component")))
+    every = labels.select("node", "component").unionByName(new).distinct()
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("new")).hint("merge")
+    grown = every.join(to, "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+    return materialise(grown, "components"), moved.filter("node <> component")

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadweave import rules
 from leadweave.functions import text as T
-from leadweave.operators.components import connected_components
-from leadweave.storage import materialise
+from leadweave.operators.components import connected_components, grow_components
+from leadweave.storage import materialise, small_or_merge
 
 
 def usable_phone(phone: Column) -> Column:
@@ -43,48 +42,108 @@ def conflicts(a: str, b: str) -> Column:
     return differ("domain") | differ("phone_key")
 
 
-#: Segments that a name is cut into beyond those that the similarity needs; as many of its commonest are left out.
-SPARE = 2
+#: Segments of a coarse cut beyond those that the similarity needs; letters of a segment of a fine cut, and the longest name that gets one.
+SPARE, FINE, FINE_NAME = 2, 2, 64
+#: Most rows of the rarest segments, and most names and bytes of names, that are broadcast.
+BROADCAST_SEGMENTS, BROADCAST_NAMES, BROADCAST_BYTES = 500_000, 200_000, 16 << 20
+#: Letters that a name's signature counts, in as many bits each.
+COUNTED = (("abcdefghijklmnopqrstuvwxyz ", 3), ("0123456789", 2))
+
+
+def signature(name: Column) -> Column:
+    """Two longs that hold how often each letter occurs, in unary, up to as many as its bits.
+
+    An edit changes one letter or two counts by one, so the signatures of names that are k edits apart differ in 2 * k
+    bits at most.
+    """
+    marks = [(letter, bits) for letters, bits in COUNTED for letter in letters]
+    longs, at = [F.lit(0).cast("long")], 0
+    for letter, bits in marks:
+        if at + bits > 63:
+            longs.append(F.lit(0).cast("long"))
+            at = 0
+        times = F.least(F.length(name) - F.length(F.replace(name, F.lit(letter), F.lit(""))), F.lit(bits))
+        unary = F.element_at(F.array(*[F.lit(((1 << k) - 1) << at) for k in range(bits + 1)]), times + 1)
+        longs[-1] = longs[-1].bitwiseOR(unary)
+        at += bits
+    return F.array(*longs)
+
+
+def _differing_bits(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(2)), F.lit(0))
+
+
+def _cuts(df: DataFrame) -> DataFrame:
+    """For a length lb that may differ in `edits` places: the numbers of segments of the cuts, coarse and fine."""
+    fine = f"if(lb <= {FINE_NAME}, greatest(coarse, lb div {FINE}), coarse)"
+    return df.withColumn("coarse", F.expr(f"least(lb, edits + 1 + {SPARE})")).withColumn("cuts", F.expr(f"array_distinct(array(coarse, {fine}))")).drop("coarse")
 
 
 def _segments(df: DataFrame) -> DataFrame:
-    """For a length lb of names that may differ in kb places: the start p and length w of segment i of kb + 1 + spare."""
-    return df.selectExpr("*", "kb + 1 + spare AS pieces").selectExpr("*", "lb div pieces AS base", "pieces - lb % pieces AS short").selectExpr("*", "i * base + greatest(0, i - short) AS p", "base + int(i >= short) AS w")
+    """A row for each of `pieces` segments of a length lb: its number i, start p and width w."""
+    df = df.withColumn("i", F.explode(F.expr("sequence(0, pieces - 1)"))).selectExpr("*", "lb div pieces AS base", "pieces - lb % pieces AS short")
+    return df.selectExpr("*", "i * base + greatest(0, i - short) AS p", "base + int(i >= short) AS w").drop("base", "short")
+
 
+def _key(piece: str) -> Column:
+    return F.expr(f"xxhash64(city, lb, edits, pieces, i, {piece})")
 
-def _cut(df: DataFrame, similarity: float) -> DataFrame:
-    """A row for each segment of a name of length lb: how many places it may differ in, and the segment's place."""
-    df = df.withColumn("kb", F.expr(f"int(floor({(1 - similarity) / similarity} * lb + 1e-9))"))
-    df = df.withColumn("spare", F.expr(f"if(kb = 0, 0, least({SPARE}, lb - kb - 1))"))
-    return _segments(df.withColumn("i", F.explode(F.expr("sequence(0, kb + spare)"))))
+
+def candidate_pairs(names: DataFrame, similarity: float = rules.NAME_SIMILARITY) -> DataFrame:
+    """a, b: pairs of names (name, city, norm_name) among which all similar ones of a city are.
+
+    The longer name a says how many places the two may differ in. A shorter one b is cut into more segments than that,
+    coarse or fine, and any segment that no edit touches stands in a, at most so many places off. So it is enough to
+    join on as many of b's rarest segments as there are edits, and one more (the partition-based join of PassJoin,
+    VLDB 2011, with rare pieces preferred); each name takes the cut whose rarest segments are least common. Words that many
+    names of a city share are thus not joined on unless a name has nearly nothing else. Pairs whose letter counts
+    differ too much leave the join no more. Keys are hashed, so a pair may be of different cities.
+    """
+    loss = 1 - similarity
+    rows = names.select("name", "city", "norm_name", F.length("norm_name").alias("n"), signature(F.col("norm_name")).alias("letters"))
+    rows = materialise(rows, "name-letters")
+    # the names as b: for each number of edits that some longer name allows
+    least, most = f"int(floor({loss} * n + 1e-9))", f"int(floor({loss / similarity} * n + 1e-9))"
+    have = _cuts(rows.withColumn("lb", F.col("n")).withColumn("edits", F.explode(F.expr(f"sequence({least}, {most})"))).filter("edits > 0"))
+    have = _segments(have.withColumn("pieces", F.explode("cuts")))
+    have = have.select("name", "lb", "edits", "pieces", "letters", _key("substring(norm_name, p + 1, w)").alias("key"))
+    have = materialise(have, "name-pieces")
+    often = have.groupBy("key").agg(F.count("*").alias("often"))
+    cut = have.hint("merge").join(often, "key").groupBy("name", "edits", "pieces").agg(F.first("letters").alias("letters"), F.sort_array(F.collect_list(F.struct("often", "key"))).alias("keys"))
+    cut = cut.withColumn("keys", F.expr("slice(keys, 1, edits + 1)")).withColumn("cost", F.expr("aggregate(keys, 0L, (s, k) -> s + k.often)"))
+    best = cut.groupBy("name", "edits").agg(F.min_by(F.struct("letters", "keys"), F.struct("cost", "pieces")).alias("best"))
+    rarest = best.select(F.col("name").alias("b"), F.col("best.letters").alias("letters_b"), F.explode("best.keys.key").alias("key"))
+    rarest = materialise(rarest, "rarest")
+    # and as a: all places where a segment of a shorter one can stand; |off| edits before it, the rest after
+    ask = rows.withColumn("edits", F.expr(least)).filter("edits > 0").withColumn("lb", F.explode(F.expr("sequence(greatest(1, n - edits), n)")))
+    ask = _segments(_cuts(ask).withColumn("pieces", F.explode("cuts")))
+    ask = ask.withColumn("starts", F.expr("sequence(greatest(0, p - (edits - n + lb) div 2), least(n - w, p + (edits + n - lb) div 2))"))
+    ask = ask.filter("n - w >= greatest(0, p - (edits - n + lb) div 2)").withColumn("piece", F.explode(F.expr("array_distinct(transform(starts, s -> substring(norm_name, s + 1, w)))")))
+    ask = ask.select(F.col("name").alias("a"), "edits", "letters", _key("piece").alias("key"))
+    pairs = ask.join(small_or_merge(rarest, BROADCAST_SEGMENTS), (ask["key"] == rarest["key"]) & (F.col("a") != F.col("b")) & (_differing_bits("letters", "letters_b") <= 2 * F.col("edits")))
+    return pairs.select("a", "b").distinct()
+
+
+def _small_names(names: DataFrame) -> bool:
+    size = names.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("norm_name") + F.octet_length("city")), F.lit(0))).first()
+    return size[0] <= BROADCAST_NAMES and size[1] <= BROADCAST_BYTES
 
 
 def similar_names(names: DataFrame, similarity: float = rules.NAME_SIMILARITY) -> DataFrame:
     """a, b: the pairs of written names (name, city, norm_name: not empty, no two alike) of a city that are similar.
 
-    Nothing is lost. A name of length lb that may differ from another in kb places is cut into kb + 1 + SPARE
-    segments, of which SPARE + 1 at least stand in the other one. So it is enough to join on the kb + 1 rarest
-    segments of each name (the partition-based join of PassJoin, VLDB 2011, with rare pieces preferred): words that
-    many names of a city share are not joined on unless a name has nothing else. Only ids are joined; names follow.
+    Nothing is lost; a > b. Only ids are joined to find candidates, names follow for those. A name of n letters is
+    looked up in the cube of n / 8 ways or so, so names of many hundred letters are costly.
     """
-    by = ["city", "lb", "i", "piece"]
-    rows = names.select("name", "city", "norm_name", F.length("norm_name").alias("n"))
-    have = _cut(rows.withColumn("lb", F.col("n")), similarity).selectExpr("name", "city", "lb", "i", "kb", "substring(norm_name, p + 1, w) AS piece")
-    have = materialise(have, "name-pieces")
-    often = have.groupBy(*by).agg(F.count("*").alias("often"))
-    rarest = have.hint("merge").join(often, by).withColumn("rank", F.row_number().over(W.partitionBy("name").orderBy("often", "i")))
-    rarest = rarest.filter("rank <= kb + 1").select(F.col("name").alias("b"), *by)
-    # a segment that stands intact has as many edits before it as it is off, and the rest of them after it
-    ask = rows.withColumn("lb", F.explode(F.expr(f"sequence(greatest(1, n - int(floor({1 - similarity} * n + 1e-9))), n)")))
-    ask = _cut(ask, similarity).withColumn("s", F.explode(F.expr("sequence(greatest(0, p - (kb - n + lb) div 2), p + (kb + n - lb) div 2)"))).filter("s + w <= n")
-    ask = ask.selectExpr("name AS a", "city", "lb", "i", "substring(norm_name, s + 1, w) AS piece").distinct()
-    pairs = ask.hint("merge").join(rarest, by).filter("a <> b").select("a", "b").distinct()
-    text = lambda k: names.select(F.col("name").alias(k), F.col("norm_name").alias(f"name_{k}"))
-    pairs = pairs.hint("merge").join(text("a"), "a").hint("merge").join(text("b"), "b")
+    pairs = materialise(candidate_pairs(names, similarity), "candidates")
+    text = names.select("name", "city", "norm_name")
+    text = F.broadcast(text) if _small_names(names) else text.hint("merge")
+    for k in ("a", "b"):
+        pairs = pairs.join(text.toDF(k, f"city_{k}", f"name_{k}"), k)
     longest = F.greatest(F.length("name_a"), F.length("name_b"))
     most = F.floor((1 - similarity) * longest + 1e-9).cast("int")
     edits = F.levenshtein("name_a", "name_b")
-    near = (F.abs(F.length("name_a") - F.length("name_b")) <= most) & (1 - edits / longest >= similarity)
+    near = (F.col("city_a") == F.col("city_b")) & (F.abs(F.length("name_a") - F.length("name_b")) <= most) & (1 - edits / longest >= similarity)
     return pairs.filter(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -129,7 +188,7 @@ def cluster(leads: DataFrame, require_valid_email: bool = False) -> tuple[DataFr
     parts = connected_components(links)
     names = materialise(link_fuzzy(keys, parts), "name-links")
     links = links.unionByName(names)
-    parts = connected_components(links)
+    parts, _ = grow_components(parts, names)
     rows = keys.select("row").join(parts.withColumnRenamed("node", "row"), "row", "left")
     return materialise(rows.select("row", F.coalesce("component", "row").alias("cluster")), "clusters"), links
 
@@ -144,10 +203,18 @@ STAGES = ("domain", "phone", "email", "name")
 
 
 def link_statistics(links: DataFrame) -> DataFrame:
-    """stage, unions: rows that each stage's links add to components beyond those of the stages before."""
-    before, out = 0, []
-    for k, stage in enumerate(STAGES):
-        joined = connected_components(links.filter(F.col("reason").isin(*STAGES[: k + 1]))).filter("node <> component").count()
-        out.append((stage, joined - before))
-        before = joined
+    """stage, unions: rows that each stage's links add to components beyond those of the stages before.
+
+    Each stage runs over what it joins alone: its links are contracted to the components so far.
+    """
+    links = materialise(links.select("src", "dst", "reason"), "links")
+    labels, out = None, []
+    for stage in STAGES:
+        own = links.filter(F.col("reason") == stage)
+        if labels is None:
+            labels = connected_components(own)
+            moved = labels.filter("node <> component")
+        else:
+            labels, moved = grow_components(labels, own)
+        out.append((stage, moved.count()))
     return links.sparkSession.createDataFrame(out, "stage string, unions long")

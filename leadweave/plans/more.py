@@ -143,8 +143,20 @@ def _page_text_sql() -> str:
     )
 
 
+def _link_stats_sql() -> str:
+    """Rows less components of the links of the first stages, and how much each stage adds."""
+    parts = {"domain": _exact("domain"), "phone": _exact("phone_key"), "email": _exact("email_key"), "name": _FUZZY}
+    sql, total = _CONFORMED.replace("WITH ", "WITH RECURSIVE ", 1), []
+    for k, stage in enumerate(parts):
+        links = " UNION ".join(f"({p})" for p in list(parts.values())[: k + 1])
+        sql += f", l{k} AS ({links}), b{k} AS (SELECT src, dst FROM l{k} UNION SELECT dst, src FROM l{k}), w{k}(row, hop) AS (SELECT row, row FROM keys UNION SELECT w.row, b.dst FROM w{k} w JOIN b{k} b ON w.hop = b.src), c{k} AS (SELECT row, min(hop) AS cluster FROM w{k} GROUP BY row)"
+        total.append(f"SELECT {k} AS k, '{stage}' AS stage, count(*) - count(DISTINCT cluster) AS joined FROM c{k}")
+    return sql + f" SELECT stage, joined - lag(joined, 1, 0) OVER (ORDER BY k) AS unions FROM ({' UNION ALL '.join(total)})"
+
+
 _LATE_POINTS = _points(_HOME)
 ORACLE_SQL = {
+    "link_stats": _link_stats_sql(),
     "union_clusters": _clusters(True).replace(f"leads AS ({SQL['leads']})", _UNION).replace("base AS (SELECT row_ord AS row,", "base AS (SELECT row_ord AS row, source_row,")
     + "SELECT c.row, CASE WHEN true_id % 2 = 0 THEN 'csv' ELSE 'places' END AS source, source_row, cluster FROM clusters c JOIN keys k ON c.row = k.row",
     "csv_conform": _CONFORMED.replace(f"leads AS ({SQL['leads']})", f"leads AS (SELECT * FROM (SELECT * EXCLUDE (row_ord), row_ord AS old, row_number() OVER (ORDER BY row_ord) - 1 AS row_ord FROM ({SQL['leads']}) WHERE variant = 0) WHERE old % 70 <> 0)")

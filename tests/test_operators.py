@@ -84,6 +84,38 @@ def test_fuzzy_components_are_those_of_all_pairs(spark):
     assert {i: got.get(i, i) for i in label} == label and len(set(label.values())) < len(label) / 2
 
 
+def named(spark, tmp_path, names):
+    spark.createDataFrame([(i, c, n) for i, (c, n) in enumerate(names)], "name long, city string, norm_name string").write.parquet(f"{tmp_path}/names")
+    return spark.read.parquet(f"{tmp_path}/names")
+
+
+def test_similar_names_lose_nothing(spark, tmp_path):
+    """Names of all lengths with random edits, shared words and few letters, against all pairs."""
+    rng = random.Random(8)
+    names = set()
+    for k in range(60):
+        letters = rng.choice(["ab", "abcde", "abcdefghijklmnopqrstuvwxyz0123456789 "])
+        base = "".join(rng.choice(letters) for _ in range(rng.choice([1, 3, 8, 9, 17, 25, 40, 70]))) + rng.choice(["", " heating cooling", " plumbing", "é"])
+        for _ in range(5):
+            edit = list(base)
+            for _ in range(rng.randrange(5)):
+                at = rng.randrange(len(edit) + 1)
+                edit[at : at + rng.randrange(2)] = rng.choice(["", "x", "a", "é"])
+            names.add((rng.choice("xxy"), "".join(edit).strip() or "q"))
+    names = sorted(names)
+    want = {(i, j) for i in range(len(names)) for j in range(i) if names[i][0] == names[j][0] and 1 - edits(names[i][1], names[j][1]) / max(len(names[i][1]), len(names[j][1])) >= 0.88}
+    assert len(want) > 100
+    assert {(r.a, r.b) for r in link.similar_names(named(spark, tmp_path, names)).collect()} == want
+
+
+def test_names_of_a_trade_give_few_candidates(spark, tmp_path):
+    rng = random.Random(9)
+    for k, suffix in enumerate((" heating cooling", " heating cooling services", " plumbing")):
+        names = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) + suffix for _ in range(1000)})
+        table = named(spark, tmp_path / str(k), [("x", n) for n in names])
+        assert link.candidate_pairs(table).count() < 0.02 * len(names) * (len(names) - 1)
+
+
 def test_exact_keys(spark):
     rows = [("A", "x.com", None, None, None), ("B", "http://www.x.com/y", "(800) 555-0142", None, None), ("C", None, "(800) 555-0142", "info@q.com", None), ("D", None, None, "info@q.com", None)]
     assert clusters(spark, rows)[3] == {0: 0, 1: 0, 2: 2, 3: 3}
