@@ -46,31 +46,20 @@ def conflicts(a: str, b: str) -> Column:
 SPARE, FINE, FINE_NAME = 2, 2, 64
 #: Most rows of the rarest segments, and most names and bytes of names, that are broadcast.
 BROADCAST_SEGMENTS, BROADCAST_NAMES, BROADCAST_BYTES = 500_000, 200_000, 16 << 20
-#: Letters that a name's signature counts, in as many bits each.
-COUNTED = (("abcdefghijklmnopqrstuvwxyz ", 3), ("0123456789", 2))
+def _unary(first: str, last: str, bits: int, at: int) -> str:
+    """Of a long s: the letter c, from `first` to `last`, counted once more in its own bits, of those from `at` on."""
+    k, mask = f"({bits} * (ascii(c) - {ord(first)}) + {at})", (1 << bits) - 1
+    return f"when c between '{first}' and '{last}' then s | shiftleft(2 * (shiftright(s, {k}) & {mask >> 1}L) + 1, {k})"
 
 
-def signature(name: Column) -> Column:
-    """Two longs that hold how often each letter occurs, in unary, up to as many as its bits.
+def signature(name: str) -> list[Column]:
+    """Two longs that hold how often letters, spaces (up to three times each) and digits (up to twice) occur, in unary.
 
     An edit changes one letter or two counts by one, so the signatures of names that are k edits apart differ in 2 * k
     bits at most.
     """
-    marks = [(letter, bits) for letters, bits in COUNTED for letter in letters]
-    longs, at = [F.lit(0).cast("long")], 0
-    for letter, bits in marks:
-        if at + bits > 63:
-            longs.append(F.lit(0).cast("long"))
-            at = 0
-        times = F.least(F.length(name) - F.length(F.replace(name, F.lit(letter), F.lit(""))), F.lit(bits))
-        unary = F.element_at(F.array(*[F.lit(((1 << k) - 1) << at) for k in range(bits + 1)]), times + 1)
-        longs[-1] = longs[-1].bitwiseOR(unary)
-        at += bits
-    return F.array(*longs)
-
-
-def _differing_bits(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(2)), F.lit(0))
+    longs = (_unary("a", "u", 3, 0), f"{_unary('v', 'z', 3, 0)} {_unary(' ', ' ', 3, 15)} {_unary('0', '9', 2, 18)}")
+    return [F.expr(f"aggregate(split({name}, ''), 0L, (s, c) -> case {x} else s end)").alias(f"letters_{k}") for k, x in enumerate(longs)]
 
 
 def _cuts(df: DataFrame) -> DataFrame:
@@ -89,44 +78,53 @@ def _key(piece: str) -> Column:
     return F.expr(f"xxhash64(city, lb, edits, pieces, i, {piece})")
 
 
-def candidate_pairs(names: DataFrame, similarity: float = rules.NAME_SIMILARITY) -> DataFrame:
-    """a, b: pairs of names (name, city, norm_name) among which all similar ones of a city are.
+def _edits(similarity: float) -> tuple[str, str]:
+    """Places in which names may differ, of a length n: where it is the longer one, and where it is the shorter one at most."""
+    return tuple(f"int(floor({x} * n + 1e-9))" for x in (1 - similarity, (1 - similarity) / similarity))
+
+
+def _broadcastable(names: DataFrame, similarity: float) -> tuple[bool, bool]:
+    """Whether the rarest segments, and the names, are few enough for a broadcast."""
+    least, most = _edits(similarity)
+    segments = F.expr(f"aggregate(sequence({least}, {most}), 0L, (s, e) -> s + e + 1)")
+    size = names.withColumn("n", F.length("norm_name")).agg(F.count("*"), F.sum(F.octet_length("norm_name") + F.octet_length("city")), F.sum(segments)).first()
+    return (size[2] or 0) <= BROADCAST_SEGMENTS, size[0] <= BROADCAST_NAMES and (size[1] or 0) <= BROADCAST_BYTES
+
+
+def candidate_pairs(names: DataFrame, similarity: float = rules.NAME_SIMILARITY, small: bool | None = None) -> DataFrame:
+    """a, b: pairs of written names (name, city, norm_name) among which all similar ones of a city are.
 
     The longer name a says how many places the two may differ in. A shorter one b is cut into more segments than that,
     coarse or fine, and any segment that no edit touches stands in a, at most so many places off. So it is enough to
     join on as many of b's rarest segments as there are edits, and one more (the partition-based join of PassJoin,
     VLDB 2011, with rare pieces preferred); each name takes the cut whose rarest segments are least common. Words that many
     names of a city share are thus not joined on unless a name has nearly nothing else. Pairs whose letter counts
-    differ too much leave the join no more. Keys are hashed, so a pair may be of different cities.
+    differ too much leave the join no more. Keys are hashed, so a pair may be of different cities, or come twice.
     """
-    loss = 1 - similarity
-    rows = names.select("name", "city", "norm_name", F.length("norm_name").alias("n"), signature(F.col("norm_name")).alias("letters"))
-    rows = materialise(rows, "name-letters")
+    least, most = _edits(similarity)
+    small = _broadcastable(names, similarity)[0] if small is None else small
+    # a name gives some hundred rows, so few bytes of names are work for many tasks
+    wide = names.repartition(names.sparkSession.sparkContext.defaultParallelism, "name")
+    rows = wide.select("name", "city", "norm_name", F.length("norm_name").alias("n"), *signature("norm_name"))
     # the names as b: for each number of edits that some longer name allows
-    least, most = f"int(floor({loss} * n + 1e-9))", f"int(floor({loss / similarity} * n + 1e-9))"
     have = _cuts(rows.withColumn("lb", F.col("n")).withColumn("edits", F.explode(F.expr(f"sequence({least}, {most})"))).filter("edits > 0"))
     have = _segments(have.withColumn("pieces", F.explode("cuts")))
-    have = have.select("name", "lb", "edits", "pieces", "letters", _key("substring(norm_name, p + 1, w)").alias("key"))
-    have = materialise(have, "name-pieces")
+    have = have.select("name", "edits", "pieces", "letters_0", "letters_1", _key("substring(norm_name, p + 1, w)").alias("key"))
     often = have.groupBy("key").agg(F.count("*").alias("often"))
-    cut = have.hint("merge").join(often, "key").groupBy("name", "edits", "pieces").agg(F.first("letters").alias("letters"), F.sort_array(F.collect_list(F.struct("often", "key"))).alias("keys"))
+    kept = [F.first(f"letters_{k}").alias(f"letters_{k}") for k in range(2)]
+    cut = have.hint("merge").join(often, "key").groupBy("name", "edits", "pieces").agg(*kept, F.sort_array(F.collect_list(F.struct("often", "key"))).alias("keys"))
     cut = cut.withColumn("keys", F.expr("slice(keys, 1, edits + 1)")).withColumn("cost", F.expr("aggregate(keys, 0L, (s, k) -> s + k.often)"))
-    best = cut.groupBy("name", "edits").agg(F.min_by(F.struct("letters", "keys"), F.struct("cost", "pieces")).alias("best"))
-    rarest = best.select(F.col("name").alias("b"), F.col("best.letters").alias("letters_b"), F.explode("best.keys.key").alias("key"))
-    rarest = materialise(rarest, "rarest")
+    best = cut.groupBy("name", "edits").agg(F.min_by(F.struct("letters_0", "letters_1", "keys"), F.struct("cost", "pieces")).alias("best"))
+    rarest = best.select(F.col("name").alias("b"), F.col("best.letters_0").alias("of_b_0"), F.col("best.letters_1").alias("of_b_1"), F.explode("best.keys.key").alias("key"))
     # and as a: all places where a segment of a shorter one can stand; |off| edits before it, the rest after
     ask = rows.withColumn("edits", F.expr(least)).filter("edits > 0").withColumn("lb", F.explode(F.expr("sequence(greatest(1, n - edits), n)")))
-    ask = _segments(_cuts(ask).withColumn("pieces", F.explode("cuts")))
-    ask = ask.withColumn("starts", F.expr("sequence(greatest(0, p - (edits - n + lb) div 2), least(n - w, p + (edits + n - lb) div 2))"))
-    ask = ask.filter("n - w >= greatest(0, p - (edits - n + lb) div 2)").withColumn("piece", F.explode(F.expr("array_distinct(transform(starts, s -> substring(norm_name, s + 1, w)))")))
-    ask = ask.select(F.col("name").alias("a"), "edits", "letters", _key("piece").alias("key"))
-    pairs = ask.join(small_or_merge(rarest, BROADCAST_SEGMENTS), (ask["key"] == rarest["key"]) & (F.col("a") != F.col("b")) & (_differing_bits("letters", "letters_b") <= 2 * F.col("edits")))
-    return pairs.select("a", "b").distinct()
-
-
-def _small_names(names: DataFrame) -> bool:
-    size = names.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("norm_name") + F.octet_length("city")), F.lit(0))).first()
-    return size[0] <= BROADCAST_NAMES and size[1] <= BROADCAST_BYTES
+    ask = _segments(_cuts(ask).withColumn("pieces", F.explode("cuts"))).selectExpr("*", "greatest(0, p - (edits - n + lb) div 2) AS low", "least(n - w, p + (edits + n - lb) div 2) AS high")
+    ask = ask.filter("low <= high").withColumn("s", F.explode(F.expr("sequence(low, high)")))
+    ask = ask.select(F.col("name").alias("a"), "edits", "letters_0", "letters_1", _key("substring(norm_name, s + 1, w)").alias("key"))
+    differ = sum((F.bit_count(F.col(f"letters_{k}").bitwiseXOR(F.col(f"of_b_{k}"))) for k in range(2)), F.lit(0))
+    rarest = F.broadcast(rarest) if small else rarest.hint("merge")
+    pairs = ask.join(rarest, (ask["key"] == rarest["key"]) & (F.col("a") != F.col("b")) & (differ <= 2 * F.col("edits")))
+    return pairs.select("a", "b")
 
 
 def similar_names(names: DataFrame, similarity: float = rules.NAME_SIMILARITY) -> DataFrame:
@@ -135,9 +133,10 @@ def similar_names(names: DataFrame, similarity: float = rules.NAME_SIMILARITY) -
     Nothing is lost; a > b. Only ids are joined to find candidates, names follow for those. A name of n letters is
     looked up in the cube of n / 8 ways or so, so names of many hundred letters are costly.
     """
-    pairs = materialise(candidate_pairs(names, similarity), "candidates")
+    few_segments, few_names = _broadcastable(names, similarity)
+    pairs = candidate_pairs(names, similarity, few_segments).distinct()
     text = names.select("name", "city", "norm_name")
-    text = F.broadcast(text) if _small_names(names) else text.hint("merge")
+    text = F.broadcast(text) if few_names else text.hint("merge")
     for k in ("a", "b"):
         pairs = pairs.join(text.toDF(k, f"city_{k}", f"name_{k}"), k)
     longest = F.greatest(F.length("name_a"), F.length("name_b"))
@@ -163,9 +162,9 @@ def link_fuzzy(keys: DataFrame, parts: DataFrame | None = None, similarity: floa
     heads = heads.select("city", "norm_name", "domain", "phone_key", F.col("head.row").alias("row"), F.col("head.part").alias("part"))
     heads = materialise(heads.hint("merge").join(names.select("city", "norm_name", "name"), ["city", "norm_name"]), "heads")
     near = similar_names(names, similarity).unionByName(names.filter("heads > 1").select(F.col("name").alias("a"), F.col("name").alias("b")))
-    side = lambda k: heads.select(F.col("name").alias(k), F.struct("row", "part", "domain", "phone_key").alias(f"of_{k}"))
-    pairs = near.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").select("of_a.*", F.col("of_b").alias("o")).alias("x")
-    pairs = pairs.select(F.struct("row", "part", "domain", "phone_key").alias("x"), F.col("o").alias("y"))
+    near = materialise(near, "similar")
+    side = lambda k, as_: heads.select(F.col("name").alias(k), F.struct("row", "part", "domain", "phone_key").alias(as_))
+    pairs = near.hint("merge").join(side("a", "x"), "a").hint("merge").join(side("b", "y"), "b").select("x", "y")
     pairs = pairs.filter((F.col("x.row") != F.col("y.row")) & (F.col("x.part") != F.col("y.part")) & ~conflicts("x", "y"))
     pairs = pairs.select(F.greatest("x.row", "y.row").alias("src"), F.least("x.row", "y.row").alias("dst")).distinct()
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ("city", "norm_name", "domain", "phone_key")]
