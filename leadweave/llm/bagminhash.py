@@ -243,7 +243,7 @@ def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(placed.join(small_or_merge(several, BROADCAST_IDS), "band"), "open-members")
 
 
-def _attach(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
+def attach(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
     """The rows with the other columns of `table`, which has one row a key and counts the rows of each key in `size`.
 
     Both are written tables. Keys of very many rows are broadcast and their rows, as those of null keys, dealt out
@@ -302,9 +302,9 @@ def _grouped(docs: DataFrame) -> DataFrame:
     of_text = nodes.select("text_id", "copies", "least").join(labels.hint("merge"), F.col("text_id") == F.col("node"), "left")
     of_text = materialise(of_text.select("text_id", "copies", "least", F.coalesce("component", "text_id").alias("part")), "parts")
     heads = materialise(of_text.groupBy("part").agg(F.min("least").alias("head"), F.count("*").alias("size")), "component-heads")
-    of_text = materialise(_attach(of_text, heads, "part", "size").select(F.col("text_id").alias("node"), "copies", "part", "head"), "text-heads")
+    of_text = materialise(attach(of_text, heads, "part", "size").select(F.col("text_id").alias("node"), "copies", "part", "head"), "text-heads")
     rows = made.select("doc_id", "text_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("text_id")).alias("node"))
-    return _attach(rows, of_text, "node", "copies").drop("node")
+    return attach(rows, of_text, "node", "copies").drop("node")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -19,20 +19,29 @@ from leadweave.llm.words import chunks
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes datalist audio video canvas object svg math".split())
+#: Raw elements without character references, and elements whose white space is kept.
+VERBATIM = frozenset("xmp plaintext".split())
+KEPT = frozenset("pre xmp plaintext listing".split())
+HIDDEN = frozenset("head script style template title iframe noembed noframes datalist audio video canvas object desc defs symbol metadata annotation annotation-xml".split())
 BLOCKS = {
-    **dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset".split(), 2),
-    **dict.fromkeys("div section article main header footer nav aside address form li dt dd tr caption details summary figcaption body html hr legend menu".split(), 1),
+    **dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol dl pre xmp plaintext listing blockquote table figure fieldset".split(), 2),
+    **dict.fromkeys("div section article main header footer nav aside address form li dt dd tr caption details summary figcaption body html hr legend menu option optgroup text".split(), 1),
 }
-CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p plaintext pre listing xmp section table ul".split())
+#: Elements within which the end tag of an element around them has no effect, unless that is one of them.
+SPECIAL = frozenset(BLOCKS) - {"option", "optgroup", "text", "legend"} | frozenset("td th tbody thead tfoot head template object applet marquee button select noscript".split())
+#: Formatting elements, which end within a block that they have been opened around.
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 #: What may stand in a head; any other start tag, and text, end it.
 IN_HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template".split())
+IN_NOSCRIPT = frozenset("basefont bgsound link meta noframes style".split())
 #: Open elements that a start tag ends, and the elements beyond which it ends none.
 IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
-    "option": ({"option"}, {"select"}),
+    "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select", "datalist"}),
     "tr": ({"tr", "td", "th", "caption"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
@@ -68,6 +77,7 @@ def build_tree(html: str) -> Node:
     root = Node("")
     stack = [root]
     where: dict[str, list[int]] = defaultdict(list)  # places of the open elements of each name
+    special: list[int] = []  # places of the open special elements
 
     def top(names) -> int:
         return max((where[n][-1] for n in names if where[n]), default=0)
@@ -75,6 +85,8 @@ def build_tree(html: str) -> Node:
     def cut(k: int) -> None:
         for node in stack[k:]:
             where[node.name].pop()
+        while special and special[-1] >= k:
+            special.pop()
         del stack[k:]
 
     def close(names, stop) -> bool:
@@ -87,14 +99,21 @@ def build_tree(html: str) -> Node:
 
     def put(node: Node) -> None:
         where[node.name].append(len(stack))
+        if node.name in SPECIAL:
+            special.append(len(stack))
         stack.append(node)
 
+    def in_head() -> int:
+        """The place of the head that is open, with nothing or a noscript within it; else 0."""
+        k = len(stack) - 1
+        return k if stack[k].name == "head" else k - 1 if stack[k].name == "noscript" and stack[k - 1].name == "head" else 0
+
     at = 0
     while m := _TOKEN.match(html, at):
         at = m.end()
         if (text := m["text"]) is not None:
-            if stack[-1].name == "head" and unescape(text).strip(" \t\n\r\f"):
-                cut(len(stack) - 1)
+            if (k := in_head()) and unescape(text).strip(" \t\n\r\f"):
+                cut(k)
             stack[-1].children.append(text)
             continue
         if m["name"] is None:
@@ -103,15 +122,17 @@ def build_tree(html: str) -> Node:
             break
         name = m["name"].lower()
         if m["end"]:
-            if name == "p" and not where["p"]:
-                stack[-1].children.append(Node("p"))
+            if name == "br" or name == "p" and not where["p"]:
+                stack[-1].children.append(Node(name))
+            elif name not in SPECIAL and where[name] and special and special[-1] > where[name][-1] and not (name in FORMATTING and hides(stack[where[name][-1]])):
+                pass  # the block goes on; formatting that hides nothing may go on within it, too
             else:
                 close({name}, {"td", "th", "table"} - {name} if name not in ("tr", "tbody", "thead", "tfoot", "table", "body", "html") else ())
             continue
-        if stack[-1].name == "head" and name not in IN_HEAD:
+        if (k := in_head()) and name not in (IN_HEAD if k == len(stack) - 1 else IN_NOSCRIPT):
             if name in ("head", "html"):  # repeated, without effect
                 continue
-            cut(len(stack) - 1)
+            cut(k)
         if name in CLOSES_P:
             close({"p"}, {"td", "th", "table", "li", "button"})
         if name in IMPLIED_END:
@@ -125,9 +146,13 @@ def build_tree(html: str) -> Node:
             close({"head"}, ())
         node = Node(name, m["attrs"] or "")
         stack[-1].children.append(node)
+        if name == "plaintext":  # nothing ends it
+            node.children.append(html[at:].replace("&", "&amp;"))
+            break
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            node.children.append(html[at : end.start() if end else len(html)])
+            inner = html[at : end.start() if end else len(html)]
+            node.children.append(inner.replace("&", "&amp;") if name in VERBATIM else inner)
             at = end.end() if end else len(html)
         elif name not in VOID and not (m["attrs"] or "").endswith("/"):
             put(node)
@@ -157,6 +182,12 @@ def visibility(attrs: dict[str, str], outer: bool) -> bool:
     return found[-1].lower() == "visible" if found else outer
 
 
+def hides(node: Node) -> bool:
+    """Whether the element's own attributes have to do with what shows."""
+    attrs = attributes(node)
+    return not has_box(node, attrs) or bool(_VISIBILITY.search(attrs.get("style", "")))
+
+
 def _span(attrs: dict[str, str], name: str, most: int) -> int:
     digits = re.match(r"\s*([0-9]{1,6})", attrs.get(name, ""))
     return min(max(int(digits[1]), 1), most) if digits else 1
@@ -251,7 +282,8 @@ class _Table:
 def render(html: str | None) -> str:
     """All visible text of a page in the order of the page; null is empty.
 
-    Visible is what a browser would show without scripts and style sheets, once details are opened. Columns are told
+    Visible is what a browser would show without scripts and style sheets, once details and lists of options are opened:
+    so noscript shows, and so do the texts of drawings and formulas, but for their descriptions. Columns are told
     apart by spans of cells and rows; the text of a cell stands on one line. Lists and quotes are indented to a depth
     of INDENTS, tables aligned to a depth of TABLES and a width of WIDE_TABLE, so that neither work nor output grows
     with the square of a page; text beyond them is written all the same.
@@ -290,7 +322,7 @@ def render(html: str | None) -> str:
                 page.indents.append(" " * len(page.mark))
             elif name in ("dd", "blockquote"):
                 page.indents.append("  ")
-            elif name == "pre":
+            elif name in KEPT:
                 kept += 1
             elif name == "table":
                 if len(tables) < TABLES:
@@ -316,7 +348,7 @@ def render(html: str | None) -> str:
             elif name == "li" or name in ("dd", "blockquote"):
                 page.indents.pop()
                 page.mark = ""
-            elif name == "pre":
+            elif name in KEPT:
                 kept -= 1
             elif isinstance(more, tuple):
                 tables[-1].cell(pages.pop().text(), *more)

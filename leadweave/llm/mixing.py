@@ -95,7 +95,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), ratio: fl
 
     Null text and text of white space have size 0 and are taken as often as their hash says, at no cost. A null
     source is a source of its own, a null id hashes as empty text; rows of the same id are taken alike. An empty
-    table gives an empty one. Only doc_id, source and text are read.
+    table gives an empty one. Texts of any length are counted whole. Only doc_id, source and text are read.
     """
     sizes = materialise(sized(docs), "mix-sizes")
     cuts = materialise(thresholds(sizes, materialise(source_targets(sizes, weights, ratio, most), "mix-targets")), "mix-cuts")
@@ -105,12 +105,15 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), ratio: fl
 def take_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), ratio: float = 1.0, most: int = 3) -> DataFrame:
     """The documents that the mix takes, all columns as they were, and: mix_size, mix_copies (1 to `most`).
 
-    Columns of `docs` that have these names, in any case, give way to them.
+    Where `docs` has columns of these names, in any case, the new ones get underscores until they differ. Null texts,
+    texts of any length, repeated rows and an empty table are taken as mix_sources says.
     """
+    have = {c.lower() for c in docs.columns}
+    size, copies = (next(n for k in range(len(have) + 1) if (n := name + "_" * k) not in have) for name in ("mix_size", "mix_copies"))
     sizes = materialise(sized(docs), "mix-sizes")
     cuts = materialise(thresholds(sizes, materialise(source_targets(sizes, weights, ratio, most), "mix-targets")), "mix-cuts")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("mix_size", "mix_copies")]).alias("row"), "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
-    return mix(rows, cuts).filter("copies > 0").select("row.*", F.col("size").alias("mix_size"), F.col("copies").alias("mix_copies"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h"))
+    return mix(rows, cuts).filter("copies > 0").select("row.*", F.col("size").alias(size), F.col("copies").alias(copies))
 
 
 def op9_mix(spark, sf_dir: str) -> DataFrame:

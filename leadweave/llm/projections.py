@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadweave.llm.bagminhash import attach
 from leadweave.operators.components import connected_components
 from leadweave.storage import materialise, small_or_merge
 
@@ -227,7 +228,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     good = F.coalesce(e.isNotNull() & finite & (square > 0) & (square < float("inf")), F.lit(False))
     rows = materialise(vectors.select("vec_id", F.when(good, F.xxhash64(e)).alias("vector"), F.when(good, e).alias("embedding")), "vectors")
-    nodes = rows.filter("vector IS NOT NULL").groupBy("vector").agg(F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    nodes = rows.filter("vector IS NOT NULL").groupBy("vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding"))
     nodes = materialise(nodes, "nodes")
     bits, tables = block_shape(nodes.count(), cosine)
     made = nodes.mapInArrow(_projector(bits, tables, cosine), "vector long, dimension int, keys array<int>, marks binary")
@@ -252,12 +253,14 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     found = materialise(found, "vector-links")
     labels = connected_components(found, "vector", "root")
     counts = found.groupBy("vector").agg(F.sum("links").alias("links"))
-    of = nodes.select("vector", "copies").join(counts.hint("merge"), "vector", "left").join(labels.withColumnRenamed("node", "vector").hint("merge"), "vector", "left")
-    of = of.select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vector").alias("part"))
-    rows = rows.select("vec_id", "vector").join(of.hint("merge"), "vector", "left")
-    heads = rows.filter("part IS NOT NULL").groupBy("part").agg(F.min("vec_id").alias("head"))
-    rows = rows.join(heads.hint("merge"), "part", "left")
-    component = F.when(F.col("part").isNull(), F.col("vec_id")).otherwise(F.col("head"))
+    of = nodes.select("vector", "copies", "least").join(counts.hint("merge"), "vector", "left").join(labels.withColumnRenamed("node", "vector").hint("merge"), "vector", "left")
+    of = of.select("vector", "copies", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vector").alias("part"))
+    # the head of each component is found among vectors, then given to their rows
+    of = materialise(of, "parts")
+    heads = materialise(of.groupBy("part").agg(F.min("least").alias("head"), F.count("*").alias("size")), "component-heads")
+    of = materialise(attach(of, heads, "part", "size").drop("least", "part"), "vector-heads")
+    rows = attach(rows.select("vec_id", "vector"), of, "vector", "copies")
+    component = F.when(F.col("vector").isNull(), F.col("vec_id")).otherwise(F.col("head"))
     rows = rows.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"))
     return rows.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

@@ -14,10 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadweave.llm.sampling import labelled_sample
 from leadweave.llm.words import BYTE_VALUE, GAMMA, _LOWER, _WORD, chunks, mix64, run_hashes, runs, text_bytes
 
 #: Labelled documents of each class that are drawn for training, by a threshold on the hash of their ids.
 TRAIN_DOCUMENTS = 1200
+#: Bytes of text of each class that the network is fitted on at most.
+TRAIN_BYTES = 8 << 20
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, CHAR_BUCKETS = 10, 10, 10, 1 << 13
@@ -280,29 +283,22 @@ def _step(net: Network, parts: list, batch: list, moments: dict, steps: int, rng
         net.p[k] -= (RATE * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-8)).astype(np.float32)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCUMENTS) -> DataFrame:
-    """doc_id, text, toxic of labelled rows whose crc32 of doc_id mod 3 isn't 1, thinned by id hash to about per_class of each class.
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCUMENTS, class_bytes: int = TRAIN_BYTES) -> pa.Table:
+    """doc_id, text, label of labelled rows whose crc32 of doc_id mod 3 isn't 1: at most per_class and class_bytes of each class.
 
-    An id with several labels is toxic if one of them says so; null ids and labels teach nothing. Each row of an id
-    is a row to learn from.
+    An id with several labels is toxic if one of them says so; null ids and labels teach nothing. Different texts of an
+    id are rows to learn from, but take no more places than others (see labelled_sample).
     """
-    known = labels.filter(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
-    share = F.lit(0.0)
-    for label, n in counts.items():
-        share = F.when(F.col("toxic") == label, min(1.0, per_class / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    some = known.filter(draw < share)
-    # the sample is bounded by per_class, so it may be broadcast
-    return docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
-
-
-def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCUMENTS) -> Network:
-    """Fit on the rows of training_rows, in the order of their ids, so that reruns agree."""
-    rows = training_rows(docs, labels, per_class).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    known = labels.filter(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
+    return labelled_sample(docs, known, per_class, class_bytes)
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCUMENTS, class_bytes: int = TRAIN_BYTES) -> Network:
+    """Fit on training_rows, which come in the order of their ids, so that reruns agree."""
+    rows = training_rows(docs, labels, per_class, class_bytes)
     if not rows.num_rows:
         return Network(np.zeros(0, np.uint64))
-    return fit(rows.column("text").to_pylist(), rows.column("toxic").to_numpy().astype(np.float64))
+    return fit(rows.column("text").to_pylist(), rows.column("label").to_numpy().astype(np.float64))
 
 
 def score_texts(docs: DataFrame, net: Network) -> DataFrame:

@@ -84,7 +84,7 @@ def _placed(pieces: DataFrame) -> DataFrame:
     """The pieces with the offset of their magic line, of files that have one at their start."""
     before = W.partitionBy("file").orderBy("block", "seq").rowsBetween(W.unboundedPreceding, -1)
     placed = pieces.withColumn("offset", F.sum(F.col("size") + len(MAGIC)).over(before) - len(MAGIC)).withColumn("junk", F.first("size").over(before))
-    return placed.filter("junk = 0").drop("block", "seq", "junk")
+    return placed.filter("junk = 0").drop("junk")
 
 
 def _header(head: Column, name: str) -> Column:
@@ -164,9 +164,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     owner = F.last(F.when(F.col("record"), F.struct("offset", "whole", "succ")), True).over(sofar)
     marked = materialise(marked.withColumn("owner", owner), "marked")
     whole = marked.filter("record AND whole").select("file", "offset", *fields)
-    parts = marked.filter("NOT owner.whole AND offset < owner.succ").select("file", "offset", F.col("owner.offset").alias("start"))
+    parts = marked.filter("NOT owner.whole AND offset < owner.succ").select("file", "block", "seq", "offset", F.col("owner.offset").alias("start"))
     parts = small_or_merge(materialise(parts, "fragments"), BROADCAST_GROUPS)
-    texts = _placed(_pieces(spark, path)).join(parts, ["file", "offset"]).groupBy("file", "start").agg(F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("parts"))
+    # pieces are known by their place in the reading, so that only fragments' payloads are shuffled
+    texts = _pieces(spark, path).select("file", "block", "seq", "value").join(parts, ["file", "block", "seq"]).groupBy("file", "start").agg(F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("parts"))
     joined = F.array_join(F.transform("parts", lambda x: x["value"]), MAGIC)
     texts = texts.select("file", F.col("start").alias("offset"), joined.alias("value")).withColumn("size", F.octet_length("value").cast("long"))
     return whole.unionByName(_parsed(texts, ("file", "offset")).filter("whole").select("file", "offset", *fields))

@@ -169,6 +169,28 @@ def test_warc_chain_begins_with_the_file(spark, tmp_path):
     assert not any(k % 6 == 0 for k, *_ in want) and len(want) > 30
 
 
+def test_warc_shuffles_fragments_alone(spark, tmp_path):
+    """One payload that holds the magic line sends its own pieces through the shuffle, not the archive's."""
+    rows = [(k, "u", f"<p>{k}" + "x" * 2000) for k in range(400)] + [(900, "u", "<p>WARC/1.0\r\n" * 3 + "end")]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/w")
+    found = warc.read_warc(spark, f"{tmp_path}/w")
+    assert {r.page_id: r.payload_digest for r in found.collect()} == {str(i): hashlib.sha256(t.encode()).hexdigest() for i, _, t in rows}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan.split("Final Plan")[-1].split("Initial Plan")[0]
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """One id on most rows, and long texts, stay within the rows and bytes of the sample."""
+    rows = [(0, f"nice text {k}") for k in range(900)] + [(k, "moron " * 50) for k in range(1, 100)]
+    labels = spark.createDataFrame([(k, int(k > 0)) for k in range(100)], "doc_id long, toxic int")
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.training_rows(d, labels, 20, 3000).to_pylist()
+    for label in (0, 1):
+        own = [r for r in got if r["label"] == label]
+        assert len(own) <= 20 and sum(len(r["text"]) for r in own) <= 3000
+    assert sum(r["label"] for r in got) == 10
+
+
 def test_contamination_brute_force(spark):
     rng = random.Random(4)
     vocabulary = [f"t{i}" for i in range(6)] + ["É", "7"]
@@ -297,8 +319,8 @@ def test_toxicity_odd_tables(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = toxicity.op4_toxicity(spark, str(tmp_path)).collect()
     assert len(got) == len(rows) and all(r.held_out is not None and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
-    learnt = toxicity.training_rows(docs(spark, ["a", "b", "c"], ids=[1, 1, 2]), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
-    assert sorted((r.doc_id, r.toxic) for r in learnt) == [(i, t) for i, t in [(1, 1), (1, 1), (2, 1)] if zlib.crc32(str(i).encode()) % 3 != 1]
+    learnt = toxicity.training_rows(docs(spark, ["a", "b", "c"], ids=[1, 1, 2]), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert sorted((r["doc_id"], r["label"]) for r in learnt.to_pylist()) == [(i, t) for i, t in [(1, 1), (1, 1), (2, 1)] if zlib.crc32(str(i).encode()) % 3 != 1]
     d = docs(spark, ["a"])
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score_texts(d.limit(0), toxicity.train(d.limit(0), none)).count() == 0 and toxicity.score_texts(d, toxicity.train(d, none)).count() == 1
@@ -427,6 +449,17 @@ def test_near_vectors_of_large_blocks(spark, monkeypatch):
     assert projections.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_one_hot_component(spark):
+    """Copies of one vector, null vectors and a chain of links, with null ids, in a third of the rows each."""
+    near = [[float(np.cos(k * 0.2)), float(np.sin(k * 0.2)), 0.0] for k in range(8)]  # neighbours at cosine 0.98
+    rows = [(k + 10, near[0]) for k in range(60)] + [(k + 100, None) for k in range(60)] + [(k + 200, near[k % 8]) for k in range(60)] + [(None, near[3]), (None, [0.0, 0.0, 1.0]), (5, [0.0, 0.0, -1.0])]
+    got = projections.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == len(rows)
+    unit = [np.array(e) if e else None for _, e in rows]
+    want = [(i, sum(1 for b in unit if a is not None and b is not None and a @ b >= 0.95) - (a is not None), 10 if a is not None and a[2] == 0 else i) for (i, _), a in zip(rows, unit)]
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_windows_count_every_pair_once():
     rng = np.random.default_rng(11)
     for n, blocks in ((200, 15), (200, 1), (1, 1), (0, 1)):
@@ -537,14 +570,61 @@ def test_pipeline_brute_force(spark, tmp_path):
     assert collections.Counter((r.doc_id, r.text, r.lang, r.source, r.mix_size, r.mix_copies) for r in got) == want
 
 
+def test_mix_columns_of_a_user_stay(spark):
+    d = spark.createDataFrame([(1, "a b", "s", 7, 8)], "doc_id long, text string, source string, Mix_Size int, mix_copies int")
+    got = mixing.take_mix(d)
+    assert got.columns == [*d.columns, "mix_size_", "mix_copies_"] and [tuple(r) for r in got.collect()] == [(1, "a b", "s", 7, 8, 2, 1)]
+
+
 def test_layout_open_head():
     assert layout.render("<html><head><title>T</title><p>Hello<p>you") == "Hello\n\nyou"
     assert layout.render("<HEAD><meta charset=x>\n<style>p{}</style> <link>Hello <b>you</b>") == "Hello you"
     assert layout.render("<head><title>T</title>&#32;&amp;<div>b</div></head><body>c") == "&\nb\nc"
-    for start in ("<head><html><head>", "<head></head>", "<title>T</title><head><script>'<p>'</script>", "<head><noscript><img><p>no</noscript>", "<head><template><p>no</template>", "<head> <!-- x --> "):
+    for start in ("<head><html><head>", "<head></head>", "<title>T</title><head><script>'<p>'</script>", "<head><noscript><link><style>no</style></noscript>", "<head><template><p>no</template>", "<head> <!-- x --> "):
         assert layout.render(start + "<span>yes</span>") == layout.render(start + "yes") == layout.render(start + "<body>yes") == "yes", start
 
 
+def test_layout_all_visible_text():
+    for page, text in (
+        ("<math><mi>x</mi><mo>=</mo><mi>y</mi><annotation>z</annotation></math>", "x=y"),
+        ("<svg><title>t</title><desc>d</desc><text>Chart title</text><text>b</text></svg>", "Chart title\nb"),
+        ("<noscript>Please <b>enable</b></noscript>", "Please enable"),
+        ("<head><noscript><img><p>see</noscript><p>yes", "see\n\nyes"),
+        ("a</br>b", "a\nb"),
+        ("<b><p>x</b>y</p>z", "xy\n\nz"),
+        ("<i><b><div>x</i>y</b>z</div>", "xyz"),
+        ("<span><div>x</span>y</div>z", "xy\nz"),
+        ("<b hidden><p>x</b>y", "y"),
+        ("<p>a<b>b</p>c</b>d", "ab\n\ncd"),
+        ("<td><b>x<table><tr><td>y</b>z</table>", "x\n\nyz"),
+        ("<option>A<option>B", "A\nB"),
+        ("<select><optgroup label=q><option>A<option>B<optgroup><option>C</select>", "A\nB\nC"),
+        ("a<plaintext>b <p>c &amp; </plaintext>", "a\n\nb <p>c &amp; </plaintext>"),
+        ("<xmp>a <b> &lt;\n  c</xmp>d", "a <b> &lt;\n  c\n\nd"),
+    ):
+        assert layout.render(page) == text, page
+
+
+def test_layout_misnested_formatting_changes_nothing():
+    """Text with blocks in which formatting opens and ends anywhere reads like the same text without formatting."""
+    rng = random.Random(12)
+    for _ in range(300):
+        plain, marked, depth = "", "", 0
+        for k in range(rng.randrange(25)):
+            kind = rng.randrange(6)
+            if kind < 3:
+                tag = rng.choice(["b", "i", "em", "font"])
+                marked += rng.choice([f"<{tag}>", f"</{tag}>"])
+                continue
+            part = f" w{k} " if kind < 5 else "<div>" if rng.random() < 0.6 or not depth else "</div>"
+            depth += {"<div>": 1, "</div>": -1}.get(part, 0)
+            plain, marked = plain + part, marked + part
+        assert layout.render(marked) == layout.render(plain), marked
+    began = time.perf_counter()
+    layout.render("<b>" * 30_000 + "<div>" * 30_000 + "x</b>" * 30_000)
+    assert time.perf_counter() - began < 5
+
+
 def test_layout_spans_and_visibility():
     page = "<table><tr><th colspan=2>Head</th><th>X</th><tr><td rowspan=2>A</td><td>b</td><td>1</td></tr><tr><td>longer</td><td>2</td></tr><tr><td>C<td>d<td>3</table>"
     assert layout.render(page) == "Head       X\nA  b       1\n   longer  2\nC  d       3"
