@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadweave import rules
+from leadweave.storage import small_or_merge
 
 #: White space of any script; the regular expression's own class holds ASCII only.
 SPACE = r"[\s\x0B\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
@@ -146,13 +147,17 @@ def domain_typo_fix(domain: Column) -> Column:
     return F.element_at(F.create_map(*pairs), domain)
 
 
+#: Most disposable domains that are broadcast.
+BROADCAST_DOMAINS = 100_000
+
+
 def flag_disposable(df: DataFrame, domain_col: str, dimension: DataFrame) -> DataFrame:
     """Adds is_disposable: the domain or a parent of two labels or more is in the dimension table (domain)."""
     asked = df.select(F.col(domain_col).alias("_domain")).filter(F.col("_domain").isNotNull()).distinct()
     labels = F.split("_domain", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     spread = asked.select("_domain", F.explode(suffixes).alias("domain"))
-    hits = spread.join(dimension.select("domain").distinct().hint("merge"), "domain", "left_semi").select("_domain").distinct().withColumn("_hit", F.lit(True))
+    hits = spread.join(small_or_merge(dimension.select("domain").distinct(), BROADCAST_DOMAINS), "domain", "left_semi").select("_domain").distinct().withColumn("_hit", F.lit(True))
     return df.join(hits.hint("merge"), F.col(domain_col) == F.col("_domain"), "left").withColumn("is_disposable", F.coalesce("_hit", F.lit(False))).drop("_domain", "_hit")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -84,10 +84,11 @@ def enrichment_record(df: DataFrame) -> DataFrame:
     """Adds enrichment to gap-filled leads with site and model: where fields come from, what was found, and errors."""
     empty = F.array().cast("array<string>")
     s, m = F.col("site"), F.col("model")
-    error = s["error"].cast("string") if "error" in df.schema["site"].dataType.names else F.lit(None).cast("string")
+    said = lambda c, kind: c["error"].cast("string") if "error" in df.schema[kind].dataType.names else F.lit(None).cast("string")
+    error, ai_error = said(s, "site"), said(m, "model")
     record = F.struct(
         F.col("provenance"), F.coalesce(s["pages"], empty).alias("pages_crawled"), F.coalesce(s["emails"], empty).alias("emails_found"), F.coalesce(s["phones"], empty).alias("phones_found"), F.coalesce(m["services"], empty).alias("services"),
-        T.blank_to_null(m["industry"]).alias("ai_industry"), T.blank_to_null(m["acquisition_notes"]).alias("acquisition_notes"), error.alias("crawl_error"), F.lit(None).cast("string").alias("ai_error"),
+        T.blank_to_null(m["industry"]).alias("ai_industry"), T.blank_to_null(m["acquisition_notes"]).alias("acquisition_notes"), error.alias("crawl_error"), ai_error.alias("ai_error"),
     )
     return df.withColumn("enrichment", record)
 
@@ -117,9 +118,15 @@ def filled_counts(df: DataFrame) -> DataFrame:
     return df.select(F.explode("provenance").alias("field", "origin")).groupBy("field", "origin").agg(F.count("*").alias("n"))
 
 
-def model_candidates(leads: DataFrame, texts: DataFrame, k: int = 40, min_text: int = 200) -> DataFrame:
-    """The first k leads of each upload whose site has more than min_text characters, by score, then reviews."""
+def model_candidates(leads: DataFrame, texts: DataFrame, k: int = 40, min_text: int = 200, skipped: Observation | None = None) -> DataFrame:
+    """The first k leads of each upload whose site has more than min_text characters, by score, then reviews.
+
+    skipped: counts, as `readable` in the same pass, the leads that were to choose from, before the cap; with
+    the rows that come out, that tells how many the cap left out.
+    """
     readable = leads.join(texts.filter(F.length("text") > min_text).select("domain"), "domain", "left_semi")
+    if skipped is not None:
+        readable = readable.observe(skipped, F.count(F.lit(1)).alias("readable"))
     by = W.partitionBy("upload_id").orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("review_count"), "id")
     return readable.withColumn("pick", F.row_number().over(by)).filter(F.col("pick") <= k)
 
@@ -127,10 +134,12 @@ def model_candidates(leads: DataFrame, texts: DataFrame, k: int = 40, min_text:
 def parse_model_replies(replies: DataFrame) -> DataFrame:
     """domain and typed facts of replies (domain, reply): fences stripped, numbers found in text, scalars made lists.
 
-    A reply without a JSON object gives nulls and empty lists.
+    A reply without a JSON object gives nulls and empty lists, and an error; an `error` of the replies goes first.
     """
     body = F.regexp_extract(F.regexp_replace("reply", "```(?:json)?", ""), r"(?s)\{.*\}", 0)
-    x = replies.select("domain", F.from_json(F.when(body != "", body), MODEL_FACTS).alias("f"))
+    given = F.col("error").cast("string") if "error" in replies.columns else F.lit(None).cast("string")
+    error = F.coalesce(given, F.when(F.coalesce(body, F.lit("")) == "", "no JSON object in the reply"))
+    x = replies.select("domain", F.from_json(F.when(body != "", body), MODEL_FACTS).alias("f"), error.alias("error"))
     text = lambda c: T.clean_text(F.col(f"f.{c}"))
     number = lambda c: F.regexp_extract(F.col(f"f.{c}"), "[0-9]+", 0).try_cast("int")
 
@@ -142,7 +151,7 @@ def parse_model_replies(replies: DataFrame) -> DataFrame:
     return x.select(
         "domain", text("owner_name").alias("owner_name"), text("owner_title").alias("owner_title"), number("year_founded").alias("year_founded"), number("employee_estimate").alias("employee_estimate"),
         F.when(yes.isin("true", "yes"), True).when(yes.isin("false", "no"), False).alias("family_owned"), strings("ownership_signals").alias("ownership_signals"), F.coalesce(text("summary"), F.lit("")).alias("summary"),
-        strings("services").alias("services"), text("industry").alias("industry"), F.coalesce(text("acquisition_notes"), F.lit("")).alias("acquisition_notes"),
+        strings("services").alias("services"), text("industry").alias("industry"), F.coalesce(text("acquisition_notes"), F.lit("")).alias("acquisition_notes"), "error",
     )
 
 

@@ -21,16 +21,15 @@ def completeness(columns: list[str]) -> Column:
     return total
 
 
-def golden_records(leads: DataFrame, clusters: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
+def golden_records(leads: DataFrame, clusters: DataFrame) -> DataFrame:
     """One row for each cluster. Fields missing from `leads` are left out.
 
+    All is told by partial aggregates, so that each task that holds rows of a cluster sends one row of it at most.
+
     Each field comes from the most complete row that fills it, ties by row. A name that isn't all capitals, a valid
     phone that isn't toll-free, and a personal address are preferred.
     """
     rows = leads.join(clusters, "row").withColumn("rank", F.struct((-completeness(leads.columns)).alias("missing"), F.col("row").alias("at")))
-    if reasons is not None:
-        rows = rows.join(reasons, "row", "left")
-    rows = rows.withColumn("reasons", F.coalesce("matched_on", F.array().cast("array<string>")) if reasons is not None else F.array().cast("array<string>"))
     name, phone = F.col("company_name"), F.col("phone_parsed")
     shouting = (name == F.upper(name)) & (name != F.lower(name))
     kind = F.when(phone["valid"] & ~F.coalesce(phone["type"] == "TOLL_FREE", F.lit(False)), 0).when(phone["valid"], 1).otherwise(2)
@@ -46,13 +45,42 @@ def golden_records(leads: DataFrame, clusters: DataFrame, reasons: DataFrame | N
         first(email, F.struct(T.is_role_email(email).alias("role"), F.col("rank"))).alias("email"),
         *[first(F.col(c)).alias(c) for c in SURVIVING if c in leads.columns],
         F.count("*").alias("merged_count"),
-        F.sort_array(F.collect_list(F.struct("row", "company_name", "email", F.col("phone_parsed.e164").alias("phone"), "website", "source", "source_id", F.col("reasons").alias("matched_on")))).alias("all"),
     ]
     out = rows.groupBy("cluster").agg(*aggregates)
-    sources = F.array_distinct(F.transform("all", lambda x: x["source"]))
+    # sources are few, so a cluster's fit in a row
+    seen = rows.groupBy(F.col("cluster").alias("of"), "source").agg(F.min("row").alias("first")).groupBy("of").agg(F.sort_array(F.collect_list(F.struct("first", "source"))).alias("seen"))
+    out = out.join(seen.hint("merge"), F.col("cluster") == F.col("of")).withColumn("sources", F.transform("seen", lambda x: x["source"]))
+    return out.select("*", F.col("phone_parsed.e164").alias("phone")).drop("of", "seen")
+
+
+def provenance(leads: DataFrame, clusters: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
+    """A row for each row of a cluster: cluster, merged_count, row, source, source_id, company_name, email, phone, website, matched_on.
+
+    It has no arrays but the reasons, so that a cluster of any size is spread over many tasks.
+    """
+    sizes = clusters.groupBy(F.col("cluster").alias("of")).agg(F.count("*").alias("merged_count"))
+    rows = leads.join(clusters, "row").join(sizes.hint("merge"), F.col("cluster") == F.col("of"))
+    if reasons is not None:
+        rows = rows.join(reasons.hint("merge"), "row", "left")
+    matched = F.coalesce("matched_on" if reasons is not None else F.lit(None), F.array().cast("array<string>"))
+    return rows.select("cluster", "merged_count", "row", "source", "source_id", "company_name", "email", F.col("phone_parsed.e164").alias("phone"), "website", matched.alias("matched_on"))
+
+
+#: Rows of a cluster up to which they are listed within its golden record.
+LISTED = 1000
+
+
+def attach_provenance(golden: DataFrame, rows: DataFrame, most: int = LISTED) -> DataFrame:
+    """Adds source_ids and merged_from (empty for one row), by row, to golden records of at most `most` rows.
+
+    rows: provenance(). Larger clusters have null in both; their rows are those of `rows`.
+    """
+    told = F.struct("row", "company_name", "email", "phone", "website", "source", "source_id", "matched_on")
+    lists = rows.filter(F.col("merged_count") <= most).groupBy(F.col("cluster").alias("of")).agg(F.sort_array(F.collect_list(told)).alias("all"))
+    out = golden.join(lists.hint("merge"), F.col("cluster") == F.col("of"), "left")
     ids = F.transform(F.filter("all", lambda x: x["source_id"].isNotNull()), lambda x: F.concat(x["source"], F.lit(":"), x["source_id"]))
-    merged = F.when(F.col("merged_count") > 1, F.transform("all", lambda x: x.dropFields("source_id"))).otherwise(F.slice(F.transform("all", lambda x: x.dropFields("source_id")), 1, 0))
-    return out.select("*", F.col("phone_parsed.e164").alias("phone"), sources.alias("sources"), ids.alias("source_ids"), merged.alias("merged_from")).drop("all")
+    merged = F.transform(F.when(F.col("merged_count") > 1, F.col("all")).otherwise(F.slice("all", 1, 0)), lambda x: x.dropFields("source_id"))
+    return out.withColumns({"source_ids": ids, "merged_from": merged}).drop("of", "all")
 
 
 def dedup_summary(clusters: DataFrame) -> DataFrame:

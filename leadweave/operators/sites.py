@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadweave.functions import text as T
@@ -13,14 +14,21 @@ def robots_allowed(pages: DataFrame, rules: DataFrame, agent: str = "*") -> Data
     """Adds allowed to pages (domain, url) by rules (domain, agent, rule_seq, path, allow).
 
     Rules of the agent, else of `*`, count; the longest path that the page's begins with wins, the first of equals.
+    A page's path is cut at the lengths that its domain's rules have, and what is cut off is looked up by its hash, so
+    that the rows joined grow with the length of paths and not with the number of rules.
     """
     own = rules.filter(F.lower("agent").isin(agent.lower(), "*") & (F.col("path") != ""))
     named = own.filter(F.lower("agent") == agent.lower()).select("domain").distinct().withColumn("named", F.lit(True))
     own = own.join(named, "domain", "left").filter((F.lower("agent") == agent.lower()) | F.col("named").isNull())
-    asked = pages.select("domain", "url", F.regexp_extract("url", "^[a-z]+://[^/?#]+(.*)$", 1).alias("path"))
-    hit = (F.col("p.domain") == F.col("r.domain")) & F.col("p.path").startswith(F.col("r.path"))
-    found = asked.distinct().alias("p").join(own.alias("r"), hit).groupBy("p.domain", "p.url").agg(F.max_by("r.allow", F.struct(F.length("r.path"), -F.col("r.rule_seq"))).alias("allow"))
-    return pages.join(found, ["domain", "url"], "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
+    own = own.groupBy("domain", "path").agg(F.min_by("allow", "rule_seq").alias("allow"))
+    lengths = own.groupBy("domain").agg(F.collect_set(F.length("path")).alias("lengths"))  # no more than the longest path
+    asked = pages.select("domain", "url", F.regexp_extract("url", "^[a-z]+://[^/?#]+(.*)$", 1).alias("path")).join(lengths.hint("merge"), "domain")
+    asked = asked.withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("path")))).select("domain", "url", "n", F.expr("left(path, n)").alias("start"))
+    asked = asked.withColumn("key", F.xxhash64("domain", "start"))
+    own = own.select(F.xxhash64("domain", "path").alias("key"), F.col("domain").alias("of"), F.col("path").alias("rule"), "allow")
+    found = asked.join(own.hint("merge"), (asked["key"] == own["key"]) & (F.col("domain") == F.col("of")) & (F.col("start") == F.col("rule")))
+    found = found.groupBy("domain", "url").agg(F.max_by("allow", "n").alias("allow"))
+    return pages.join(found.hint("merge"), ["domain", "url"], "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
 
 
 def best_email(emails: Column, domain: Column) -> Column:
@@ -42,11 +50,24 @@ def rollup_sites(facts: DataFrame) -> DataFrame:
     return out.withColumn("best_email", best_email(F.col("emails"), F.col("domain")))
 
 
+#: What a page adds to a combined text at least: marks and line breaks.
+LEAST_PART = 5
+
+
 def combined_text(facts: DataFrame, max_chars: int = 7000) -> DataFrame:
-    """domain, text: the pages' addresses, titles, descriptions and texts in order, cut at max_chars."""
+    """domain, text: the pages' addresses, titles, descriptions and texts in order (page_seq, url), cut at max_chars.
+
+    Only the pages that reach into the first max_chars, told by a running sum of lengths, are gathered; and only as many
+    as could are sorted, so that a domain of very many pages is as light as others.
+    """
     one = F.concat(F.lit("# "), "url", F.lit("\n"), "title", F.lit("\n"), "meta", F.lit("\n"), "text")
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("page_seq", one.alias("t")))), lambda x: x["t"])
-    return facts.groupBy("domain").agg(F.substring(F.array_join(parts, "\n\n"), 1, max_chars).alias("text"))
+    parts = facts.select("domain", "page_seq", "url", F.substring(one, 1, max_chars).alias("part")).filter("part IS NOT NULL")
+    order = W.partitionBy("domain").orderBy("page_seq", "url")
+    parts = parts.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= max_chars // LEAST_PART + 1)
+    before = F.sum(F.length("part") + 2).over(W.partitionBy("domain").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
+    parts = parts.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < max_chars)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "\n\n")
+    return parts.groupBy("domain").agg(F.substring(joined, 1, max_chars).alias("text"))
 
 
 def select_pages(candidates: DataFrame, allowed: DataFrame, max_extra: int = 3) -> DataFrame:
@@ -59,4 +80,5 @@ def select_pages(candidates: DataFrame, allowed: DataFrame, max_extra: int = 3)
 
 
 def crawl_counts(sites: DataFrame) -> DataFrame:
+    """status, n: sites by how their crawl ended."""
     return sites.groupBy("status").agg(F.count("*").alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadweave import rules
@@ -16,13 +17,32 @@ def observation_status(observations: DataFrame) -> DataFrame:
     return observations.withColumn("status", F.when(F.col("kind") == "mx", mx).otherwise(web))
 
 
+#: Seconds of a stretch of time within which a key's rows are sorted together.
+STRETCH = 60
+
+
 def latest_observation(keys: DataFrame, observations: DataFrame, ttl_hours: int = 24) -> DataFrame:
-    """keys (domain, kind, at) with the newest outcome observed within ttl_hours before `at`; null if none."""
-    hit = (F.col("k.domain") == F.col("o.domain")) & (F.col("k.kind") == F.col("o.kind"))
-    fresh = (F.col("o.observed_at") <= F.col("k.at")) & (F.col("o.observed_at") >= F.col("k.at") - F.expr(f"INTERVAL {int(ttl_hours)} HOURS"))
-    asked = keys.select("domain", "kind", "at").distinct()
-    found = asked.alias("k").join(observations.hint("merge").alias("o"), hit & fresh).groupBy("k.domain", "k.kind", "k.at").agg(F.max(F.struct("o.observed_at", "o.outcome")).alias("last"))
-    return keys.join(found.select("domain", "kind", "at", F.col("last.outcome").alias("outcome")).hint("merge"), ["domain", "kind", "at"], "left")
+    """keys (domain, kind, at) with the newest outcome observed within ttl_hours before `at`; null if none.
+
+    Of observations of one time the largest outcome counts. Keys and observations are sorted together by time and the
+    last observation is carried on, so there are no pairs of a key and each observation. A domain's rows are dealt out
+    by stretches of time; into each goes the newest observation of those before it. All columns and rows of `keys`
+    stay, an `outcome` of its own is replaced; null keys and times have no outcome.
+    """
+    by = ["domain", "kind"]
+    stretch = F.floor(F.unix_micros(F.col("time").cast("timestamp")) / (STRETCH * 1_000_000)).alias("stretch")
+    seen = observations.filter("domain IS NOT NULL AND kind IS NOT NULL AND observed_at IS NOT NULL")
+    seen = seen.select(*by, F.col("observed_at").alias("time"), F.struct("observed_at", "outcome").alias("seen")).select("*", stretch)
+    asked = keys.select(*by, F.col("at").alias("time"), F.struct(*[F.col(f"`{c}`") for c in keys.columns if c.lower() != "outcome"]).alias("asked")).select("*", stretch)
+    both = asked.unionByName(seen, allowMissingColumns=True)
+    newest = both.groupBy(*by, "stretch").agg(F.max("seen").alias("newest"))
+    before = F.last("newest", True).over(W.partitionBy(*by).orderBy("stretch").rowsBetween(W.unboundedPreceding, -1))
+    carried = newest.withColumn("seen", before).filter("seen IS NOT NULL").select(*by, "stretch", F.lit(None).cast(both.schema["time"].dataType).alias("time"), "seen")
+    rows = both.unionByName(carried, allowMissingColumns=True)
+    sofar = W.partitionBy(*by, "stretch").orderBy(F.asc_nulls_first("time"), F.col("asked").isNotNull(), "seen").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("last", F.last("seen", True).over(sofar)).filter("asked IS NOT NULL")
+    fresh = F.col("last.observed_at") >= F.col("time") - F.expr(f"INTERVAL {int(ttl_hours)} HOURS")
+    return rows.select("asked.*", F.when(fresh & F.col("domain").isNotNull() & F.col("kind").isNotNull(), F.col("last.outcome")).alias("outcome"))
 
 
 def probe_backlog(keys: DataFrame, observations: DataFrame, ttl_hours: int = 24) -> DataFrame:
@@ -81,6 +101,12 @@ def validate_website(df: DataFrame) -> DataFrame:
     return df.withColumns({"website_status": status, "website_detail": detail})
 
 
-def disposable_dimension(spark) -> DataFrame:
-    """The seed of the disposable-domain table (domain)."""
-    return spark.createDataFrame([(d,) for d in rules.DISPOSABLE_SEED], "domain string")
+def disposable_dimension(spark, path: str | None = None) -> DataFrame:
+    """The table of disposable domains (domain): the lines of the text files at `path`, or else a seed of a few.
+
+    Lines are trimmed and lower-cased; blank ones and those that begin with # are left out, repeated ones are one.
+    """
+    if path is None:
+        return spark.createDataFrame([(d,) for d in rules.DISPOSABLE_SEED], "domain string")
+    lines = spark.read.text(path).select(F.lower(T.strip(F.col("value"))).alias("domain"))
+    return lines.filter((F.col("domain") != "") & ~F.col("domain").startswith("#")).distinct()

@@ -117,8 +117,7 @@ def golden_query(spark, d):
 
 def merge_provenance(spark, d):
     rows = materialise(leads(spark, d), "leads")
-    g = golden.golden_records(rows, link.cluster(rows)[0]).filter("merged_count > 1")
-    return g.select("cluster", F.explode("merged_from").alias("m")).select("cluster", F.col("m.row").alias("row"), F.col("m.company_name").alias("company_name"), F.col("m.email").alias("email"), F.col("m.phone").alias("phone"))
+    return golden.provenance(rows, link.cluster(rows)[0]).filter("merged_count > 1").select("cluster", "row", "company_name", "email", "phone")
 
 
 def dedup_stats(spark, d):

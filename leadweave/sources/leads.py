@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -62,10 +63,12 @@ def map_columns(headers: list[str]) -> tuple[dict[str, str], list[str]]:
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with a company name, and the others as (row, reason); row is the line of the file, its header being line 1.
 
-    Raises if there is no column of company names.
+    Raises if there is no column of company names, and, as a file without rows is a mistake, if there are no rows.
     """
     if "company_name" not in df.columns:
         raise ValueError("no column holds company names")
+    if df.isEmpty():
+        raise ValueError("no rows")
     named = T.clean_text(F.col("company_name")).isNotNull()
     return df.filter(named), df.filter(~named).select((F.col("row") + 2).alias("row"), F.lit("Missing company name").alias("reason"))
 
@@ -89,12 +92,42 @@ def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
     """All sources in the given order, rows numbered anew from 1 in the order of source and row.
 
     source_rank and source_row say where a row comes from; columns that a source lacks are null, empty sources add
-    nothing.
+    nothing. Without any source there is nothing to give: it raises.
     """
+    if not sources:
+        raise ValueError("no sources")
     parts = [df.withColumn("source_rank", F.lit(k)).withColumnRenamed("row", "source_row") for k, df in enumerate(sources.values())]
     return numbered(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), ("source_rank", "source_row"), "row")
 
 
-def source_counts(df: DataFrame) -> DataFrame:
-    """source, n."""
-    return df.groupBy("source").agg(F.count("*").alias("n"))
+def load_sources(sources: dict[str, DataFrame | Callable[[], DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """The union of all sources that can be read, as union_sources gives it, and what became of each.
+
+    The second table has a row for each source, also for empty and failed ones: source, n, error (null if it could be
+    read), and skipped (rows that places_to_leads and the like left out, if they were given this source's
+    Observation). A source is a table, a function that gives one, or a pair of either and such an Observation. Rows are
+    counted while they are written, and a source that fails doesn't stop the others. Raises with the first error if no source has a row.
+    """
+    spark, parts, told = SparkSession.active(), {}, []
+    for name, source in sources.items():
+        source, skipped = source if isinstance(source, tuple) else (source, None)
+        seen = Observation()
+        try:
+            df = source() if callable(source) else source
+            parts[name] = materialise(df.observe(seen, F.count(F.lit(1)).alias("n")), "source")
+            told.append((name, seen.get["n"], None, skipped.get["skipped"] if skipped is not None else None))
+        except Exception as e:  # whatever a source fails with is its own
+            told.append((name, 0, str(e).partition("\n")[0][:500], None))
+    if not any(n for _, n, _, _ in told):
+        raise ValueError(next((e for _, _, e, _ in told if e), "no source has rows"))
+    status = spark.createDataFrame(told, "source string, n long, error string, skipped long")
+    return union_sources(parts), status
+
+
+def source_counts(df: DataFrame, sources: Sequence[str] = ()) -> DataFrame:
+    """source, n; the named sources have a row if they have none of the rows, too."""
+    found = df.groupBy("source").agg(F.count("*").alias("n"))
+    if not sources:
+        return found
+    named = df.sparkSession.createDataFrame([(s,) for s in sources], "source string")
+    return named.join(found.hint("merge"), "source", "full").select("source", F.coalesce("n", F.lit(0)).alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from leadweave.functions import text as T
@@ -18,9 +18,18 @@ def _component(kind: str, part: str) -> Column:
     return F.get(F.filter("p.addressComponents", lambda c: F.array_contains(c["types"], kind)), F.lit(0))[part]
 
 
-def places_to_leads(listings: DataFrame, industry: str | None = None) -> DataFrame:
-    """Lead columns of listings (json); permanently closed ones are left out."""
-    x = listings.select(F.from_json("json", PLACE).alias("p")).filter(~F.col("p.businessStatus").eqNullSafe("CLOSED_PERMANENTLY"))
+def places_to_leads(listings: DataFrame, industry: str | None = None, skipped: Observation | None = None, most: int | None = None) -> DataFrame:
+    """Lead columns of listings (json); permanently closed ones are left out, and counted as `skipped` in the same pass.
+
+    most: how many listings of a search are looked at, the first by id; None: all.
+    """
+    x = listings.select(F.from_json("json", PLACE).alias("p"))
+    if most is not None:
+        x = x.orderBy("p.id").limit(most)
+    closed = F.col("p.businessStatus").eqNullSafe("CLOSED_PERMANENTLY")
+    if skipped is not None:
+        x = x.observe(skipped, F.count_if(closed).alias("skipped"))
+    x = x.filter(~closed)
     return x.select(
         F.col("p.id").alias("source_id"), F.col("p.displayName.text").alias("company_name"), F.coalesce("p.internationalPhoneNumber", "p.nationalPhoneNumber").alias("phone"), F.col("p.websiteUri").alias("website"),
         F.col("p.formattedAddress").alias("address"), F.coalesce(_component("locality", "longText"), _component("postal_town", "longText"), _component("sublocality", "longText")).alias("city"),
@@ -55,6 +64,27 @@ def industry_tags(industry: Column) -> Column:
     return F.array_distinct(F.when(F.size(specific) > 0, specific).otherwise(tags(GENERIC_GROUP)))
 
 
+#: Degrees of a cell's sides.
+CELL = 1.0
+
+
+def save_elements(elements: DataFrame, path: str, degrees: float = CELL) -> None:
+    """Write map elements (lat, lon) in folders of grid cells, so that a search reads the cells of its box alone.
+
+    Elements without a place are in no cell and never found, so they are left out.
+    """
+    cell = lambda c: F.floor(F.col(c) / degrees).cast("int")
+    placed = elements.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumns({"cell_lat": cell("lat"), "cell_lon": cell("lon")})
+    # cells are dealt out with their elements' hash, so that a crowded cell is written by several tasks
+    placed.repartition("cell_lat", "cell_lon", F.pmod(F.xxhash64("seq"), F.lit(8))).write.mode("overwrite").partitionBy("cell_lat", "cell_lon").parquet(path)
+
+
+def elements_in(elements: DataFrame, bbox: tuple[float, float, float, float], degrees: float = CELL) -> DataFrame:
+    """The saved elements of the cells that a box (south, west, north, east) touches: a filter on folders."""
+    south, west, north, east = (int(x // degrees) for x in bbox)
+    return elements.filter(F.col("cell_lat").between(south, north) & F.col("cell_lon").between(west, east)).drop("cell_lat", "cell_lon")
+
+
 def search_elements(elements: DataFrame, tags: list[str], keyword: str | None, bbox: tuple[float, float, float, float], limit: int) -> DataFrame:
     """Named elements (seq, lat, lon, tags) in the box (south, west, north, east) with a tag, or the keyword in their name.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_setting = threading.Lock()
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -44,13 +46,16 @@ def materialise(df: DataFrame, name: str = "table", arrow_rows: int | None = Non
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(ARROW_ROWS)
-    try:
-        if arrow_rows is not None:
-            spark.conf.set(ARROW_ROWS, arrow_rows)
+    if arrow_rows is None:
         df.write.parquet(path)
-    finally:
-        spark.conf.set(ARROW_ROWS, before)
+    else:
+        with _setting:  # the option is the session's, so one write at a time changes it
+            before = spark.conf.get(ARROW_ROWS)
+            try:
+                spark.conf.set(ARROW_ROWS, arrow_rows)
+                df.write.parquet(path)
+            finally:
+                spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -124,9 +124,12 @@ def test_exact_keys(spark):
 def test_golden_record(spark):
     rows = [("ACME PLUMBING", "acme.com", "(800) 555-0142", "info@acme.com", None), ("Acme Plumbing", "acme.com", "(512) 555-2671", "bob@acme.com", "Austin")]
     leads, found, links, _ = clusters(spark, rows)
-    g = golden.golden_records(leads, found, link.matched_on(links)).collect()[0]
+    rows = golden.provenance(leads, found, link.matched_on(links))
+    g = golden.attach_provenance(golden.golden_records(leads, found), rows).collect()[0]
     assert (g.company_name, g.phone, g.email, g.city, g.merged_count) == ("Acme Plumbing", "+15125552671", "bob@acme.com", "Austin", 2)
-    assert [m.row for m in g.merged_from] == [0, 1] and g.merged_from[0].matched_on == ["domain"]
+    assert [m.row for m in g.merged_from] == [0, 1] and g.merged_from[0].matched_on == ["domain"] and g.sources == ["csv"] and g.source_ids == []
+    assert golden.attach_provenance(golden.golden_records(leads, found), rows, most=1).collect()[0].merged_from is None
+    assert [(r.cluster, r.merged_count, r.row) for r in rows.orderBy("row").collect()] == [(0, 2, 0), (0, 2, 1)]
 
 
 LEAD = "id int, company_name string, revenue double, revenue_estimated boolean, employees int, year_founded int, industry string, owner_name string, owner_title string, email_status string, phone_status string, website_status string, signals array<string>, rating double, review_count int"
