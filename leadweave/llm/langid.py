@@ -194,7 +194,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents, all columns as they were, that are of one known language: not `und`, score at least `least`."""
+    """The documents, all columns as they were, that are of one known language: not `und`, score at least `least`.
+
+    Null, empty and letterless texts go, and all texts if no row says its language; texts of any length are read whole.
+    Repeated rows fare alike and stay, an empty table gives an empty one.
+    """
     found = identify(docs, train(docs))
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
 

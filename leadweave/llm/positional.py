@@ -270,7 +270,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The documents, all columns as they were, without those in which a window of an item occurs."""
+    """The documents, all columns as they were, without those in which a window of an item occurs.
+
+    Null and empty texts stay, null and empty items occur nowhere. Texts of any length are searched whole; equal texts
+    of an id fare alike, whichever of its rows they stand in. An empty table gives an empty one.
+    """
     found = contamination(docs, items, width).filter("n_hit > 0").select("doc_id", "text_hash").distinct()
     found = small_or_merge(materialise(found, "leaks"), BROADCAST_ROWS)
     rows = docs.alias("a").join(found.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("a.text") == F.col("b.text_hash")), "left_anti")

@@ -237,6 +237,58 @@ def test_language(spark):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def plain_language(rows, texts):
+    """Language and score of texts by word-first backoff in plain Python; rows: (text, lang) to learn from."""
+    letters = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    grams = lambda w, n: [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+    counts = collections.defaultdict(collections.Counter)
+    for text, lang in rows:
+        for w in letters(text):
+            counts[0, w][lang] += 1
+            for n in range(1, 6):
+                for g in grams(w, n):
+                    counts[n, g][lang] += 1
+    langs = sorted({g for c in counts.values() if c.total() >= 3 for g in c})
+    tables = {k: {key[1]: c for key, c in counts.items() if key[0] == k and c.total() >= 3} for k in range(6)}
+    totals = {k: [sum(0.5 + c[g] for c in t.values()) for g in langs] for k, t in tables.items()}
+
+    def of(k, key):
+        logs = np.log([(0.5 + tables[k][key][g]) / totals[k][j] for j, g in enumerate(langs)])
+        return logs - np.log(np.exp(logs).sum())
+
+    def score(w):
+        if w in tables[0]:
+            return of(0, w)
+        for n in range(5, 0, -1):
+            if known := [of(n, g) for g in grams(w, n) if g in tables[n]]:
+                return sum(known) / len(known)
+        return np.zeros(len(langs))
+
+    out = []
+    for text in texts:
+        w = letters(text)
+        if not w:
+            out.append(("und", 0.0))
+            continue
+        mean = sum(map(score, w)) / len(w) * min(len(w), 20)
+        share = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+        out.append((langs[int(share.argmax())], float(share.max())))
+    return out
+
+
+def test_language_brute_force(spark):
+    rng = random.Random(13)
+    parts = {"de": ["schaft", "keit", "ung", "ein", "er"], "es": ["ción", "ando", "es", "ta", "er"], "fr": ["eaux", "ment", "tion", "es", "ta"]}
+    say = lambda g, n: " ".join("".join(rng.choice(parts[g]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = [(say(g, rng.randrange(1, 30)), g) for g in parts for _ in range(40)] + [(say("de", 3) + " " + say("fr", 4), "de"), (None, "fr"), ("12", "es"), ("Öl ß x", None)]
+    d = docs(spark, [t for t, _ in rows], langs=[g for _, g in rows])
+    asked = [t for t, _ in rows] + ["taeaux", "zzz", "Q", "É é É", "schaftción einando mentes", "x" * 30]
+    learn = [(t, g) for i, (t, g) in enumerate(rows) if t is not None and g is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    want = plain_language(learn, asked)
+    got = {r.row.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs(spark, asked), langid.train(d)).collect()}
+    assert all(abs(got[i][1] - p) < 1e-4 and (got[i][0] == g or p < 0.34) for i, (g, p) in enumerate(want))
+
+
 def test_language_odd_tables(spark, tmp_path):
     texts = ["der hund und die katze"] * 8 + ["le chien et le chat"] * 8
     rows = [(k, t, t[:2]) for k, t in enumerate(texts)] + [(None, "der hund", "de"), (3, "le chat", "le"), (99, "der katze " * 50_000, None), (98, None, "de"), (97, "", "de"), (96, "xyz", None)]
@@ -570,6 +622,36 @@ def test_pipeline_brute_force(spark, tmp_path):
     assert collections.Counter((r.doc_id, r.text, r.lang, r.source, r.mix_size, r.mix_copies) for r in got) == want
 
 
+def test_pipeline_odd_tables(spark, tmp_path):
+    """No documents; columns with the stages' own names; null, empty, very long and repeated rows."""
+    import corpus_pipeline
+
+    extra = "row string, score double, part int, head string, node long, n long, size int, h string, text_id long, text_hash long, found string, copies int, mix_size string, lang_pred string"
+    names = [c.split()[0] for c in extra.split(", ")]
+    kind = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    pad = ("r", 0.5, 1, "h", 2, 3, 4, "h", 5, 6, "f", 7, "m", "l")
+    rng = random.Random(14)
+    say = lambda n: " ".join("".join(rng.choice(["schaft", "keit", "ung", "ein"]) for _ in range(3)) for _ in range(n))
+    long = say(120_000) + f" AKIA{'Q7' * 8}"
+    rows = [(k, say(12), "de", "s", 1, *pad) for k in range(30)]
+    rows += [(90, long, None, None, None, *pad), (91, None, "de", "s", None, *pad), (92, "", "de", "s", 0, *pad), (93, "!!", None, "s", 0, *pad), (None, say(9), None, None, None, *pad), rows[4], rows[4]]
+    for name, table in (("a", rows), ("b", [])):
+        spark.createDataFrame(table, kind).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, "no such words anywhere"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    docs_ = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs_ = stage(spark, docs_, f"{tmp_path}/a")
+        assert docs_.columns == [c.split()[0] for c in kind.split(", ")]
+        docs_.write.parquet(path := f"{tmp_path}/{rng.random()}")
+        docs_ = spark.read.parquet(path)
+    kept = docs_.collect()
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept) == [-1, *range(30), 90]
+    assert all(tuple(r[c] for c in names) == pad for r in kept) and next(r.text for r in kept if r.doc_id == 90).endswith(" [ACCESS]")
+    mixed_ = corpus_pipeline.run(spark, f"{tmp_path}/a")
+    assert mixed_.columns == [*docs_.columns, "mix_size_", "mix_copies"] and {r.mix_size for r in mixed_.collect()} == {"m"}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
 def test_mix_columns_of_a_user_stay(spark):
     d = spark.createDataFrame([(1, "a b", "s", 7, 8)], "doc_id long, text string, source string, Mix_Size int, mix_copies int")
     got = mixing.take_mix(d)
