@@ -37,6 +37,7 @@ def not_blank(s: Column) -> Column:
 
 def normalize_name(c: Column) -> Column:
     """The words that identify a business; empty if none."""
+    # The patterns of initials and of what isn't a letter or digit.
     s = F.regexp_replace(F.lower(c), "&", " and ")
     s = F.regexp_replace(s, r"\b([a-z])\.(?=[a-z]\.)", "$1")
     s = F.regexp_replace(s, r"[^a-z0-9\s]", " ")
@@ -119,6 +120,7 @@ def parse_year(c: Column, as_of_year: int) -> Column:
     return F.when(n.between(1800, as_of_year), n)
 
 
+# The pattern of an address.
 EMAIL = r"(?i)^[a-z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)+$"
 
 

@@ -85,6 +85,7 @@ def labels(c: Criteria, as_of_year: int) -> dict[str, Column]:
     named = F.coalesce(F.col("owner_name") != "", F.lit(False))
     choice = lambda col, values, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(col)), F.lit(other))
     signal = F.get(F.filter(F.coalesce("signals", F.array().cast("array<string>")), lambda s: s.rlike(f"(?i){rules.SUCCESSION}")), F.lit(0))
+    # The texts of reasons.
     return {
         "revenue": F.when(revenue.isNull(), "Revenue unknown").when(revenue.between(c.revenue_min, c.revenue_max), text(shown, " in ", band)).when(revenue < c.revenue_min, text(shown, " below ", band)).otherwise(text(shown, " above ", band)),
         "employees": F.when(heads.isNull(), "Headcount unknown").when(heads.between(c.employees_min, c.employees_max), text(heads.cast("string"), " employees — real team, still owner-run")).otherwise(text(heads.cast("string"), f" employees (target {c.employees_min}–{c.employees_max})")),

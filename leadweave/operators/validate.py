@@ -63,6 +63,7 @@ def validate_email(df: DataFrame) -> DataFrame:
     empty, ok = F.coalesce(email, F.lit("")) == "", T.email_syntax_ok(email)
     no_mail, mail = F.coalesce(F.col("mx") == "no", F.lit(False)), F.coalesce(F.col("mx") == "yes", F.lit(False))
     role, free = T.is_role_email(email), T.is_free_provider(domain)
+    # Statuses and their reasons, the first that holds.
     steps = [
         (empty, "missing", F.lit("No email on record")),
         (~ok, "invalid", F.lit("Malformed address")),
@@ -87,6 +88,7 @@ def validate_phone(df: DataFrame) -> DataFrame:
     p = F.col("phone_parsed")
     shared = F.coalesce(p["type"].isin("TOLL_FREE", "SHARED_COST", "PREMIUM_RATE"), F.lit(False))
     status = F.when(p.isNull(), "missing").when(~p["valid"], "invalid").when(shared, "risky").otherwise("valid")
+    # Names of kinds of lines, and reasons.
     kinds = {"MOBILE": "Mobile", "FIXED_LINE": "Landline", "FIXED_LINE_OR_MOBILE": "Direct line", "VOIP": "VoIP"}
     label = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), p["type"]), F.lit("Valid number"))
     reason = F.when(p.isNull(), "No phone on record").when(~p["valid"], "Not a valid phone number").when(shared, "Toll-free line — usually a call center, not the owner").otherwise(label)
