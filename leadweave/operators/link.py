@@ -44,8 +44,8 @@ def conflicts(a: str, b: str) -> Column:
 
 #: Segments of a coarse cut beyond those that the similarity needs; letters of a segment of a fine cut, and the longest name that gets one.
 SPARE, FINE, FINE_NAME = 2, 2, 64
-#: Most rows of the rarest segments, and most names and bytes of names, that are broadcast.
-BROADCAST_SEGMENTS, BROADCAST_NAMES, BROADCAST_BYTES = 500_000, 200_000, 16 << 20
+#: Most segments (some 40 bytes each) and most names and bytes of names, that are broadcast.
+BROADCAST_SEGMENTS, BROADCAST_NAMES, BROADCAST_BYTES = 2_000_000, 200_000, 16 << 20
 def _unary(first: str, last: str, bits: int, at: int) -> str:
     """Of a long s: the letter c, from `first` to `last`, counted once more in its own bits, of those from `at` on."""
     k, mask = f"({bits} * (ascii(c) - {ord(first)}) + {at})", (1 << bits) - 1
@@ -84,9 +84,9 @@ def _edits(similarity: float) -> tuple[str, str]:
 
 
 def _broadcastable(names: DataFrame, similarity: float) -> tuple[bool, bool]:
-    """Whether the rarest segments, and the names, are few enough for a broadcast."""
+    """Whether the segments of all cuts, and the names, are few enough for a broadcast; a bound that nothing exceeds."""
     least, most = _edits(similarity)
-    segments = F.expr(f"aggregate(sequence({least}, {most}), 0L, (s, e) -> s + e + 1)")
+    segments = F.expr(f"({most} - {least} + 1L) * (n div {FINE} + 2 * ({most} + 1 + {SPARE}))")
     size = names.withColumn("n", F.length("norm_name")).agg(F.count("*"), F.sum(F.octet_length("norm_name") + F.octet_length("city")), F.sum(segments)).first()
     return (size[2] or 0) <= BROADCAST_SEGMENTS, size[0] <= BROADCAST_NAMES and (size[1] or 0) <= BROADCAST_BYTES
 
@@ -112,7 +112,7 @@ def candidate_pairs(names: DataFrame, similarity: float = rules.NAME_SIMILARITY,
     have = have.select("name", "edits", "pieces", "letters_0", "letters_1", _key("substring(norm_name, p + 1, w)").alias("key"))
     often = have.groupBy("key").agg(F.count("*").alias("often"))
     kept = [F.first(f"letters_{k}").alias(f"letters_{k}") for k in range(2)]
-    cut = have.hint("merge").join(often, "key").groupBy("name", "edits", "pieces").agg(*kept, F.sort_array(F.collect_list(F.struct("often", "key"))).alias("keys"))
+    cut = have.join(F.broadcast(often) if small else often.hint("merge"), "key").groupBy("name", "edits", "pieces").agg(*kept, F.sort_array(F.collect_list(F.struct("often", "key"))).alias("keys"))
     cut = cut.withColumn("keys", F.expr("slice(keys, 1, edits + 1)")).withColumn("cost", F.expr("aggregate(keys, 0L, (s, k) -> s + k.often)"))
     best = cut.groupBy("name", "edits").agg(F.min_by(F.struct("letters_0", "letters_1", "keys"), F.struct("cost", "pieces")).alias("best"))
     rarest = best.select(F.col("name").alias("b"), F.col("best.letters_0").alias("of_b_0"), F.col("best.letters_1").alias("of_b_1"), F.explode("best.keys.key").alias("key"))

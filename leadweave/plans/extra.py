@@ -175,8 +175,17 @@ def late_facts(spark, d):
     return late.current_facts(spark, store, x.schema).select("domain", "employees")
 
 
+def lead_socials(spark, d):
+    """Social links of leads, and those of their sites where they have none."""
+    k = F.col("c_custkey")
+    some = lambda **kinds: F.map_filter(F.create_map(*[x for n, c in kinds.items() for x in (F.lit(n), F.when(c, F.concat(F.lit(f"{n}/"), k)))]), lambda n, v: v.isNotNull())
+    x = _table(spark, d, "customer").select(k.alias("id"), F.when(k % 7 != 0, some(linkedin=k % 2 == 0, x=k % 3 == 0)).alias("lead"), F.when(k % 5 != 0, some(linkedin=k % 4 == 0, facebook=k % 3 == 1)).alias("site"))
+    merged = enrich.merge_socials(F.col("lead"), F.transform_values("site", lambda n, v: F.concat(v, F.lit("/site"))))
+    return x.withColumn("m", merged).select("id", *[F.element_at("m", n).alias(n) for n in ("linkedin", "x", "facebook")])
+
+
 QUERIES = {
-    "subpage_links": subpage_links, "ttl_hot": ttl_hot, "robots_many": robots_many, "csv_multiline": csv_multiline, "source_status": source_status, "crawl_counts": crawl_counts, "phones_abroad": phones_abroad,
+    "lead_socials": lead_socials, "subpage_links": subpage_links, "ttl_hot": ttl_hot, "robots_many": robots_many, "csv_multiline": csv_multiline, "source_status": source_status, "crawl_counts": crawl_counts, "phones_abroad": phones_abroad,
     "bonus_reasons": bonus_reasons, "display_values": display_values, "saved_uploads": saved_uploads, "csv_export": csv_export, "disposable_file": disposable_file, "area_cells": area_cells,
     "enrichment_errors": enrichment_errors, "capped_candidates": capped_candidates, "late_facts": late_facts,
 }
@@ -205,6 +214,7 @@ def _export_sql() -> str:
 
 _SUBPAGE = "(contact|about|team|our-story|story|company|who-we-are|history|leadership|staff|meet)"
 ORACLE_SQL = {
+    "lead_socials": "SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 2 = 0 THEN 'linkedin/' || c_custkey WHEN c_custkey % 5 <> 0 AND c_custkey % 4 = 0 THEN 'linkedin/' || c_custkey || '/site' END AS linkedin, CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 3 = 0 THEN 'x/' || c_custkey END AS x, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 3 = 1 THEN 'facebook/' || c_custkey || '/site' END AS facebook FROM customer",
     "subpage_links": f"WITH l AS (SELECT c_custkey AS k, i AS position, [{', '.join(repr(x) for x in LINKS)}][CAST((c_custkey + 5 * i) % {len(LINKS)} + 1 AS INT)] AS path FROM customer, (VALUES (0), (1)) t(i)) SELECT 'c' || k || '.com' AS domain, 'https://c' || k || '.com' || path AS url, CAST(position AS BIGINT) AS position FROM l WHERE regexp_matches(path, '(?i){_SUBPAGE}')",
     "ttl_hot": "WITH r AS (SELECT CASE WHEN l_orderkey % 10 = 0 THEN 'hot.com' ELSE 'd' || (l_partkey % 50) || '.com' END AS domain, CASE WHEN l_linenumber % 2 = 0 THEN 'mx' ELSE 'web' END AS kind, " + _AT.format("(l_orderkey * 37 + l_linenumber * 11) % 500000") + " AS observed_at, ['yes', 'no', 'unknown'][CAST(l_suppkey % 3 + 1 AS INT)] AS outcome FROM lineitem), "
     "o AS (SELECT domain, kind, observed_at, max(outcome) AS outcome FROM r GROUP BY ALL), k AS (SELECT o_orderkey AS row, CASE WHEN o_orderkey % 10 = 0 THEN 'hot.com' ELSE 'd' || (o_custkey % 60) || '.com' END AS domain, CASE WHEN o_custkey % 2 = 0 THEN 'mx' ELSE 'web' END AS kind, " + _AT.format("o_orderkey * 53 % 600000") + " AS at FROM orders) "

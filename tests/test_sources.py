@@ -29,7 +29,7 @@ def splits(spark):
         spark.conf.set(n, v)
 
 
-@pytest.mark.parametrize("sep", [",", ";", "|", "\t"])
+@pytest.mark.parametrize("sep", [",", "|"])
 def test_csv_with_line_breaks_is_read_alike_in_any_splits(spark, splits, tmp_path, sep):
     rng = random.Random(sep)
     files_of = []
@@ -42,7 +42,7 @@ def test_csv_with_line_breaks_is_read_alike_in_any_splits(spark, splits, tmp_pat
         w.writerows(rows)
         (tmp_path / f"{k}.csv").write_bytes(out.getvalue().encode())
         files_of += [[a, b.replace("\r\n", "\n"), c] for a, b, c in rows]
-    for size in ("128m", "700", "90"):
+    for size in ("128m", "90"):
         splits(size)
         got = files.read_leads_csv(spark, str(tmp_path)).orderBy("row").collect()
         assert [[r.company_name, r.website or "", r.Odd or ""] for r in got] == files_of, size
