@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Each round is joins and aggregates on node ids, with a number of rounds that grows with the logarithm of the
-graph (Kiveris et al., Connected Components in MapReduce and Beyond, SoCC 2014). Hubs are no problem: the
-minimum over a node's neighbours is pre-aggregated, and the join back can split a large key.
+graph (Kiveris et al., Connected Components in MapReduce and Beyond, SoCC 2014). The minimum over a node's neighbours
+is pre-aggregated, and given back to the links of hubs by broadcast, so that no task holds all links of one node.
 """
 
 from __future__ import annotations
@@ -13,16 +13,34 @@ from pyspark.sql import functions as F
 from leadweave.storage import materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A node of more links is a hub, and of one part in so many of all links; so there are twice HUBS at most.
+HUB_LINKS, HUBS = 1000, 10_000
+
+
+def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """rows (u, v) of `total` links, each once or from both ends, with m of `least` (u, m, n); n counts the rows of u."""
+    bound = max(HUB_LINKS, total // HUBS)
+    if total <= bound:  # no node has more links than there are
+        return rows.join(least.hint("merge"), "u")
+    hubs = F.broadcast(least.filter(F.col("n") > bound))
+    others = rows.join(hubs, "u", "left_anti").join(least.filter(F.col("n") <= bound).hint("merge"), "u")
+    return rows.join(hubs, "u").unionByName(others)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return _with_least(both, least, total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _down(edges: DataFrame) -> DataFrame:
+    return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    down = _down(edges)
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    joined = _with_least(down, least, total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return joined.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -34,7 +52,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     """
     edges = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
     loops = edges.filter("u = v").select("u", "v").distinct()
-    edges, seen = materialise(_small_star(edges.filter("u <> v")), "edges"), None
+    edges, seen = materialise(_down(edges.filter("u <> v")).distinct(), "edges"), None
     for _ in range(rounds):
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or state[0] == 0:
@@ -43,7 +61,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
             alone = loops.join(labels.unionByName(roots).hint("merge"), F.col("u") == F.col("node"), "left_anti")
             return materialise(labels.unionByName(roots).unionByName(alone.toDF("node", "component")), "components")
         seen = state
-        edges = materialise(_small_star(_large_star(edges)), "edges")
+        edges = materialise(_small_star(_large_star(edges, state[0]), state[0]), "edges")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

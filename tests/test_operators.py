@@ -5,11 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leadweave.operators import enrich, golden, link, pages, score, sites, validate
+from leadweave.operators import components, enrich, golden, link, pages, score, sites, validate
 from leadweave.operators.components import connected_components
 from leadweave.sources import files, listings
 from leadweave.sources.leads import conform, map_columns, split_rejects, union_sources
-from leadweave.storage import small_or_merge
+from leadweave.storage import materialise, small_or_merge
 
 COLUMNS = "row long, company_name string, website string, phone string, email string, city string"
 
@@ -32,6 +32,20 @@ def test_components(spark):
     assert got == parent
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(120)] + [(1000, k) for k in range(900, 1100)] + [(1100 + k, 2000 + k % 7) for k in range(90)] + [(2003, 950), (3000, 3001), (3001, 3000)]
+    table = spark.createDataFrame(edges, "src long, dst long")
+    plain = {r.node: r.component for r in connected_components(table).collect()}
+    made = []
+    monkeypatch.setattr(components, "materialise", lambda df, name: made.append(df) or materialise(df, name))
+    monkeypatch.setattr(components, "HUB_LINKS", 6)
+    monkeypatch.setattr(components, "HUBS", 30)
+    assert {r.node: r.component for r in connected_components(table).collect()} == plain
+    assert all("BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString() for df in made[1:-1])
+    assert len(set(plain.values()) & set(range(900, 3001))) == 8
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
