@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import random
 import re
+import string
 
 import pytest
 from pyspark.sql import Observation
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from leadweave.operators import enrich, pages, phones, sites, validate
 from leadweave.operators.link import link_statistics
+from leadweave.plans import registry
 from leadweave.sources import files, listings
 from leadweave.sources.leads import load_sources, source_counts, split_rejects, union_sources
 from leadweave.streaming import late
@@ -237,3 +240,54 @@ def test_replies_without_facts_say_so(spark):
     got = {r.domain: (r.owner_name, r.error) for r in enrich.parse_model_replies(spark.createDataFrame(rows, "domain string, reply string, error string")).collect()}
     assert got == {"a": ("X", None), "b": (None, "no JSON object in the reply"), "c": (None, "429"), "d": ("Y", "cut")}
     assert re.match("no JSON", enrich.parse_model_replies(spark.createDataFrame([("b", "")], "domain string, reply string")).first().error)
+
+
+def _contacts(text):
+    """Addresses and numbers of a text, by hand: the forms of a number one by one, an address from its @."""
+    local, host, letters = string.ascii_letters + string.digits + "._%+-", string.ascii_letters + string.digits + ".-", string.ascii_letters
+    numbers, at = set(), 0
+    forms = ["".join(f) for f in itertools.product([a + b for a in ("+1", "1") for b in ("s", "")] + [""], ["(", ""], ["eDD"], [")", ""], ["s", ""], ["eDD"], ["s", ""], ["DDDD"])]
+    fits = {"s": " .-", "e": "23456789", "D": string.digits}
+    while at < len(text):
+        for form in forms:
+            end = at + len(form)
+            clear = (at == 0 or text[at - 1] not in letters + string.digits) and (end >= len(text) or text[end] not in letters + string.digits)
+            if end <= len(text) and clear and all(c in fits.get(f, f) for c, f in zip(text[at:end], form, strict=True)):
+                numbers.add("".join(c for c in text[at:end] if c in string.digits)[-10:])
+                at = end
+                break
+        else:
+            at += 1
+    addresses, begin = set(), 0
+    for k, c in enumerate(text):
+        if c != "@" or k < begin:
+            continue
+        a = k
+        while a > begin and text[a - 1] in local:
+            a -= 1
+        b = k + 1
+        while b < len(text) and text[b] in host:
+            b += 1
+        while b > k + 1 and not (text[k + 1 : b].rpartition(".")[1] and text[k + 1 : b].rpartition(".")[0] and len(text[k + 1 : b].rpartition(".")[2]) > 1 and all(x in letters for x in text[k + 1 : b].rpartition(".")[2])):
+            b -= 1
+        if a == k or b == k + 1:
+            continue
+        found, begin = text[a:b].lower(), b
+        name, _, domain = found.partition("@")
+        labels = domain.split(".")
+        sound = all(x and len(x) < 64 and x[0] != "-" and x[-1] != "-" for x in labels) and len(name) <= 64 and ".." not in found and len(labels[-1]) > 1
+        junk = found.endswith((".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp")) or labels[0] in ("example", "domain", "email", "sentry", "wixpress", "sentry-next") or name in ("name", "your", "you", "user", "email")
+        if sound and not junk:
+            addresses.add(found)
+    return len(addresses), len(numbers)
+
+
+def test_document_contacts_brute_force(spark, tmp_path):
+    rng = random.Random(11)
+    bits = ["(512) 355-0142", "+1 512.355.0142", "1-800-555-0100", "512 155 0000", "5123550142", "x5123550142", "ann@firm.com", "Ann@Firm.com", "a..b@firm.com", "pic@2x.png", "you@firm.com", "b@example.com", "c@-firm.com", "d@firm", "e@x.co.uk", "@", "1", "-", " ", "  ", "(", "word", "."]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(30))) for _ in range(150)]
+    texts += ["", None, "x" * 60_000 + " call 512-355-0199 or mail z@firm.com"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.emails, r.phones) for r in registry.QUERIES["document_contacts"](spark, str(tmp_path)).collect()}
+    assert got == {k: _contacts(t or "") for k, t in enumerate(texts)}
+    assert len(set(got.values())) > 10
