@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leadweave import rules
 from leadweave.functions import text as T
+from leadweave.storage import materialise
 
 
 def observation_status(observations: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def latest_observation(keys: DataFrame, observations: DataFrame, ttl_hours: int
     seen = observations.filter("domain IS NOT NULL AND kind IS NOT NULL AND observed_at IS NOT NULL")
     seen = seen.select(*by, F.col("observed_at").alias("time"), F.struct("observed_at", "outcome").alias("seen")).select("*", stretch)
     asked = keys.select(*by, F.col("at").alias("time"), F.struct(*[F.col(f"`{c}`") for c in keys.columns if c.lower() != "outcome"]).alias("asked")).select("*", stretch)
-    both = asked.unionByName(seen, allowMissingColumns=True)
+    both = materialise(asked.unionByName(seen, allowMissingColumns=True), "asked-seen")  # it is read twice
     newest = both.groupBy(*by, "stretch").agg(F.max("seen").alias("newest"))
     before = F.last("newest", True).over(W.partitionBy(*by).orderBy("stretch").rowsBetween(W.unboundedPreceding, -1))
     carried = newest.withColumn("seen", before).filter("seen IS NOT NULL").select(*by, "stretch", F.lit(None).cast(both.schema["time"].dataType).alias("time"), "seen")

@@ -17,7 +17,7 @@ from leadweave.storage import materialise, scratch_path
 
 def _two_sources(spark, d) -> DataFrame:
     """The leads as two sources whose rows are numbered each by itself."""
-    x = leads(spark, d)
+    x = materialise(leads(spark, d), "leads")  # the union reads its sources more than once
     return union_sources({"csv": x.filter("row div 10 % 2 = 0"), "places": x.filter("row div 10 % 2 = 1").withColumn("row", F.col("row") - 10).withColumn("source", F.lit("places"))})
 
 
@@ -53,7 +53,7 @@ def link_stats(spark, d):
 
 
 def _site_models(spark, d):
-    return sites.rollup_sites(page_facts(spark, d)), enrich.parse_model_replies(fixture(spark, d, "model_replies"))
+    return materialise(sites.rollup_sites(page_facts(spark, d)), "sites"), enrich.parse_model_replies(fixture(spark, d, "model_replies"))
 
 
 def enrichment_record(spark, d):
