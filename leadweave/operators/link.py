@@ -78,6 +78,12 @@ def _key(piece: str) -> Column:
     return F.expr(f"xxhash64(city, lb, edits, pieces, i, {piece})")
 
 
+#: Most places of segments (a long each) that are broadcast.
+BROADCAST_SLOTS = 200_000
+#: A segment's place: of which cut of which names it is.
+SLOT = "xxhash64(city, lb, edits, pieces, i)"
+
+
 def _edits(similarity: float) -> tuple[str, str]:
     """Places in which names may differ, of a length n: where it is the longer one, and where it is the shorter one at most."""
     return tuple(f"int(floor({x} * n + 1e-9))" for x in (1 - similarity, (1 - similarity) / similarity))
@@ -109,19 +115,26 @@ def candidate_pairs(names: DataFrame, similarity: float = rules.NAME_SIMILARITY,
     # the names as b: for each number of edits that some longer name allows
     have = _cuts(rows.withColumn("lb", F.col("n")).withColumn("edits", F.explode(F.expr(f"sequence({least}, {most})"))).filter("edits > 0"))
     have = _segments(have.withColumn("pieces", F.explode("cuts")))
-    have = have.select("name", "edits", "pieces", "letters_0", "letters_1", _key("substring(norm_name, p + 1, w)").alias("key"))
+    have = have.select("name", "edits", "pieces", "letters_0", "letters_1", _key("substring(norm_name, p + 1, w)").alias("key"), F.expr(SLOT).alias("slot"))
     often = have.groupBy("key").agg(F.count("*").alias("often"))
     kept = [F.first(f"letters_{k}").alias(f"letters_{k}") for k in range(2)]
-    cut = have.join(F.broadcast(often) if small else often.hint("merge"), "key").groupBy("name", "edits", "pieces").agg(*kept, F.sort_array(F.collect_list(F.struct("often", "key"))).alias("keys"))
+    cut = have.join(F.broadcast(often) if small else often.hint("merge"), "key").groupBy("name", "edits", "pieces").agg(*kept, F.sort_array(F.collect_list(F.struct("often", "key", "slot"))).alias("keys"))
     cut = cut.withColumn("keys", F.expr("slice(keys, 1, edits + 1)")).withColumn("cost", F.expr("aggregate(keys, 0L, (s, k) -> s + k.often)"))
     best = cut.groupBy("name", "edits").agg(F.min_by(F.struct("letters_0", "letters_1", "keys"), F.struct("cost", "pieces")).alias("best"))
-    rarest = best.select(F.col("name").alias("b"), F.col("best.letters_0").alias("of_b_0"), F.col("best.letters_1").alias("of_b_1"), F.explode("best.keys.key").alias("key"))
+    rarest = best.select(F.col("name").alias("b"), F.col("best.letters_0").alias("of_b_0"), F.col("best.letters_1").alias("of_b_1"), F.explode("best.keys").alias("k")).select("*", "k.key", "k.slot").drop("k")
+    rarest = materialise(rarest, "rarest")
     # and as a: all places where a segment of a shorter one can stand; |off| edits before it, the rest after
     ask = rows.withColumn("edits", F.expr(least)).filter("edits > 0").withColumn("lb", F.explode(F.expr("sequence(greatest(1, n - edits), n)")))
     ask = _segments(_cuts(ask).withColumn("pieces", F.explode("cuts"))).selectExpr("*", "greatest(0, p - (edits - n + lb) div 2) AS low", "least(n - w, p + (edits + n - lb) div 2) AS high")
-    ask = ask.filter("low <= high").withColumn("s", F.explode(F.expr("sequence(low, high)")))
+    ask = ask.filter("low <= high")
+    # places that no name is joined on, which are most, are not asked for
+    slots = rarest.select("slot").distinct()
+    if slots.limit(BROADCAST_SLOTS + 1).count() <= BROADCAST_SLOTS:
+        ask = ask.join(F.broadcast(slots), F.expr(SLOT) == F.col("slot"), "left_semi")
+    ask = ask.withColumn("s", F.explode(F.expr("sequence(low, high)")))
     ask = ask.select(F.col("name").alias("a"), "edits", "letters_0", "letters_1", _key("substring(norm_name, s + 1, w)").alias("key"))
     differ = sum((F.bit_count(F.col(f"letters_{k}").bitwiseXOR(F.col(f"of_b_{k}"))) for k in range(2)), F.lit(0))
+    rarest = rarest.drop("slot")
     rarest = F.broadcast(rarest) if small else rarest.hint("merge")
     pairs = ask.join(rarest, (ask["key"] == rarest["key"]) & (F.col("a") != F.col("b")) & (differ <= 2 * F.col("edits")))
     return pairs.select("a", "b")
