@@ -296,7 +296,9 @@ def _grouped(docs: DataFrame) -> DataFrame:
     cross = x.hint("merge").join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.slice") == F.col("y.slice")) & apart & near & _may_be_similar() & (_differing("x.sketch", "y.sketch") <= BANDS * ROWS - LEAST_AGREE))
     cross = materialise(cross.select(F.greatest("x.text_id", "y.text_id").alias("a"), F.least("x.text_id", "y.text_id").alias("b")).distinct(), "cross-pairs")
     if not cross.isEmpty():
-        labels = connected_components(links.unionByName(_links(_compare(cross, texts))), "a", "b")
+        # what is joined so far stands for its links
+        joined = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = connected_components(joined.unionByName(_links(_compare(cross, texts))), "a", "b")
 
     # the head of each component is found among texts, then given to their rows
     of_text = nodes.select("text_id", "copies", "least").join(labels.hint("merge"), F.col("text_id") == F.col("node"), "left")

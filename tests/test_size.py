@@ -1,11 +1,13 @@
 """What keeps work in proportion to the input: costly steps run on all cores, once, and ask only for what can be found."""
 
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from leadweave.functions import text as T
-from leadweave.operators import link, validate
+from leadweave.operators import components, link, validate
 from leadweave.plans import facts, more, queries
 from leadweave.storage import materialise
 
@@ -43,3 +45,22 @@ def test_observations_are_looked_up_from_rows_written_once(spark):
 
 def test_site_facts_are_worked_out_once(spark):
     assert all("/sites-" in f for f in more._site_models(spark, D)[0].inputFiles())
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_rounds_of_components_are_short_plans(spark, monkeypatch, few):
+    """The driver holds the plan of each round and the states of its tasks, so that neither may pile up."""
+    rng = random.Random(11)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000, k) for k in range(900, 1100)]
+    links += [(k, k + 1) for k in range(2000, 2030)] + [(2005, 2004), (950, 2010), (5000, 5000), (7, 7), (None, 1)]
+    parent = {x: x for e in links if None not in e for x in e}
+    for _ in range(200):
+        for a, b in links:
+            if a is not None:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+    table, plans = materialise(spark.createDataFrame(links, "src long, dst long")), []
+    for name, value in (("HUB_LINKS", 6), ("HUBS", 30), *([] if few else [("FEW_NODES", 0)])):
+        monkeypatch.setattr(components, name, value, raising=False)
+    monkeypatch.setattr(components, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or materialise(df, name))
+    assert {r.node: r.component for r in components.connected_components(table).collect()} == parent
+    assert max(p.count("Exchange") for p in plans) <= 12
