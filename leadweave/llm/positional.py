@@ -32,11 +32,17 @@ BATCH_DOCUMENTS, BATCH_SEGMENTS = 1000, 8
 PASS_PHRASES = 100_000
 #: Most names of windows, or contaminated documents, that are broadcast at once (some 300 bytes each).
 BROADCAST_ROWS = 100_000
+#: Splits of the index that make a task where only its documents are read: splits are dealt by the bytes of all columns,
+#: of which those are a few hundredths.
+NARROW_SPLITS = 8
 #: Possible starts that are worked on at once.
 STARTS = 1 << 18
 
-#: A segment: its documents with the place of their first token, and terms with the first entry of their posting list.
-SEGMENT = "doc_id array<{id}>, text_hash array<long>, first array<int>, terms array<long>, list_at array<int>, places array<int>"
+#: A segment: its documents with the place of their first token, its terms, and the lengths and entries of their posting
+#: lists; these three as bytes, which the JVM passes on as they are.
+SEGMENT = "doc_id array<{id}>, text_hash array<long>, first array<int>, terms binary, lengths binary, places binary"
+#: Bytes of the index that a writer or reader holds at once, some ten segments (a longer one is held alone).
+HELD_BYTES = 1 << 22
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -56,6 +62,18 @@ def _one_list(values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _bytes(values: np.ndarray) -> pa.Array:
+    """One row: the numbers in as few bytes each as hold the largest."""
+    narrow = next(t for t in ("<u2", "<u4", "<u8") if int(values.max(initial=0)) <= np.iinfo(t).max)
+    return pa.array([values.astype(narrow).tobytes()], pa.binary())
+
+
+def _numbers(column: pa.Array, row: int, n: int) -> np.ndarray:
+    """The n numbers that _bytes has put there."""
+    data = column[row].as_buffer()
+    return np.frombuffer(data, dtype=f"<u{data.size // n}" if n else "<u8")
+
+
 def positional_index(docs: DataFrame) -> DataFrame:
     """The written index of all words of `docs` (doc_id, text): a row for each segment, as SEGMENT says."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -72,20 +90,19 @@ def positional_index(docs: DataFrame) -> DataFrame:
                 batch.column("doc_id"),
                 batch.column("text_hash"),
                 pa.array(words.first, pa.int32()),
-                pa.array(terms[begin].view(np.int64)),
-                pa.array(np.append(begin, len(terms)), pa.int32()),
-                pa.array(order, pa.int32()),
             ]
-            yield pa.RecordBatch.from_arrays([_one_list(c) for c in columns], names=["doc_id", "text_hash", "first", "terms", "list_at", "places"])
+            lists = [pa.array([terms[begin].astype("<u8").tobytes()], pa.binary()), _bytes(np.diff(np.append(begin, len(terms)))), _bytes(order)]
+            yield pa.RecordBatch.from_arrays([*map(_one_list, columns), *lists], names=["doc_id", "text_hash", "first", "terms", "lengths", "places"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return materialise(rows.mapInArrow(post, SEGMENT.format(id=kind)), "postings", BATCH_DOCUMENTS)
+    return materialise(rows.mapInArrow(post, SEGMENT.format(id=kind)), "postings", BATCH_DOCUMENTS, HELD_BYTES)
 
 
 def indexed_documents(index: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_words of every document of the index."""
     docs = F.transform("doc_id", lambda d, i: F.struct(d.alias("doc_id"), F.get("text_hash", i).alias("text_hash"), (F.get("first", i + 1) - F.get("first", i)).cast("long").alias("n_words")))
-    return index.select(F.explode(docs).alias("d")).select("d.*")
+    rows, splits = index.select(F.explode(docs).alias("d")).select("d.*"), index.select("first").rdd.getNumPartitions()
+    return rows.coalesce(max(splits // NARROW_SPLITS, index.sparkSession.sparkContext.defaultParallelism))
 
 
 class Phrases:
@@ -106,8 +123,12 @@ class Phrases:
 class Segment:
     """One row of the index."""
 
-    def __init__(self, row: dict[str, np.ndarray]):
-        self.first, self.terms, self.list_at, self.places = row["first"], row["terms"].view(np.uint64), row["list_at"].astype(np.int64), row["places"].astype(np.int64)
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        self.ids = batch.column("doc_id").slice(row, 1).flatten()
+        self.text_hash, self.first = (batch.column(c).slice(row, 1).flatten().to_numpy() for c in ("text_hash", "first"))
+        self.terms = np.frombuffer(batch.column("terms")[row].as_buffer(), dtype="<u8")
+        self.list_at = np.concatenate([[0], np.cumsum(_numbers(batch.column("lengths"), row, len(self.terms)), dtype=np.int64)])
+        self.places = _numbers(batch.column("places"), row, int(self.list_at[-1])).astype(np.int64)
         #: list number and place in one number, which grows along the lists
         self.keys = np.repeat(np.arange(len(self.terms)), np.diff(self.list_at)) * (len(self.places) + 1) + self.places
 
@@ -197,11 +218,10 @@ def _looked_up(index: DataFrame, phrases: DataFrame, search, place: str) -> Data
             asked = shared.value
             for batch in batches:
                 for i in range(batch.num_rows):
-                    ids = batch.column("doc_id").slice(i, 1).flatten()
-                    row = {c: batch.column(c).slice(i, 1).flatten().to_numpy() for c in ("text_hash", "first", "terms", "list_at", "places")}
-                    phrase, doc, at = search(Segment(row), asked)
+                    segment = Segment(batch, i)
+                    phrase, doc, at = search(segment, asked)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(doc)), pa.array(row["text_hash"][doc]), pa.array(asked.phrase[phrase]), pa.array(at, pa.int32()), pa.array(asked.n[phrase], pa.int32())], names=["doc_id", "text_hash", "phrase", place, "n"]
+                        [segment.ids.take(pa.array(doc)), pa.array(segment.text_hash[doc]), pa.array(asked.phrase[phrase]), pa.array(at, pa.int32()), pa.array(asked.n[phrase], pa.int32())], names=["doc_id", "text_hash", "phrase", place, "n"]
                     )
 
         found.append(index.mapInArrow(look, f"doc_id {kind}, text_hash long, phrase long, {place} int, n int"))
@@ -238,6 +258,22 @@ def _same_document(a: str, b: str) -> Column:
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
 
 
+def _covered(docs: DataFrame, items: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index; item_id, phrase, terms of all windows; doc_id, text_hash, n_hit, phrases of the documents that are hit."""
+    index, terms = positional_index(docs), materialise(item_terms(items), "items")
+    windows = materialise(item_windows(terms, width), "windows")
+    hits = phrase_matches(index, windows.groupBy("phrase").agg(F.first("terms").alias("terms")))
+
+    def step(state, x):
+        fresh = F.greatest(x["end"] - F.greatest(x["start"], state["upto"]), F.lit(0))
+        return F.struct(F.greatest(state["upto"], x["end"]).alias("upto"), (state["n"] + fresh).alias("n"))
+
+    spans = F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))))
+    covered = hits.groupBy("doc_id", "text_hash").agg(spans.alias("spans"), F.collect_set("phrase").alias("phrases"))
+    n_hit = F.aggregate("spans", F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n")), step, lambda s: s["n"]).cast("long")
+    return index, windows, materialise(covered.select("doc_id", "text_hash", n_hit.alias("n_hit"), "phrases"), "covered", BATCH_SEGMENTS)
+
+
 def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc_id, text_hash, n_words, n_hit, item_ids (sorted as strings): one row for each row of `docs`.
 
@@ -247,22 +283,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
     one longer than SEGMENT_BYTES in a segment of its own. Only doc_id, item_id and text are read, whatever other
     columns are called. Empty tables give no hits, or no rows.
     """
-    index, terms = positional_index(docs), materialise(item_terms(items), "items")
-    windows = materialise(item_windows(terms, width), "windows")
-    phrases = windows.groupBy("phrase").agg(F.first("terms").alias("terms"))
-    hits = materialise(phrase_matches(index, phrases), "hits", BATCH_SEGMENTS)
-
-    def step(state, x):
-        fresh = F.greatest(x["end"] - F.greatest(x["start"], state["upto"]), F.lit(0))
-        return F.struct(F.greatest(state["upto"], x["end"]).alias("upto"), (state["n"] + fresh).alias("n"))
-
-    spans = F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))))
-    covered = hits.groupBy("doc_id", "text_hash").agg(spans.alias("spans"))
-    covered = covered.select("doc_id", "text_hash", F.aggregate("spans", F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n")), step, lambda s: s["n"]).cast("long").alias("n_hit"))
+    index, windows, covered = _covered(docs, items, width)
     names = small_or_merge(materialise(windows.select("phrase", F.col("item_id").cast("string").alias("item")).distinct(), "names"), BROADCAST_ROWS)
-    listed = hits.select("doc_id", "text_hash", "phrase").distinct().join(names, "phrase")
+    listed = covered.select("doc_id", "text_hash", F.explode("phrases").alias("phrase")).join(names, "phrase")
     listed = listed.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
-    both = covered.alias("a").join(listed.hint("merge").alias("b"), _same_document("a", "b")).select("a.*", "b.item_ids")
+    both = covered.alias("a").join(listed.hint("merge").alias("b"), _same_document("a", "b")).select("a.doc_id", "a.text_hash", "a.n_hit", "b.item_ids")
     both = materialise(both, "contaminated")
     rows = indexed_documents(index)
     rows = rows.alias("a").join(small_or_merge(both, BROADCAST_ROWS).alias("b"), _same_document("a", "b"), "left")
@@ -275,8 +300,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
     Null and empty texts stay, null and empty items occur nowhere. Texts of any length are searched whole; equal texts
     of an id fare alike, whichever of its rows they stand in. An empty table gives an empty one.
     """
-    found = contamination(docs, items, width).filter("n_hit > 0").select("doc_id", "text_hash").distinct()
-    found = small_or_merge(materialise(found, "leaks"), BROADCAST_ROWS)
+    found = small_or_merge(_covered(docs, items, width)[2].select("doc_id", "text_hash"), BROADCAST_ROWS)
     rows = docs.alias("a").join(found.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("a.text") == F.col("b.text_hash")), "left_anti")
     return rows.select("a.*")
 

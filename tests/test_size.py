@@ -3,10 +3,12 @@
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from leadweave.functions import text as T
+from leadweave.llm import positional
 from leadweave.operators import components, link, validate
 from leadweave.plans import facts, more, queries
 from leadweave.storage import materialise
@@ -64,3 +66,27 @@ def test_rounds_of_components_are_short_plans(spark, monkeypatch, few):
     monkeypatch.setattr(components, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or materialise(df, name))
     assert {r.node: r.component for r in components.connected_components(table).collect()} == parent
     assert max(p.count("Exchange") for p in plans) <= 12
+
+
+def test_no_task_holds_much_of_the_index(spark, monkeypatch):
+    """What a writer or reader of the index holds of it is a row group, whatever the size of its file."""
+    held = 1 << 16
+    for name, value in (("HELD_BYTES", held), ("SEGMENT_BYTES", 1 << 12)):
+        monkeypatch.setattr(positional, name, value, raising=False)
+    rng = random.Random(7)
+    texts = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(100))) for i in range(2000)]
+    index = positional.positional_index(spark.createDataFrame(texts, "doc_id long, text string"))
+    groups = [m.row_group(k).total_byte_size for f in index.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for k in range(m.num_row_groups)]
+    assert sum(groups) > 8 * held and max(groups) < 2 * held
+    assert positional.indexed_documents(index).filter("n_words = 100").count() == 2000
+
+
+def test_hits_are_shuffled_without_a_table_of_their_own(spark, monkeypatch):
+    """Each file that a task writes forks the executor, which counts its memory twice meanwhile."""
+    written = []
+    monkeypatch.setattr(positional, "materialise", lambda df, name, *more: written.append((name, df._jdf.queryExecution().executedPlan().toString())) or materialise(df, name, *more))
+    d = spark.createDataFrame([(i, "a b c d" if i % 2 else "x") for i in range(20)], "doc_id long, text string")
+    found = positional.contamination(d, spark.createDataFrame([(1, "b c"), (2, "d")], "item_id long, text string"))
+    assert sorted((r.doc_id, r.n_hit, tuple(r.item_ids)) for r in found.collect()) == [(i, 3 if i % 2 else 0, ("1", "2") if i % 2 else ()) for i in range(20)]
+    over_index = [plan for _, plan in written if "MapInArrow" in plan and "postings" in plan]
+    assert len(over_index) == 1 and "ObjectHashAggregate" in over_index[0]
